@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import integrity
+from . import integrity, lookups
 
-MODULES = [integrity]
+MODULES = [integrity, lookups]
 
 
 def queries() -> dict:

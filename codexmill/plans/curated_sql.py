@@ -36,7 +36,7 @@ TABLES = {
     + _latest(f"SELECT 'Page ' || page_id AS title, revision_id, {_SECONDS.format('loaded_at')} AS fetched_at, wikitext, page_id AS id FROM hot_content WHERE page_id IS NOT NULL AND revision_id IS NOT NULL AND wikitext IS NOT NULL", "title, revision_id", "fetched_at, wikitext, id") + ")",
     "mod": "SELECT lower(replace(r_name, ' ', '-')) AS id, r_name AS name, 'warm' AS default_tier, cast(r_regionkey AS BIGINT) AS installed_at FROM region",
     "mem": "SELECT lower(replace(r_name, ' ', '-')) AS module_id, n_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "log": f"SELECT event_id, user_id AS page_id, {_SECONDS.format('ts')} AS "at", ts, event_type, value FROM events",
+    "log": f"SELECT event_id, user_id AS page_id, {_SECONDS.format('ts')} AS \"at\", ts, event_type, value FROM events",
 }
 
 

@@ -110,7 +110,7 @@ ORACLES = {
     "a6_key_range": sql("SELECT min(page_id) AS lo, max(page_id) AS hi FROM art WHERE tier <> 'evicted'"),
     "t1_geotag_page": sql("SELECT g.page_id, a.title, lat, lon, kind FROM geo g JOIN art a ON a.page_id = g.page_id WHERE primary_ ORDER BY g.page_id, lat, lon LIMIT 200 OFFSET 300"),
     "t3_lru": sql("SELECT page_id, title, tier, last_accessed, access_count FROM art WHERE tier IN ('hot', 'warm') AND NOT coalesce(pinned, false) ORDER BY last_accessed NULLS FIRST, access_count NULLS FIRST, page_id LIMIT 50"),
-    "t7_ring": sql("SELECT event_id, page_id, "at" FROM log ORDER BY "at" DESC, event_id DESC LIMIT 1000"),
+    "t7_ring": sql('SELECT event_id, page_id, "at" FROM log ORDER BY "at" DESC, event_id DESC LIMIT 1000'),
     "f1_normalised_titles": f"SELECT DISTINCT title, trim(replace(title, '_', ' '), '{lookup.WHITE_SPACE}') AS norm FROM articles",
     "f2_ascii_fold": sql(f"SELECT page_id, {_FOLD.format('title')} AS fold FROM art"),
     "f4_html_escape": sql("SELECT page_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM art"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import integrity, lookups
+from . import integrity, library, lookups
 
-MODULES = [integrity, lookups]
+MODULES = [integrity, lookups, library]
 
 
 def queries() -> dict:

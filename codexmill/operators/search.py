@@ -105,6 +105,10 @@ def guard(text: str, most: int = 4096) -> str:
     return text.strip().encode()[:most].decode("utf-8", "ignore")
 
 
+def _shifted(positions: str, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
 def _clause_scores(postings: DataFrame, stats: DataFrame, clause: Clause, number: int) -> DataFrame:
     p = postings.where(F.col("term").isin(list(set(clause.terms))))
     if clause.field:
@@ -112,7 +116,7 @@ def _clause_scores(postings: DataFrame, stats: DataFrame, clause: Clause, number
     if len(clause.terms) > 1:
         parts = None
         for i, t in enumerate(clause.terms):
-            one = p.where(F.col("term") == t).select("field", "page_id", "len", F.transform("positions", lambda x, i=i: x - i).alias(f"_p{i}"))
+            one = p.where(F.col("term") == t).select("field", "page_id", "len", _shifted("positions", i).alias(f"_p{i}"))
             parts = one if parts is None else parts.join(one.drop("len"), ["field", "page_id"])
         starts = F.col("_p0")
         for i in range(1, len(clause.terms)):

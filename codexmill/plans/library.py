@@ -111,9 +111,9 @@ _CHANGE = f"chg AS (SELECT * FROM (SELECT * FROM articles WHERE page_id IS NOT N
 _CHANGE2 = _CHANGE.replace("title DESC NULLS LAST, tier DESC NULLS LAST, pinned DESC NULLS LAST, stream_offset DESC NULLS LAST, stream_length DESC NULLS LAST, revision_id DESC NULLS LAST", "title DESC NULLS LAST, stream_offset DESC NULLS LAST")
 _EVEN = "even AS (SELECT * FROM art WHERE page_id % 2 = 0)"
 _TITLED = "doc AS (SELECT doc_id AS page_id, coalesce(title, '') AS title, text AS body, ['hot', 'hot', 'warm', 'warm', 'warm', 'cold', 'cold', 'cold', 'cold', 'evicted'][doc_id % 10 + 1] AS tier FROM documents)"
-_WORDS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '' AND strlen(x) < 40)"
-_TOK = f"tok AS (SELECT page_id, 'title' AS field, {_WORDS.format('title')} AS w FROM doc UNION ALL SELECT page_id, 'body', {_WORDS.format('body')} FROM doc)"
-_POST = "post AS (SELECT page_id, field, term, count(*) AS tf, any_value(n) AS n FROM (SELECT page_id, field, len(w) AS n, unnest(w) AS term FROM tok) GROUP BY 1, 2, 3)"
+_WORDS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND strlen(x) < 40)"
+_TOK = f"tok AS MATERIALIZED (SELECT page_id, 'title' AS field, {_WORDS.format('title')} AS w FROM doc UNION ALL SELECT page_id, 'body', {_WORDS.format('body')} FROM doc)"
+_POST = "post AS MATERIALIZED (SELECT page_id, field, term, count(*) AS tf, any_value(n) AS n FROM (SELECT page_id, field, len(w) AS n, unnest(w) AS term FROM tok) GROUP BY 1, 2, 3)"
 _STATS = "stats AS (SELECT field, count(*) AS nd, avg(len(w)) AS al FROM tok GROUP BY 1)"
 _EACH = "CASE WHEN field = 'title' THEN 3.0::DOUBLE ELSE 1 END * ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / al)))"
 
@@ -151,10 +151,15 @@ ORACLES = {
     "f11_self_cosine": sql("SELECT page_id, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), list_reverse(cast(embedding AS DOUBLE[]))), 6) AS score FROM emb"),
     "r1_tokens": sql(f"SELECT term, count(*) AS n FROM (SELECT unnest({_WORDS.format('title')}) AS term FROM doc) GROUP BY 1", _TITLED),
     "r2_bm25": sql("SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM hit JOIN doc USING (page_id) ORDER BY hit.score DESC, page_id LIMIT 50", _TITLED, _TOK, _POST, _STATS, _hits("'granite', 'lighthouse', 'harbour'")),
+    "r2_phrase": sql(
+        f"SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM (SELECT page_id, sum({_EACH}) AS score FROM ph JOIN (SELECT field, count(*) AS df FROM ph GROUP BY 1) USING (field) JOIN stats USING (field) GROUP BY 1) h JOIN doc USING (page_id) WHERE page_id NOT IN (SELECT page_id FROM post WHERE term = 'granite') ORDER BY h.score DESC, page_id LIMIT 50",
+        _TITLED, _TOK, _POST, _STATS,
+        "ph AS (SELECT * FROM (SELECT page_id, field, len(w) AS n, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'tonnes' AND w[i + 1] = 'a' AND w[i + 2] = 'year')) AS tf FROM tok) WHERE tf > 0)",
+    ),
     "r3_tiers": sql("SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM hit JOIN doc USING (page_id) WHERE tier IN ('hot', 'warm') ORDER BY hit.score DESC, page_id LIMIT 50", _TITLED, _TOK, _POST, _STATS, _hits("'museum', 'amber'")),
     "r4_fuzzy": sql("SELECT page_id, title, 0.0::DOUBLE AS score, true AS fuzzy FROM doc WHERE page_id IN (SELECT page_id FROM post WHERE field = 'title' AND damerau_levenshtein(term, 'brigde') <= 1) ORDER BY page_id LIMIT 40", _TITLED, _TOK, _POST),
     "a8_corpus": sql("SELECT field, nd AS n_docs, round(al, 6) AS avg_len FROM stats", _TITLED, _TOK, _STATS),
-    "r12_citations": sql("SELECT event_id, array_to_string(list_filter(CASE WHEN page_id % 7 = 2 THEN CASE WHEN event_id % 5 = 2 THEN [2] ELSE [2, event_id % 5] END WHEN event_id % 5 IN (2, page_id % 7) THEN [page_id % 7, 2] ELSE [page_id % 7, 2, event_id % 5] END, x -> x BETWEEN 1 AND 5), ',') AS cited FROM log"),
-    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE NULL END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
+    "r12_citations": sql("SELECT event_id, array_to_string(list_filter(CASE WHEN page_id % 7 = 2 THEN CASE WHEN event_id % 5 = 2 THEN [2] ELSE [2, event_id % 5] END WHEN event_id % 5 IN (2, page_id % 7) THEN [page_id % 7, 2] ELSE [page_id % 7, 2, event_id % 5] END, lambda x: x BETWEEN 1 AND 5), ',') AS cited FROM log"),
+    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE (list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3) END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
     "r11_sources": "SELECT question_id, string_agg('[A' || id || '] ' || coalesce(title, '') || ': ' || coalesce(snippet, ''), chr(10) ORDER BY id NULLS FIRST) AS sources FROM (SELECT question_id, id, min(title) AS title, min(snippet) AS snippet FROM chat_context GROUP BY 1, 2) GROUP BY 1",
 }

@@ -117,6 +117,7 @@ ORACLES = {
     "f5_slug": sql("SELECT page_id, coalesce(nullif(trim(lower(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'section') AS slug FROM art"),
     "f7_url_title": sql(f"SELECT page_id, {_URL} AS url FROM art"),
     "f8_template_names": sql("SELECT DISTINCT cl_to, upper(replace(cl_to, '_', ' ')[1:1]) || replace(cl_to, '_', ' ')[2:] AS pretty FROM cl"),
+    "f9_snippets": sql("SELECT page_id, CASE WHEN strlen(wikitext) <= 600 THEN length(wikitext) ELSE len(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 1 END AS n, CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3 END AS b FROM hot"),
     "f15_disk": "WITH x AS (SELECT p_partkey, p_size * 1000 AS f, p_partkey % 40000 AS n FROM part) SELECT p_partkey, round(greatest(0, f - n)::DOUBLE / 60000 * 100, 6) AS pct, f < n OR floor(greatest(0, f - n)::DOUBLE / 60000 * 100) < 15 AS warn FROM x",
     "f16_retry": sql("SELECT event_id, 400 + page_id % 130 AS status, (400 + page_id % 130) IN (408, 425, 429) OR 400 + page_id % 130 >= 500 AS again FROM log"),
     "f17_backoff": sql("SELECT event_id, cast(CASE WHEN event_id % 4 = 0 THEN least(event_id % 500, 300) ELSE [1, 1, 2, 4, 8, 16, 32, 60][least(event_id % 10, 7) + 1] END AS BIGINT) AS wait FROM log"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import integrity, library, lookups
+from . import integrity, library, lookups, sources
 
-MODULES = [integrity, lookups, library]
+MODULES = [integrity, lookups, library, sources]
 
 
 def queries() -> dict:

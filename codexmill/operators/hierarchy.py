@@ -102,19 +102,15 @@ def euler_tours(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     ).select("a.*")
     # rank: arcs from this one to the end of what it spans; rise: leaving minus entering arcs therein.
     # An arc without successor is the exit of its piece's root and names the piece.
-    open_arcs = cut(arcs.withColumn("last", F.col("arc")))
-    done = None
+    arcs = cut(arcs.withColumn("last", F.col("arc")))
     while True:
-        ended = open_arcs.where("to is null")
-        going = open_arcs.where("to is not null")
-        done = ended if done is None else done.unionByName(ended)
+        going = arcs.where("to is not null")
         if going.isEmpty():
             break
-        nxt = open_arcs.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("rise").alias("rise2"), F.col("last").alias("last2"))
-        ends = done.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("rise").alias("rise2"), F.col("last").alias("last2"))
-        nxt = nxt.where("to2 is not null").unionByName(ends)
-        open_arcs = cut(going.join(nxt, "to").select("arc", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("last2").alias("last")))
-    ranked = done.withColumn("node", F.shiftright("arc", 1)).groupBy("node").agg(
+        nxt = arcs.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("rise").alias("rise2"), F.col("last").alias("last2"))
+        jumped = going.join(nxt, "to").select("arc", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("last2").alias("last"))
+        arcs = cut(jumped.unionByName(arcs.where("to is null")))
+    ranked = arcs.withColumn("node", F.shiftright("arc", 1)).groupBy("node").agg(
         F.max("rank").alias("in_rank"), F.min("rank").alias("out_rank"), F.min_by("rise", "rank").alias("rise"), F.shiftright(F.max("last"), 1).alias("piece")
     )
     # The rise of a leaving arc counts itself and its open ancestors: depth + 1.

@@ -142,7 +142,10 @@ def page_of(df: DataFrame, order: list[Column | str], offset: int, limit: int) -
 def page_after(df: DataFrame, keys: list[str], last: tuple | None, limit: int) -> DataFrame:
     """T1 for deep pages: the rows after a key, without skipping over those before it."""
     if last is not None:
-        df = df.where(F.struct(*keys) > F.struct(*(F.lit(x) for x in last)))
+        after, same = F.lit(False), F.lit(True)
+        for k, x in zip(keys, last):
+            after, same = after | (same & (F.col(k) > F.lit(x))), same & (F.col(k) == F.lit(x))
+        df = df.where((F.col(keys[0]) >= F.lit(last[0])) & after)  # the first comparison reaches the scan
     return df.orderBy(*keys).limit(clamp(limit, 1, 100_000))
 
 

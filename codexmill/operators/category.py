@@ -64,8 +64,9 @@ def closure_to_depth(links: DataFrame, articles: DataFrame, roots: DataFrame, de
     depth = clamp(depth, 0, 10)
     name_of = articles.where(F.col("title").startswith("Category:")).select("page_id", F.translate(F.expr("substring(title, 10)"), " ", "_").alias("name"))
     sub = links.where("cl_type = 'subcat'").join(name_of, links["cl_from"] == name_of["page_id"]).select("cl_to", F.col("name").alias("child")).distinct()
+    sub = cut(sub)  # the small part of the links that every level joins
     seen = roots.select("root", F.translate("root", " ", "_").alias("cl_to"), F.lit(0).alias("level")).distinct()
-    new = seen
+    new = seen = cut(seen)
     for level in range(1, depth + 1):
         new = cut(new.select("root", "cl_to").join(sub, "cl_to").select("root", F.col("child").alias("cl_to")).distinct().join(seen.select("root", "cl_to"), ["root", "cl_to"], "left_anti").withColumn("level", F.lit(level)))
         if new.isEmpty():

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.porter import stem
 from ..functions.text import ascii_fold
+from ..session import cut
 from .lookup import clamp
 
 #: BM25 parameters, boost of the title, longest token in bytes.
@@ -133,6 +134,8 @@ def _clause_scores(postings: DataFrame, stats: DataFrame, clause: Clause, number
 def bm25(postings: DataFrame, stats: DataFrame, clauses: list[Clause]) -> DataFrame:
     """R2: page_id, score; any clause matches unless some are required or excluded."""
     spark = postings.sparkSession
+    # The query's own postings, read once; scores and document frequencies both come from them.
+    postings = cut(postings.where(F.col("term").isin(sorted({t for c in clauses for t in c.terms}))))
     scored = [(_clause_scores(postings, stats, c, i), c) for i, c in enumerate(clauses)]
     if not any(c.occur != "not" for c in clauses):
         return spark.createDataFrame([], "page_id bigint, score double")
@@ -190,6 +193,7 @@ def search_archive(postings: DataFrame, corpus: DataFrame, query: str, limit: in
         raise ValueError(f"malformed query {query!r}")
     words = sorted({stem(w) for w in re.split(r"[\W_]+", query.lower()) if w})
     per = postings.where(F.col("term").isin(words)).groupBy("term", "page_id").agg(F.sum("tf").alias("tf"))
+    per = cut(per)
     df = per.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     s = per.join(F.broadcast(df), "term").join(corpus.select("page_id", "len"), "page_id").join(F.broadcast(n))

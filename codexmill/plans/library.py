@@ -10,7 +10,6 @@ from ..operators import mutations as M
 from ..operators import retrieval as R
 from ..operators import search as X
 from ..operators import vectors as V
-from ..session import cut
 from ..tables import table
 from .curated_sql import sql
 
@@ -35,13 +34,13 @@ _FIELDS = {"title": "title", "body": "body"}
 
 def _search(s, d, q, n, tiers=None):
     c = _titled(s, d)
-    r = X.search(cut(X.build_postings(c, _FIELDS)), X.corpus_stats(c, _FIELDS), c, q, n, tiers)
+    r = X.search(X.build_postings(c, _FIELDS), X.corpus_stats(c, _FIELDS), c, q, n, tiers)
     return r.select("page_id", "title", F.round("score", 6).alias("score"), "fuzzy")
 
 
 def _archive(s, d):
     r = C.saved_revisions(s, d).withColumnRenamed("id", "page_id")
-    p = cut(X.build_postings(r, {"title": "title", "wikitext": "wikitext", "note": "user_note"}, stemmed=True))
+    p = X.build_postings(r, {"title": "title", "wikitext": "wikitext", "note": "user_note"}, stemmed=True)
     size = r.select("page_id", sum((F.size(X.tokens(c)) for c in ("title", "wikitext", "user_note")), F.lit(0)).alias("len"))
     return X.search_archive(p, size, "granite lighthouses", 40).select("page_id", F.round("score", 6).alias("score"))
 

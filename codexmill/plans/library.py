@@ -135,6 +135,7 @@ ORACLES = {
     "snk12_remove": sql("SELECT id FROM book WHERE id % 5 <> 0"),
     "snk14_delete_folder": sql("SELECT id, CASE WHEN folder_id IN (SELECT id FROM down) THEN NULL ELSE folder_id END AS folder_id FROM book", "down AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT f.id FROM fold f JOIN down ON f.parent_id = down.id)"),
     "snk15_import_folders": sql("SELECT name, parent_id FROM fold UNION ALL SELECT * FROM (VALUES ('New', 1), ('loop a', NULL), ('loop b', NULL), ('under new', 8)) v(name, parent_id)"),
+    "snk15_import_bookmarks": sql("SELECT article_title, note, created_at FROM book UNION ALL SELECT title, note, created_at FROM (SELECT article_title || CASE WHEN id % 2 = 0 THEN ' II' ELSE '' END AS title, note, created_at FROM book WHERE id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY title ORDER BY created_at, note NULLS FIRST) = 1"),
     "snk16_export": sql("SELECT 'folder' AS kind, '{\"name\":\"' || f.name || '\"' || coalesce(',\"parent\":\"' || p.name || '\"', '') || ',\"created_at\":' || f.created_at || '}' AS json FROM fold f LEFT JOIN fold p ON p.id = f.parent_id UNION ALL SELECT 'bookmark', '{\"title\":\"' || article_title || '\"' || coalesce(',\"folder\":\"' || f.name || '\"', '') || coalesce(',\"note\":\"' || note || '\"', '') || ',\"created_at\":' || b.created_at || '}' FROM book b LEFT JOIN fold f ON f.id = b.folder_id"),
     "snk17_save_revision": sql("SELECT title, revision_id, CASE WHEN revision_id % 2 = 0 THEN fetched_at ELSE 1720000000 END AS fetched_at, CASE WHEN revision_id % 3 = 0 THEN 'again' ELSE user_note END AS user_note FROM rev WHERE revision_id % 2 = 0 OR revision_id % 3 = 0"),
     "q9_is_bookmarked": sql("SELECT title, title IN (SELECT article_title FROM book) AS bookmarked FROM (SELECT DISTINCT 'Article ' || (id % 9000) AS title FROM book)"),
@@ -158,6 +159,10 @@ ORACLES = {
     "r3_tiers": sql("SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM hit JOIN doc USING (page_id) WHERE tier IN ('hot', 'warm') ORDER BY hit.score DESC, page_id LIMIT 50", _TITLED, _TOK, _POST, _STATS, _hits("'museum', 'amber'")),
     "r4_fuzzy": sql("SELECT page_id, title, 0.0::DOUBLE AS score, true AS fuzzy FROM doc WHERE page_id IN (SELECT page_id FROM post WHERE field = 'title' AND damerau_levenshtein(term, 'brigde') <= 1) ORDER BY page_id LIMIT 40", _TITLED, _TOK, _POST),
     "a8_corpus": sql("SELECT field, nd AS n_docs, round(al, 6) AS avg_len FROM stats", _TITLED, _TOK, _STATS),
+    "j12_merged_lists": sql(
+        "SELECT page_id, title, 0 AS source FROM l0 UNION ALL SELECT page_id, title, 1 FROM l1 WHERE f NOT IN (SELECT f FROM l0) UNION ALL SELECT page_id, title, 2 FROM l2 WHERE f NOT IN (SELECT f FROM l0 UNION SELECT f FROM l1)",
+        _TITLED, *(f"{n} AS (SELECT page_id, {t} AS title, translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM {w})" for n, t, w in (("l0", "title", "doc WHERE tier = 'hot'"), ("l1", "upper(title)", "doc WHERE tier = 'warm'"), ("l2", "title", "art"))),
+    ),
     "r12_citations": sql("SELECT event_id, array_to_string(list_filter(CASE WHEN page_id % 7 = 2 THEN CASE WHEN event_id % 5 = 2 THEN [2] ELSE [2, event_id % 5] END WHEN event_id % 5 IN (2, page_id % 7) THEN [page_id % 7, 2] ELSE [page_id % 7, 2, event_id % 5] END, lambda x: x BETWEEN 1 AND 5), ',') AS cited FROM log"),
     "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE (list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3) END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
     "r11_sources": "SELECT question_id, string_agg('[A' || id || '] ' || coalesce(title, '') || ': ' || coalesce(snippet, ''), chr(10) ORDER BY id NULLS FIRST) AS sources FROM (SELECT question_id, id, min(title) AS title, min(snippet) AS snippet FROM chat_context GROUP BY 1, 2) GROUP BY 1",

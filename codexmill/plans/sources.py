@@ -66,6 +66,8 @@ QUERIES = {
     "st8_outcomes": lambda s, d: G.request_outcomes(_log(s, d), 0.02).groupBy("outcome").agg(F.count("*").alias("n")),
 }
 
+_EVENTS = "ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t_at, event_id) AS n FROM (SELECT page_id % 20 AS client, floor(\"at\" / 40)::DOUBLE AS t_at, event_id, event_type = 'error' AS is_error FROM log))"
+
 ORACLES = {
     "src2_index": sql("SELECT stream_offset, page_id, title FROM art WHERE stream_offset IS NOT NULL"),
     "src4_pages": sql("SELECT page_id, title, revision_id, 'See [' || title || ']' AS wikitext FROM art"),
@@ -75,6 +77,18 @@ ORACLES = {
     "w8_links": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, target, target IN (SELECT title FROM art WHERE tier <> 'evicted') AS available FROM (SELECT page_id, i - 1 AS pos, trim(f[i]) AS target FROM (SELECT page_id, regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|{}<>\\n]+)(?:\\|[^\\[\\]]*)?\\]\\]', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i)) WHERE NOT regexp_matches(lower(target), '^(file|image|category):') AND target <> ''"),
     "f6_heading_ids": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, level, text, 's-' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) AS n FROM (SELECT *, coalesce(nullif(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'section') AS slug FROM (SELECT page_id, i - 1 AS pos, length(regexp_extract(f[i], '^(=+)', 1)) AS level, trim(trim(f[i], '=')) AS text FROM (SELECT page_id, regexp_extract_all(wikitext, '(?m)^(={2,6}[^=\\n][^\\n]*?={2,6})[ \\t]*$', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i))))"),
     "a10_rolling_errors": sql("SELECT event_id, page_id, \"at\", count(*) OVER (PARTITION BY page_id ORDER BY \"at\" RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM log WHERE event_type = 'error'"),
+    "st2_token_bucket": sql(
+        "SELECT event_id, round(wait, 6) AS wait FROM rec WHERE n > 0", _EVENTS,
+        "rec AS (SELECT DISTINCT client, 0::BIGINT AS n, 0::BIGINT AS event_id, NULL::DOUBLE AS tokens, NULL::DOUBLE AS last, 0::DOUBLE AS wait FROM ev UNION ALL "
+        "SELECT client, n, event_id, t - 1, greatest(t_at, coalesce(last, t_at)), CASE WHEN t >= 1 THEN 0 ELSE (1 - t) / 0.02::DOUBLE END FROM (SELECT e.client, e.n, e.event_id, e.t_at, r.last, CASE WHEN r.n = 0 THEN 0.02::DOUBLE ELSE least(0.02::DOUBLE, r.tokens + greatest(0, e.t_at - r.last) * 0.02::DOUBLE) END AS t FROM rec r JOIN ev e ON e.client = r.client AND e.n = r.n + 1))",
+    ),
+    "st3_breaker": sql(
+        "SELECT event_id, until IS NOT NULL AS is_open FROM rec WHERE n > 0", _EVENTS,
+        "rec AS (SELECT DISTINCT client, 0::BIGINT AS n, 0::BIGINT AS event_id, []::DOUBLE[] AS recent, NULL::DOUBLE AS until FROM ev UNION ALL "
+        "SELECT client, n, event_id, CASE WHEN len(r1) >= 5 THEN [] ELSE r1 END, CASE WHEN len(r1) >= 5 THEN t_at + 3000 ELSE u0 END FROM ("
+        "SELECT *, CASE WHEN u0 IS NULL AND is_error THEN list_append(list_filter(r0, lambda t: t_at - t <= 600), t_at) ELSE r0 END AS r1 FROM ("
+        "SELECT e.client, e.n, e.event_id, e.t_at, e.is_error, CASE WHEN r.until IS NOT NULL AND e.t_at >= r.until THEN NULL ELSE r.until END AS u0, CASE WHEN r.until IS NOT NULL AND e.t_at >= r.until THEN [] ELSE r.recent END AS r0 FROM rec r JOIN ev e ON e.client = r.client AND e.n = r.n + 1)))",
+    ),
     "st4_history": sql("SELECT page_id, cast(ts AS DATE) AS day, count(*) AS access_count FROM log GROUP BY 1, 2"),
     "st6_first_urls": sql("SELECT DISTINCT 'u' || page_id AS url FROM log"),
 }

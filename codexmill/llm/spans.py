@@ -117,6 +117,16 @@ def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(_mix(h + np.uint64(r * 0x632BE59BD9B4E019 % 2**64)) & np.uint64(bits - 1)).astype(np.int64) for r in range(ROWS)]
 
 
+def _as_bytes(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte numbers, bits of the cells in each, bits of those met more than once); the first bit of a byte is the highest."""
+    cell, n = np.unique(cells, return_counts=True)
+    byte, bit = cell >> 3, (128 >> (cell & 7)).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]])) if len(byte) else np.empty(0, np.int64)
+    if not len(first):
+        return byte, bit, bit
+    return byte[first], np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), first)
+
+
 def _sketch_bits(chars: int) -> int:
     want = max(CHUNK_BITS, 8 * chars // (K // 2))
     return min(MAX_BITS, 1 << (int(want) - 1).bit_length())
@@ -126,20 +136,19 @@ def sketch(docs: DataFrame, bits: int) -> list[np.ndarray]:
     """The merged sketch: for each row a bit map of the cells holding more than one kept window."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, more = (np.zeros((ROWS, bits), bool) for _ in range(2))
+        one, more = (np.zeros((ROWS, bits // 8), np.uint8) for _ in range(2))
         for b in batches:
             for _, _, t in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for r, c in enumerate(_cells(kept_windows(t)[2], bits)):
-                    c = np.sort(c)
-                    again = np.concatenate([[False], c[1:] == c[:-1]])
-                    more[r, c[again]] = True
-                    more[r, c[one[r, c]]] = True
-                    one[r, c] = True
+                    at, new, again = _as_bytes(c)
+                    more[r, at] |= again | (one[r, at] & new)
+                    one[r, at] |= new
+        step = CHUNK_BITS // 8
         for r in range(ROWS):
-            for k in range(0, bits, CHUNK_BITS):
-                if one[r, k : k + CHUNK_BITS].any():
-                    maps = [zlib.compress(np.packbits(m[r, k : k + CHUNK_BITS]).tobytes(), 1) for m in (one, more)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k // CHUNK_BITS], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], names=["r", "k", "one", "more"])
+            for k in range(bits // CHUNK_BITS):
+                if one[r, k * step : (k + 1) * step].any():
+                    maps = [zlib.compress(m[r, k * step : (k + 1) * step].tobytes(), 1) for m in (one, more)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([k], pa.int32()), *(pa.array([m], pa.binary()) for m in maps)], names=["r", "k", "one", "more"])
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
         one = more = None

@@ -127,7 +127,7 @@ ORACLES = {
     "snk3_upsert_geotags": sql("SELECT page_id, lat, lon, primary_, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE kind END AS kind FROM geo WHERE page_id % 2 = 0 OR page_id % 3 = 0"),
     "snk4_upsert_links": sql("SELECT cl_from, cl_to, CASE WHEN cl_from % 3 = 0 THEN 'file' ELSE cl_type END AS cl_type FROM cl WHERE cl_from % 2 = 0 OR cl_from % 3 = 0"),
     "snk5_upsert_redirects": sql("SELECT from_page_id, CASE WHEN from_page_id % 3 = 0 THEN upper(target_title) ELSE target_title END AS target_title FROM red WHERE from_page_id % 2 = 0 OR from_page_id % 3 = 0"),
-    "snk6_upsert_embeddings": sql("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE model END AS model, len(embedding) AS dims FROM emb WHERE page_id % 2 = 0 OR page_id % 3 = 0"),
+    "snk6_upsert_embeddings": sql("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE model END AS model, cast(len(embedding) AS INTEGER) AS dims FROM emb WHERE page_id % 2 = 0 OR page_id % 3 = 0"),
     "snk9_touch": sql("SELECT a.page_id, greatest(last_accessed, t) AS last_accessed, coalesce(access_count, 0) + coalesce(n, 0) AS access_count FROM art a LEFT JOIN (SELECT page_id, max(\"at\") AS t, count(*) AS n FROM log GROUP BY 1) l ON l.page_id = a.page_id"),
     "snk10_clear": sql("SELECT count(*) FILTER (last_accessed > 0 OR access_count > 0) AS n FROM art"),
     "snk11_add_bookmarks": sql("SELECT DISTINCT article_title, folder_id FROM book WHERE id % 2 = 0 OR id % 3 = 0"),
@@ -147,7 +147,7 @@ ORACLES = {
     "q15_owners": sql("SELECT mem.title, mod.id, mod.name FROM mem JOIN mod ON mod.id = module_id WHERE starts_with(mem.title, 'I')"),
     "a7_folder_tally": sql("SELECT coalesce(cast(folder_id AS VARCHAR), 'unfiled') AS folder, count(*) AS n FROM book GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM book"),
     "t2_cosine_top_k": sql("SELECT page_id, 'Vector ' || page_id AS title, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score FROM emb WHERE model = 'm1' AND page_id % 10 <> 9 ORDER BY list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, page_id LIMIT 25"),
-    "f10_blob": sql("SELECT page_id, len(embedding) * 4 AS n_bytes, true AS same FROM emb"),
+    "f10_blob": sql("SELECT page_id, cast(len(embedding) * 4 AS INTEGER) AS n_bytes, true AS same FROM emb"),
     "f11_self_cosine": sql("SELECT page_id, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), list_reverse(cast(embedding AS DOUBLE[]))), 6) AS score FROM emb"),
     "r1_tokens": sql(f"SELECT term, count(*) AS n FROM (SELECT unnest({_WORDS.format('title')}) AS term FROM doc) GROUP BY 1", _TITLED),
     "r2_bm25": sql("SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM hit JOIN doc USING (page_id) ORDER BY hit.score DESC, page_id LIMIT 50", _TITLED, _TOK, _POST, _STATS, _hits("'granite', 'lighthouse', 'harbour'")),
@@ -164,6 +164,6 @@ ORACLES = {
         _TITLED, *(f"{n} AS (SELECT page_id, {t} AS title, translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM {w})" for n, t, w in (("l0", "title", "doc WHERE tier = 'hot'"), ("l1", "upper(title)", "doc WHERE tier = 'warm'"), ("l2", "title", "art"))),
     ),
     "r12_citations": sql("SELECT event_id, array_to_string(list_filter(CASE WHEN page_id % 7 = 2 THEN CASE WHEN event_id % 5 = 2 THEN [2] ELSE [2, event_id % 5] END WHEN event_id % 5 IN (2, page_id % 7) THEN [page_id % 7, 2] ELSE [page_id % 7, 2, event_id % 5] END, lambda x: x BETWEEN 1 AND 5), ',') AS cited FROM log"),
-    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE (list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3) END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
+    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, cast(CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE (list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3) END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS INTEGER) AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
     "r11_sources": "SELECT question_id, string_agg('[A' || id || '] ' || coalesce(title, '') || ': ' || coalesce(snippet, ''), chr(10) ORDER BY id NULLS FIRST) AS sources FROM (SELECT question_id, id, min(title) AS title, min(snippet) AS snippet FROM chat_context GROUP BY 1, 2) GROUP BY 1",
 }

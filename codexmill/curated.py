@@ -31,20 +31,34 @@ def hot_content(s: SparkSession, d: str) -> DataFrame:
     return latest(h, ["page_id"], ["loaded_at", "revision_id"]).select("page_id", "wikitext")
 
 
-def geotags(s: SparkSession, d: str) -> DataFrame:
+def geotag_rows(s: SparkSession, d: str) -> DataFrame:
+    """The usable rows, repeated and older ones included."""
     g = table(s, d, "geotags").where("page_id is not null and lat between -90 and 90 and lon between -180 and 180 and not isnan(lat) and not isnan(lon)")
-    return latest(g, ["page_id", "lat", "lon"], ["loaded_at", "primary_", "kind"]).select("page_id", "lat", "lon", F.coalesce("primary_", F.lit(False)).alias("primary_"), "kind")
+    return g.select("page_id", "lat", "lon", F.coalesce("primary_", F.lit(False)).alias("primary_"), "kind", "loaded_at")
 
 
-def categorylinks(s: SparkSession, d: str) -> DataFrame:
+def geotags(s: SparkSession, d: str) -> DataFrame:
+    return latest(geotag_rows(s, d), ["page_id", "lat", "lon"], ["loaded_at", "primary_", "kind"]).drop("loaded_at")
+
+
+def categorylink_rows(s: SparkSession, d: str) -> DataFrame:
+    """The usable rows, repeated and older ones included."""
     c = table(s, d, "categorylinks").where("cl_from is not null and cl_type in ('page', 'subcat', 'file')")
-    c = c.withColumn("cl_to", F.translate(norm_title("cl_to"), " ", "_")).where("cl_to <> ''")
+    return c.withColumn("cl_to", F.translate(norm_title("cl_to"), " ", "_")).where("cl_to <> ''")
+
+
+def categorylinks(s: SparkSession, d: str) -> DataFrame:
+    c = categorylink_rows(s, d)
     return latest(c, ["cl_from", "cl_to"], ["loaded_at", "cl_timestamp", "cl_type"]).select("cl_from", "cl_to", "cl_type")
 
 
+def redirect_rows(s: SparkSession, d: str) -> DataFrame:
+    """The usable rows, repeated and older ones included."""
+    return table(s, d, "redirects").where("from_page_id is not null").withColumn("target_title", norm_title("target_title")).where("target_title <> ''")
+
+
 def redirects(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "redirects").where("from_page_id is not null").withColumn("target_title", norm_title("target_title")).where("target_title <> ''")
-    return latest(r, ["from_page_id"], ["loaded_at"]).select("from_page_id", "target_title")
+    return latest(redirect_rows(s, d), ["from_page_id"], ["loaded_at"]).select("from_page_id", "target_title")
 
 
 def embeddings(s: SparkSession, d: str) -> DataFrame:

@@ -24,8 +24,8 @@ TABLES = {
         "page_id", "updated_at, created_at, revision_id, title, tier, pinned, stream_offset, stream_length, last_accessed, access_count",
     ),
     "hot": _latest("SELECT page_id, wikitext, loaded_at, revision_id FROM hot_content WHERE page_id IS NOT NULL AND wikitext IS NOT NULL", "page_id", "loaded_at, revision_id, wikitext"),
-    "geo": "SELECT page_id, lat, lon, coalesce(primary_, false) AS primary_, kind FROM ("
-    + _latest("SELECT * FROM geotags WHERE page_id IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180", "page_id, lat, lon", "loaded_at, primary_, kind") + ")",
+    "geo": "SELECT page_id, lat, lon, primary_, kind FROM ("
+    + _latest("SELECT page_id, lat, lon, coalesce(primary_, false) AS primary_, kind, loaded_at FROM geotags WHERE page_id IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180", "page_id, lat, lon", "loaded_at, primary_, kind") + ")",
     "cl": "SELECT cl_from, cl_to, cl_type FROM ("
     + _latest(f"SELECT cl_from, replace({norm('cl_to')}, ' ', '_') AS cl_to, cl_type, cl_timestamp, loaded_at FROM categorylinks WHERE cl_from IS NOT NULL AND cl_type IN ('page', 'subcat', 'file') AND {norm('cl_to')} <> ''", "cl_from, cl_to", "loaded_at, cl_timestamp, cl_type") + ")",
     "red": _latest(f"SELECT from_page_id, {norm('target_title')} AS target_title, loaded_at FROM redirects WHERE from_page_id IS NOT NULL AND {norm('target_title')} <> ''", "from_page_id", "loaded_at, target_title"),

@@ -10,6 +10,7 @@ from ..operators import mutations as M
 from ..operators import retrieval as R
 from ..operators import search as X
 from ..operators import vectors as V
+from ..operators.ingest import backfill_embeddings
 from ..tables import table
 from .curated_sql import sql
 
@@ -18,9 +19,18 @@ def _now():
 
 
 def _change(s, d):
-    """The raw article rows as a stream of changes, ordered by revision."""
+    """All raw article rows as a stream of changes, ordered by their update."""
     a = table(s, d, "articles").where("page_id is not null and title is not null and tier is not null")
-    return a.where("page_id % 3 = 0").withColumn("seq", F.coalesce("updated_at", F.lit(0)))
+    return a.withColumn("seq", F.coalesce("updated_at", F.lit(0)))
+
+
+_CUT = "2024-01-01"
+
+
+def _replayed(rows, keys, values, order, upsert):
+    """The table as it was at a moment, changed by all rows loaded later; it must be the table of today."""
+    then, later = rows.where(f"loaded_at < timestamp_ntz '{_CUT}'"), rows.where(f"loaded_at >= timestamp_ntz '{_CUT}'")
+    return upsert(C.latest(then, keys, order).select(*keys, *values), later.withColumn("seq", F.struct(*order)), "seq")
 
 
 def _titled(s, d):
@@ -58,28 +68,53 @@ def _imported(s, d):
     folders, marks, _ = B.import_bookmarks(
         C.folders(s, d), b,
         C.folders(s, d).select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("parent"), "created_at").unionByName(s.createDataFrame([("New", "1-URGENT", 5), ("loop a", "loop b", 6), ("loop b", "loop a", 7), ("under new", "new", 8)], "name string, parent string, created_at bigint")),
-        b.where("id % 7 = 0").select(F.concat("article_title", F.when(F.col("id") % 2 == 0, F.lit(" II")).otherwise("")).alias("title"), F.lit("new").alias("folder"), "note", "created_at"),
+        b.where("note is not null").select(F.concat("article_title", F.when(F.col("folder_id").isNull(), F.lit(" II")).otherwise("")).alias("title"), F.lit("new").alias("folder"), "note", "created_at"),
     )
     return folders, marks
 
 
+def _first_page(s, d):
+    return C.articles(s, d).agg(F.min("page_id")).first()[0]
+
+
+def _moved(s, d):
+    a, hot, warm = M.set_tier(C.articles(s, d), C.hot_content(s, d), C.hot_content(s, d).limit(0), _first_page(s, d), "warm", "moved text")
+    return a.where("tier = 'warm'").select("page_id", "tier").join(warm, "page_id", "left").join(hot.select("page_id", F.length("wikitext").alias("hot_chars")), "page_id", "left")
+
+
+def _semantic(s, d):
+    a = C.articles(s, d)
+    embed = V.hashing_embedder(32)
+    e = V.embed_titles(a.where("tier <> 'evicted'"), "hash", embed)
+    return V.top_k(e, a, "hash", embed(["Treaty of the river"])[0].tolist(), 30).select("page_id", "title", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
-    "snk1_upsert": lambda s, d: M.upsert_metadata(C.articles(s, d).where("page_id % 2 = 0"), _change(s, d), _now(), "seq"),
-    "snk2_upsert_cold": lambda s, d: M.batch_upsert_cold(C.articles(s, d).where("page_id % 2 = 0"), _change(s, d), _now(), "seq").select("page_id", "tier", "pinned", "last_accessed", "access_count", "created_at", "updated_at", "stream_offset"),
-    "snk3_upsert_geotags": lambda s, d: M.upsert_geotags(C.geotags(s, d).where("page_id % 2 = 0"), C.geotags(s, d).where("page_id % 3 = 0").withColumn("kind", F.lit("new"))),
-    "snk4_upsert_links": lambda s, d: M.upsert_categorylinks(C.categorylinks(s, d).where("cl_from % 2 = 0"), C.categorylinks(s, d).where("cl_from % 3 = 0").withColumn("cl_type", F.lit("file"))),
-    "snk5_upsert_redirects": lambda s, d: M.upsert_redirects(C.redirects(s, d).where("from_page_id % 2 = 0"), C.redirects(s, d).where("from_page_id % 3 = 0").withColumn("target_title", F.upper("target_title"))),
-    "snk6_upsert_embeddings": lambda s, d: M.upsert_embeddings(C.embeddings(s, d).where("page_id % 2 = 0"), C.embeddings(s, d).where("page_id % 3 = 0").withColumn("model", F.lit("new"))).select("page_id", "model", F.size("embedding").alias("dims")),
+    "snk1_upsert": lambda s, d: M.upsert_metadata(C.articles(s, d), _change(s, d), _now(), "seq"),
+    "snk2_upsert_cold": lambda s, d: M.batch_upsert_cold(C.articles(s, d), _change(s, d), _now(), "seq").select("page_id", "tier", "pinned", "last_accessed", "access_count", "created_at", "updated_at", "stream_offset"),
+    "snk3_upsert_geotags": lambda s, d: _replayed(C.geotag_rows(s, d), ["page_id", "lat", "lon"], ["primary_", "kind"], ["loaded_at", "primary_", "kind"], M.upsert_geotags),
+    "snk4_upsert_links": lambda s, d: _replayed(C.categorylink_rows(s, d), ["cl_from", "cl_to"], ["cl_type"], ["loaded_at", "cl_timestamp", "cl_type"], M.upsert_categorylinks),
+    "snk5_upsert_redirects": lambda s, d: _replayed(C.redirect_rows(s, d), ["from_page_id"], ["target_title"], ["loaded_at"], M.upsert_redirects),
+    "snk6_upsert_embeddings": lambda s, d: M.upsert_embeddings(C.embeddings(s, d), C.embeddings(s, d).where("model = 'm1'").withColumn("model", F.lit("new"))).select("page_id", "model", F.size("embedding").alias("dims")),
     "snk9_touch": lambda s, d: M.touch_all(C.articles(s, d), C.access_log(s, d)).select("page_id", "last_accessed", "access_count"),
     "snk10_clear": lambda s, d: M.clear_history(C.articles(s, d))[1],
-    "snk11_add_bookmarks": lambda s, d: B.add_bookmarks(C.bookmarks(s, d).where("id % 2 = 0"), C.bookmarks(s, d).where("id % 3 = 0")).select("article_title", "folder_id").distinct(),
-    "snk12_move": lambda s, d: B.move_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("id % 5 = 0").select("id", F.lit(3).cast("bigint").alias("folder_id"))).select("id", "folder_id"),
-    "snk12_remove": lambda s, d: B.remove_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("id % 5 = 0").select("id")).select("id"),
+    "snk11_add_bookmarks": lambda s, d: B.add_bookmarks(C.bookmarks(s, d).where("folder_id is not null"), C.bookmarks(s, d)).select("article_title", "folder_id").distinct(),
+    "snk12_move": lambda s, d: B.move_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("note is not null").select("id", F.lit(3).cast("bigint").alias("folder_id"))).select("id", "folder_id"),
+    "snk12_remove": lambda s, d: B.remove_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("folder_id is null").select("id")).select("id"),
     "snk14_delete_folder": lambda s, d: B.delete_folders(C.folders(s, d), C.bookmarks(s, d), s.createDataFrame([(1,)], "id bigint"))[1].select("id", "folder_id"),
     "snk15_import_folders": lambda s, d: _imported(s, d)[0].select("name", "parent_id"),
     "snk15_import_bookmarks": lambda s, d: _imported(s, d)[1].select("article_title", "note", "created_at"),
     "snk16_export": lambda s, d: B.export_rows(C.folders(s, d), C.bookmarks(s, d)),
-    "snk17_save_revision": lambda s, d: M.save_revisions(C.saved_revisions(s, d).where("revision_id % 2 = 0"), C.saved_revisions(s, d).where("revision_id % 3 = 0").withColumn("user_note", F.lit("again")), _now()).select("title", "revision_id", "fetched_at", "user_note"),
+    "snk17_save_revision": lambda s, d: M.save_revisions(C.saved_revisions(s, d).where("fetched_at < 1704067200"), C.saved_revisions(s, d).withColumn("user_note", F.lit("again")), _now()).select("title", "revision_id", "fetched_at", "user_note"),
+    "snk7_set_tier": lambda s, d: _moved(s, d),
+    "snk8_pin": lambda s, d: M.pin(C.articles(s, d), _first_page(s, d), True).select("page_id", "pinned"),
+    "snk13_rename_folder": lambda s, d: B.rename_folder(C.folders(s, d), 2, "Renamed"),
+    "snk18_delete_revision": lambda s, d: M.delete_rows(C.saved_revisions(s, d), "id", C.saved_revisions(s, d).agg(F.min("id")).first()[0]).select("id", "title", "revision_id"),
+    "snk19_install_module": lambda s, d: B.list_modules(*M.install_module(C.modules(s, d), C.module_members(s, d), {"id": "asia", "name": "Asia again", "explicit_titles": ["X", "Y", "X"]}, 9)),
+    "snk20_uninstall_module": lambda s, d: B.list_modules(*M.uninstall_module(C.modules(s, d), C.module_members(s, d), "europe")),
+    "snk24_embed": lambda s, d: backfill_embeddings(C.articles(s, d), C.embeddings(s, d), "hash", V.hashing_embedder(16)).select("page_id", "model", F.size("embedding").alias("dims")),
+    "r8_semantic": lambda s, d: _semantic(s, d),
+    "q14_revisions_of_title": lambda s, d: B.revisions_of(C.saved_revisions(s, d), C.saved_revisions(s, d).agg(F.max("title")).first()[0]),
     "q9_is_bookmarked": lambda s, d: B.is_bookmarked(C.bookmarks(s, d), C.bookmarks(s, d).select((F.concat(F.lit("Article "), F.col("id") % 9000)).alias("title")).distinct()),
     "q10_unfiled": lambda s, d: B.in_folder(C.bookmarks(s, d), None, 100),
     "q11_all_bookmarks": lambda s, d: B.all_bookmarks(C.bookmarks(s, d)),
@@ -106,9 +141,9 @@ QUERIES = {
     "r12_citations": lambda s, d: C.access_log(s, d).select("event_id", F.concat(F.lit("See [A"), F.col("page_id") % 7, F.lit("][A2][A2] and [A99] or [A"), F.col("event_id") % 5, F.lit("].")).alias("answer")).select("event_id", F.array_join(R.citations("answer", F.array(*map(F.lit, range(1, 6)))), ",").alias("cited")),
 }
 
-_CHANGE = f"chg AS (SELECT * FROM (SELECT * FROM articles WHERE page_id IS NOT NULL AND title IS NOT NULL AND tier IS NOT NULL AND page_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY coalesce(updated_at, 0) DESC, title DESC NULLS LAST, tier DESC NULLS LAST, pinned DESC NULLS LAST, stream_offset DESC NULLS LAST, stream_length DESC NULLS LAST, revision_id DESC NULLS LAST) = 1)"
+_CHANGE = f"chg AS (SELECT * FROM (SELECT * FROM articles WHERE page_id IS NOT NULL AND title IS NOT NULL AND tier IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY coalesce(updated_at, 0) DESC, title DESC NULLS LAST, tier DESC NULLS LAST, pinned DESC NULLS LAST, stream_offset DESC NULLS LAST, stream_length DESC NULLS LAST, revision_id DESC NULLS LAST) = 1)"
 _CHANGE2 = _CHANGE.replace("title DESC NULLS LAST, tier DESC NULLS LAST, pinned DESC NULLS LAST, stream_offset DESC NULLS LAST, stream_length DESC NULLS LAST, revision_id DESC NULLS LAST", "title DESC NULLS LAST, stream_offset DESC NULLS LAST")
-_EVEN = "even AS (SELECT * FROM art WHERE page_id % 2 = 0)"
+_EVEN = "even AS (SELECT * FROM art)"  # the table before the change
 _TITLED = "doc AS (SELECT doc_id AS page_id, coalesce(title, '') AS title, text AS body, ['hot', 'hot', 'warm', 'warm', 'warm', 'cold', 'cold', 'cold', 'cold', 'evicted'][doc_id % 10 + 1] AS tier FROM documents)"
 _WORDS = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND strlen(x) < 40)"
 _TOK = f"tok AS MATERIALIZED (SELECT page_id, 'title' AS field, {_WORDS.format('title')} AS w FROM doc UNION ALL SELECT page_id, 'body', {_WORDS.format('body')} FROM doc)"
@@ -124,20 +159,28 @@ def _hits(words: str) -> str:
 ORACLES = {
     "snk1_upsert": sql("SELECT coalesce(e.page_id, c.page_id) AS page_id, " + ", ".join(f"CASE WHEN c.page_id IS NOT NULL THEN c.{x} ELSE e.{x} END AS {x}" for x in ("title", "tier", "pinned", "stream_offset", "stream_length", "revision_id")) + ", CASE WHEN e.page_id IS NOT NULL THEN e.last_accessed ELSE 0 END AS last_accessed, CASE WHEN e.page_id IS NOT NULL THEN e.access_count ELSE 0 END AS access_count, CASE WHEN e.page_id IS NOT NULL THEN e.created_at ELSE 1720000000 END AS created_at, CASE WHEN c.page_id IS NOT NULL THEN 1720000000 ELSE e.updated_at END AS updated_at FROM even e FULL JOIN chg c ON c.page_id = e.page_id", _EVEN, _CHANGE),
     "snk2_upsert_cold": sql("SELECT coalesce(e.page_id, c.page_id) AS page_id, CASE WHEN e.page_id IS NULL THEN 'cold' ELSE e.tier END AS tier, CASE WHEN e.page_id IS NULL THEN false ELSE e.pinned END AS pinned, CASE WHEN e.page_id IS NULL THEN 0 ELSE e.last_accessed END AS last_accessed, CASE WHEN e.page_id IS NULL THEN 0 ELSE e.access_count END AS access_count, CASE WHEN e.page_id IS NULL THEN 1720000000 ELSE e.created_at END AS created_at, CASE WHEN c.page_id IS NOT NULL THEN 1720000000 ELSE e.updated_at END AS updated_at, CASE WHEN c.page_id IS NOT NULL THEN c.stream_offset ELSE e.stream_offset END AS stream_offset FROM even e FULL JOIN chg c ON c.page_id = e.page_id", _EVEN, _CHANGE2),
-    "snk3_upsert_geotags": sql("SELECT page_id, lat, lon, primary_, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE kind END AS kind FROM geo WHERE page_id % 2 = 0 OR page_id % 3 = 0"),
-    "snk4_upsert_links": sql("SELECT cl_from, cl_to, CASE WHEN cl_from % 3 = 0 THEN 'file' ELSE cl_type END AS cl_type FROM cl WHERE cl_from % 2 = 0 OR cl_from % 3 = 0"),
-    "snk5_upsert_redirects": sql("SELECT from_page_id, CASE WHEN from_page_id % 3 = 0 THEN upper(target_title) ELSE target_title END AS target_title FROM red WHERE from_page_id % 2 = 0 OR from_page_id % 3 = 0"),
-    "snk6_upsert_embeddings": sql("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE model END AS model, cast(len(embedding) AS INTEGER) AS dims FROM emb WHERE page_id % 2 = 0 OR page_id % 3 = 0"),
+    "snk3_upsert_geotags": sql("SELECT page_id, lat, lon, primary_, kind FROM geo"),
+    "snk4_upsert_links": sql("SELECT cl_from, cl_to, cl_type FROM cl"),
+    "snk5_upsert_redirects": sql("SELECT from_page_id, target_title FROM red"),
+    "snk6_upsert_embeddings": sql("SELECT page_id, CASE WHEN model = 'm1' THEN 'new' ELSE model END AS model, cast(len(embedding) AS INTEGER) AS dims FROM emb"),
     "snk9_touch": sql("SELECT a.page_id, greatest(last_accessed, t) AS last_accessed, coalesce(access_count, 0) + coalesce(n, 0) AS access_count FROM art a LEFT JOIN (SELECT page_id, max(\"at\") AS t, count(*) AS n FROM log GROUP BY 1) l ON l.page_id = a.page_id"),
     "snk10_clear": sql("SELECT count(*) FILTER (last_accessed > 0 OR access_count > 0) AS n FROM art"),
-    "snk11_add_bookmarks": sql("SELECT DISTINCT article_title, folder_id FROM book WHERE id % 2 = 0 OR id % 3 = 0"),
-    "snk12_move": sql("SELECT id, CASE WHEN id % 5 = 0 THEN 3 ELSE folder_id END AS folder_id FROM book"),
-    "snk12_remove": sql("SELECT id FROM book WHERE id % 5 <> 0"),
+    "snk11_add_bookmarks": sql("SELECT DISTINCT article_title, folder_id FROM book"),
+    "snk12_move": sql("SELECT id, CASE WHEN note IS NOT NULL THEN 3 ELSE folder_id END AS folder_id FROM book"),
+    "snk12_remove": sql("SELECT id FROM book WHERE folder_id IS NOT NULL"),
     "snk14_delete_folder": sql("SELECT id, CASE WHEN folder_id IN (SELECT id FROM down) THEN NULL ELSE folder_id END AS folder_id FROM book", "down AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT f.id FROM fold f JOIN down ON f.parent_id = down.id)"),
     "snk15_import_folders": sql("SELECT name, parent_id FROM fold UNION ALL SELECT * FROM (VALUES ('New', 1), ('loop a', NULL), ('loop b', NULL), ('under new', 8)) v(name, parent_id)"),
-    "snk15_import_bookmarks": sql("SELECT article_title, note, created_at FROM book UNION ALL SELECT title, note, created_at FROM (SELECT article_title || CASE WHEN id % 2 = 0 THEN ' II' ELSE '' END AS title, note, created_at FROM book WHERE id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY title ORDER BY created_at, note NULLS FIRST) = 1"),
+    "snk15_import_bookmarks": sql("SELECT article_title, note, created_at FROM book UNION ALL SELECT title, note, created_at FROM (SELECT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END AS title, note, created_at FROM book WHERE note IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY title ORDER BY created_at, note NULLS FIRST) = 1"),
     "snk16_export": sql("SELECT 'folder' AS kind, '{\"name\":\"' || f.name || '\"' || coalesce(',\"parent\":\"' || p.name || '\"', '') || ',\"created_at\":' || f.created_at || '}' AS json FROM fold f LEFT JOIN fold p ON p.id = f.parent_id UNION ALL SELECT 'bookmark', '{\"title\":\"' || article_title || '\"' || coalesce(',\"folder\":\"' || f.name || '\"', '') || coalesce(',\"note\":\"' || note || '\"', '') || ',\"created_at\":' || b.created_at || '}' FROM book b LEFT JOIN fold f ON f.id = b.folder_id"),
-    "snk17_save_revision": sql("SELECT title, revision_id, CASE WHEN revision_id % 2 = 0 THEN fetched_at ELSE 1720000000 END AS fetched_at, CASE WHEN revision_id % 3 = 0 THEN 'again' ELSE user_note END AS user_note FROM rev WHERE revision_id % 2 = 0 OR revision_id % 3 = 0"),
+    "snk17_save_revision": sql("SELECT title, revision_id, CASE WHEN fetched_at < 1704067200 THEN fetched_at ELSE 1720000000 END AS fetched_at, 'again' AS user_note FROM rev"),
+    "snk7_set_tier": sql("SELECT a.page_id, 'warm' AS tier, CASE WHEN a.page_id = m.p THEN 'moved text' END AS wikitext, CASE WHEN a.page_id <> m.p THEN cast(length(h.wikitext) AS INTEGER) END AS hot_chars FROM art a CROSS JOIN (SELECT min(page_id) AS p FROM art) m LEFT JOIN hot h ON h.page_id = a.page_id WHERE tier = 'warm' OR a.page_id = m.p"),
+    "snk8_pin": sql("SELECT page_id, pinned OR page_id = (SELECT min(page_id) FROM art) AS pinned FROM art"),
+    "snk13_rename_folder": sql("SELECT id, CASE WHEN id = 2 THEN 'Renamed' ELSE name END AS name, parent_id, created_at FROM fold"),
+    "snk18_delete_revision": sql("SELECT id, title, revision_id FROM rev WHERE id > (SELECT min(id) FROM rev)"),
+    "snk19_install_module": sql("SELECT id, CASE WHEN id = 'asia' THEN 'Asia again' ELSE name END AS name, CASE WHEN id = 'asia' THEN 'cold' ELSE default_tier END AS default_tier, installed_at, CASE WHEN id = 'asia' THEN 2 ELSE (SELECT count(*) FROM mem WHERE module_id = m.id) END AS member_count FROM mod m"),
+    "snk20_uninstall_module": sql("SELECT m.*, (SELECT count(*) FROM mem WHERE module_id = m.id) AS member_count FROM mod m WHERE id <> 'europe'"),
+    "snk24_embed": sql("SELECT coalesce(a.page_id, e.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN e.model ELSE 'hash' END AS model, CASE WHEN a.page_id IS NULL THEN cast(len(e.embedding) AS INTEGER) ELSE 16 END AS dims FROM (SELECT page_id FROM art WHERE tier <> 'evicted') a FULL JOIN emb e ON e.page_id = a.page_id"),
+    "q14_revisions_of_title": sql("SELECT id, title, revision_id, fetched_at, user_note FROM rev WHERE title = (SELECT max(title) FROM rev)"),
     "q9_is_bookmarked": sql("SELECT title, title IN (SELECT article_title FROM book) AS bookmarked FROM (SELECT DISTINCT 'Article ' || (id % 9000) AS title FROM book)"),
     "q10_unfiled": sql("SELECT * FROM book WHERE folder_id IS NULL ORDER BY created_at DESC, id DESC LIMIT 100"),
     "q11_all_bookmarks": sql("SELECT * FROM book"),

@@ -27,7 +27,7 @@ def _path(spark: SparkSession, name: str):
 
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
     """The current version of a table, None if it has none yet."""
-    p, fs = _path(spark, f"{table}/_current")
+    p, fs = _path(spark, f"{table}/CURRENT")
     if not fs.exists(p):
         return None
     return spark.read.parquet(f"{table}/{spark.read.text(str(p)).first()[0]}")
@@ -39,7 +39,7 @@ def write_version(df: DataFrame, table: str, by: str | None = None) -> DataFrame
     version = f"v-{uuid.uuid4().hex}"
     out = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
     out.write.parquet(f"{table}/{version}")
-    p, fs = _path(spark, f"{table}/_current")
+    p, fs = _path(spark, f"{table}/CURRENT")
     tmp, _ = _path(spark, f"{table}/_next-{version}")
     f = fs.create(tmp, True)
     f.write(bytearray(version.encode()))

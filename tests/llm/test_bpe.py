@@ -2,6 +2,7 @@
 
 import os
 import random
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -22,10 +23,7 @@ def tk():
 
 @pytest.fixture(scope="module")
 def public():
-    tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(vocabulary_path(name="byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return loaded()
 
 
 def ids(tk, text):
@@ -39,13 +37,17 @@ def test_transducer_is_bpe(word):
     assert t.encode(word) == t.merge(word)
 
 
+@lru_cache
+def loaded():
+    t = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary_path(name="byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_equals_public_tokenizer(text):
-    tokenizers = pytest.importorskip("tokenizers")
-    t = test_any_text_equals_public_tokenizer.__dict__.setdefault("t", tokenizers.Tokenizer.from_file(vocabulary_path(name="byte_bpe_50k.json")))
-    t.encode_special_tokens = True
-    assert ids(Tokenizer.load(PATH), text) == t.encode(text, add_special_tokens=False).ids
+    assert ids(Tokenizer.load(PATH), text) == loaded().encode(text, add_special_tokens=False).ids
 
 
 def test_odd_texts(tk, public):

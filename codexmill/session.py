@@ -56,7 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, whether or not it is installed where they run."""
+    """Let Python workers import this package, whether or not it is installed where they run.
+
+    The archive is made where the driver runs and handed to Spark at once, which sends it to the
+    executors; nothing reads it as shared data.
+    """
     import os
     import shutil
 

@@ -133,14 +133,14 @@ class Transducer:
         items = tuple((g, t, c[k:]) for g, t, c in live) if k else tuple(live)
         known = self.states.get(items)
         if known is None:
+            if len(self.states) >= STATES:  # also within a word, however long; the state just read lives on
+                self._reset()
             known = self.states[items] = _State(items)
         state.next[byte] = (known, written)
         return known, written
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one word."""
-        if len(self.states) > STATES:
-            self._reset()
         state, out = self.start, []
         for byte in word:
             step = state.next.get(byte)

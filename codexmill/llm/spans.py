@@ -7,14 +7,19 @@ the same window in all its records, while only about one window in forty is look
 Pass one adds the kept windows of each partition to a count-min sketch. A cell only has to tell
 none, one and more, so a row is two bit maps; partial sketches are compressed, merged cell by cell
 in a distributed aggregation, and the merged "more than once" maps are broadcast. Their width
-follows the corpus up to ``MAX_BITS`` a row (32 MB each), a proven bound; beyond it the sketch
-passes more windows on, but never loses one. Pass two computes the windows again and passes on, with
-k code points of context on either side, only those that every row of the sketch estimates repeated.
-
-These are grouped exactly: first by equal context into classes, so that the copies of a passage
-become one row with many members, then the classes of a window are compared in pairs. Where a window
-has more than ``MANY`` classes, no pairs are formed: every class gives its k + 1 spans of length 2k
-around the window, and equal spans are grouped, which is linear and finds the same.
+follows the corpus up to ``MAX_BITS`` a row (16 MB each), a proven bound. Pass two computes the
+windows again and passes on only those that every row of the sketch estimates repeated, as narrow
+rows of hash, record and place. These are grouped exactly by hash, and those that only one record
+holds go. Only for the rest the texts are read once more and k code points of context on either
+side taken. So a sketch that is too narrow for the corpus loses nothing and costs at most one narrow
+row for every 40 code points; contexts are written for windows that are truly repeated, whatever
+the sketch lets through.
+
+Windows are then grouped by equal context into classes, so that the copies of a passage become one
+row with many members, and the classes of a window are compared in pairs. Where a window has more
+than ``MANY`` classes, no pairs are formed: every class gives its k + 1 spans of length 2k around
+the window, and equal spans are grouped, which is linear and finds the same. Pairs of at most 64
+classes are at most 32 comparisons a class, in place of 81 spans a class to be hashed and shuffled.
 
 ``shared_pairs`` lists pairs of records, as many as there are; ``shared_lengths`` never expands
 pairs and gives each record's number of code points lying in shared spans.
@@ -41,7 +46,7 @@ from ..session import cut
 #: Half the least length of a span.
 K = 80
 #: Rows of the sketch, most bits in a row, bits in a chunk that is merged as one.
-ROWS, MAX_BITS, CHUNK_BITS = 3, 1 << 28, 1 << 20
+ROWS, MAX_BITS, CHUNK_BITS = 3, 1 << 27, 1 << 20
 #: Classes of one window above which spans are grouped instead of compared in pairs.
 MANY = 64
 _SLICE = 1 << 20  # code points hashed at a time
@@ -165,11 +170,8 @@ def sketch(docs: DataFrame, bits: int) -> list[np.ndarray]:
     return out
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(h, doc, pos, left, rest): windows that the sketch estimates repeated, with their context.
-
-    ``left`` is up to K code points before the window, ``rest`` the window and up to K after it.
-    """
+def passed_windows(docs: DataFrame) -> DataFrame:
+    """(h, doc, t, pos): windows that the sketch estimates repeated; t is the hash of their text."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = _sketch_bits(chars)
     maps = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits))
@@ -177,25 +179,48 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = maps.value
         for b in batches:
-            for ids, origin, t in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            hashes = b.column(2).to_pylist()
+            for ids, origin, t in _slices(list(zip(b.column(0).to_pylist(), hashes)), b.column(1).to_pylist()):
                 which, pos, h = kept_windows(t)
                 keep = np.ones(len(h), bool)
                 for m, c in zip(rows, _cells(h, bits)):
                     keep &= (m[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-                w, p = which[keep].tolist(), pos[keep].tolist()
-                found = [(ids[i], origin[i][0] + j, origin[i][1]) for i, j in zip(w, p)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[keep].view(np.int64)),
-                        pa.array([d for d, _, _ in found], pa.int64()),
-                        pa.array([j for _, j, _ in found], pa.int64()),
-                        pa.array([x[max(0, j - K) : j] for _, j, x in found], pa.string()),
-                        pa.array([x[j : j + 2 * K] for _, j, x in found], pa.string()),
-                    ],
-                    names=["h", "doc", "pos", "left", "rest"],
-                )
-
-    return docs.mapInArrow(run, "h long, doc long, pos long, left string, rest string")
+                w = which[keep]
+                doc, text, start = (np.fromiter(x, np.int64, len(ids)) for x in ((i for i, _ in ids), (j for _, j in ids), (o[0] for o in origin)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(doc[w]), pa.array(text[w]), pa.array(pos[keep] + start[w])], names=["h", "doc", "t", "pos"])
+
+    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, "h long, doc long, t long, pos long")
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(h, doc, pos, left, rest): windows that several records hold, with their context.
+
+    ``left`` is up to K code points before the window, ``rest`` the window and up to K after it.
+    """
+    seen = cut(passed_windows(docs))
+    several = seen.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h")
+    places = seen.join(several, "h", "left_semi").groupBy("doc", "t").agg(F.collect_set(F.struct("pos", "h")).alias("w"))
+    found = docs.withColumn("t", F.xxhash64("text")).join(places, ["doc", "t"]).select("doc", "text", "w")
+
+    def contexts(rows: list[tuple]) -> pa.RecordBatch:
+        h, doc, pos, text = zip(*rows)
+        left, rest = ([x[max(0, j - K) : j] for j, x in zip(pos, text)], [x[j : j + 2 * K] for j, x in zip(pos, text)])
+        columns = zip((h, doc, pos, left, rest), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], names=["h", "doc", "pos", "left", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for d, x, windows in zip(*(c.to_pylist() for c in b.columns)):
+                for w in windows:
+                    rows.append((w["h"], d, w["pos"], x))
+                    if len(rows) == 10_000:
+                        yield contexts(rows)
+                        rows = []
+            if rows:
+                yield contexts(rows)
+
+    return found.mapInArrow(run, "h long, doc long, pos long, left string, rest string")
 
 
 _RUN = T.StructType().add("l", "integer").add("r", "integer")
@@ -232,7 +257,7 @@ class SharedSpans:
         docs_of = self.members.select("h", "c", "doc").distinct().groupBy("h", "c").agg(F.count("*").alias("n_docs"), F.min("doc").alias("min_doc"))
         text_of = seen.select("h", key.alias("c"), "left", "rest").groupBy("h", "c").agg(F.first("left").alias("left"), F.first("rest").alias("rest"))
         per_window = docs_of.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("min_doc").alias("lo"), F.max("min_doc").alias("hi"), F.max("n_docs").alias("most"))
-        # Windows that the sketch took for repeated, but one record alone has them, go here.
+        # Windows whose classes all belong to one record (their hashes alone met another's) go here.
         per_window = per_window.where("most > 1 or lo <> hi").select("h", "n_classes")
         self.classes = cut(text_of.join(docs_of, ["h", "c"]).join(per_window, "h"))
         self.pairs = cut(self._class_pairs())

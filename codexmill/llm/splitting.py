@@ -47,7 +47,7 @@ def split_pieces(text: Column, limit: int, overlap: int) -> Column:
 
 
 def split_texts(df: DataFrame, item_id: str, text: str, limit: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """item_id, the ``keep`` columns, piece_no, n_pieces, overlap_bytes, n_bytes and piece of every text."""
+    """item_id, the ``keep`` columns, piece_no, n_pieces, overlap_bytes, n_bytes and piece of every text; ``whole`` is the hash of the text."""
     if limit < 4 * overlap or limit < 16:
         raise ValueError("limit must be at least 16 and four times overlap")
     base = df.select(F.col(item_id).alias("item_id"), *keep, F.col(text).alias("_text")).where("_text <> ''")
@@ -63,8 +63,8 @@ def split_texts(df: DataFrame, item_id: str, text: str, limit: int, overlap: int
     whole = F.array(F.struct(F.lit(0).alias("overlap_bytes"), F.col("_text").alias("piece")))
     pieces = F.when(F.col("_cuts").isNotNull(), F.transform("_cuts", piece)).otherwise(whole)
     n = F.when(F.col("_cuts").isNotNull(), F.size("_cuts")).otherwise(F.lit(1))
-    out = base.select("item_id", *keep, n.alias("n_pieces"), F.posexplode(pieces).alias("piece_no", "_p"))
-    return out.select("item_id", *keep, "piece_no", "n_pieces", "_p.overlap_bytes", F.octet_length("_p.piece").alias("n_bytes"), "_p.piece")
+    out = base.select("item_id", *keep, n.alias("n_pieces"), F.xxhash64("_text").alias("whole"), F.posexplode(pieces).alias("piece_no", "_p"))
+    return out.select("item_id", *keep, "whole", "piece_no", "n_pieces", "_p.overlap_bytes", F.octet_length("_p.piece").alias("n_bytes"), "_p.piece")
 
 
 def split_tables(hot_content: DataFrame, chat_context: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from codexmill.llm import bpe
 from codexmill.llm.bpe import Tokenizer, Utf8Machine
 from codexmill.llm.tokenize import count_tokens, decode_ids, encode_texts, vocabulary_path
 
@@ -37,6 +38,17 @@ def test_transducer_is_bpe(word):
     assert t.encode(word) == t.merge(word)
 
 
+def test_states_are_bounded_within_a_word(tk, monkeypatch):
+    r = random.Random(2)
+    word = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)).encode()
+    t = tk.transducer
+    want = t.encode(word)
+    monkeypatch.setattr(bpe, "STATES", 200)
+    t._reset()
+    assert t.encode(word) == want and len(t.states) <= 201
+    assert t.encode(word[:3000]) == t.merge(word[:3000])
+
+
 @lru_cache
 def loaded():
     t = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary_path(name="byte_bpe_50k.json"))

@@ -73,6 +73,24 @@ def test_copies_of_one_passage(spark):
     assert {r.doc_id: r.shared_chars for r in s.shared_lengths().collect()} == lengths
 
 
+def test_narrow_sketch_writes_no_more_contexts(spark, monkeypatch):
+    r = random.Random(3)
+    shared = [words(r, 300) for _ in range(5)]
+    docs = [(i, words(r, 2000) + (shared[i % 5] if i % 4 == 0 else "") + words(r, 700)) for i in range(60)]
+    pairs, _ = brute(docs)
+    df = spark.createDataFrame([(d, t, "h", "p") for d, t in docs], SCHEMA)
+    rows = {}
+    for bits in (1 << 20, 1 << 5):  # the second tells next to nothing
+        monkeypatch.setattr(spans, "CHUNK_BITS", bits)
+        monkeypatch.setattr(spans, "MAX_BITS", bits)
+        own = df.selectExpr("doc_id as doc", "text")
+        passed, kept = spans.passed_windows(own).count(), spans.repeated_windows(own)
+        rows[bits] = (passed, sorted(map(tuple, kept.collect())))
+        assert {tuple(x) for x in SharedSpans(df).shared_pairs().collect()} == pairs
+    assert rows[1 << 20][1] == rows[1 << 5][1] and rows[1 << 5][0] > 5 * rows[1 << 20][0]
+    assert rows[1 << 5][0] <= sum(len(t) for _, t in docs) / 30  # narrow rows, one in 40 code points or so
+
+
 def test_empty(spark):
     s = SharedSpans(spark.createDataFrame([], SCHEMA))
     assert s.shared_pairs().count() == 0 and s.shared_lengths().count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import WHITE_SPACE
 from ..operators import heavy_keys, hierarchy, near, orphans, row_parser
 from ..tables import table
+from . import rows_sql
 
 
 def _orphans(s, d):
@@ -48,7 +49,7 @@ _MEMBERS = f"""
         FROM categorylinks WHERE cl_to IS NOT NULL),
   c AS (SELECT category, cast(count(*) AS BIGINT) AS n_rows, count(DISTINCT cl_from) AS n_members FROM w WHERE category <> '' GROUP BY 1)"""
 
-ORACLES = {
+ORACLES = rows_sql.ORACLES | {
     "p1_found": f"""
       WITH a AS (SELECT page_id, {_norm('title')} AS t, created_at AS lo, coalesce(deleted_at, 9223372036854775807) AS hi FROM articles),
       r AS (SELECT 'geotags' AS table_name, page_id AS page, NULL AS t, loaded_at FROM geotags WHERE page_id IS NOT NULL

@@ -17,11 +17,14 @@ no page, or whose page has no link). Nodes may have several parents and links ma
    found by equi-joins on dyadic blocks: an interval is cut into O(log n) aligned blocks, and an
    entry lies in one block per size, so every pair is met once and nothing else is compared.
 4. **Between pieces.** Links that leave a piece (the other parents, the cut cycle links) form a
-   small graph of piece roots; its transitive closure by squaring adds what is reached through
-   them. A root that reaches itself, or reaches one that does, has an ancestry that never ends.
+   graph of pieces. Its leaves are peeled off from the tops down: a piece all of whose parents'
+   pieces are peeled ends, those left over have an ancestry that never ends. What is asked for
+   (topmost names, or ancestors) spreads down this graph from a frontier of what was new in the
+   round before, so no pair is ever met that is not part of the answer; there is no closure of the
+   graph. Rounds are as many as multi-parent nodes follow one another on a path.
 
-All steps are joins and aggregations on distributed tables, O(log n) rounds each, with every round
-in the checkpoint folder. Links are never collected.
+All steps are joins and aggregations on distributed tables, with every round in the checkpoint
+folder; steps 1 to 3 take O(log n) rounds. Links are never collected.
 
 Defined cases: null children, null parents and parents empty after normalising are no links;
 repeated links count once; a node that is its own parent is a cycle; empty tables give no rows;
@@ -142,18 +145,38 @@ def interval_pairs(tours: DataFrame) -> DataFrame:
     return down.join(up, ["piece", "k", "b"]).select("node", "ancestor", (F.col("depth") - F.col("da")).alias("up"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """Distinct (a, b): b is reached from a over one or more edges (a, b); by squaring."""
-    c = cut(edges.select("a", "b").distinct())
-    n = c.count()
-    while n:
-        two = c.join(c.select(F.col("a").alias("b"), F.col("b").alias("z")), "b").select("a", F.col("z").alias("b"))
-        c = cut(c.unionByName(two).distinct())
-        m = c.count()
-        if m == n:
-            break
-        n = m
-    return c
+def endless(edges: DataFrame) -> DataFrame:
+    """(a): nodes of the graph ``edges`` (a, b), distinct, from which edges can be followed for ever."""
+    left = cut(edges.groupBy("a").agg(F.count("*").alias("n")))
+    done = cut(edges.select(F.col("b").alias("a")).distinct().join(left.select("a"), "a", "left_anti"))
+    while not done.isEmpty():
+        hit = edges.join(done.select(F.col("a").alias("b")), "b").groupBy("a").agg(F.count("*").alias("m"))
+        now = cut(left.join(hit, "a", "left").select("a", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")))
+        done, left = now.where("n = 0").select("a"), now.where("n > 0")
+    return left.select("a")
+
+
+def spread(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """Distinct (a, x): every label x of ``own`` (a, x), and of all nodes reached over ``edges`` (a, b).
+
+    Semi-naive: only what was new in a round goes on in the next.
+    """
+    new = cut(own.select("a", "x").distinct())
+    parts = [new]
+    while not new.isEmpty():
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        if len(parts) > 6:
+            known = cut(known)
+            parts = [known]
+        step = edges.select("a", "b").join(new.select(F.col("a").alias("b"), "x"), "b").select("a", "x").distinct()
+        new = cut(step.join(known, ["a", "x"], "left_anti"))
+        parts.append(new)
+    known = parts[0]
+    for p in parts[1:-1]:
+        known = known.unionByName(p)
+    return known
 
 
 class Hierarchy:
@@ -171,26 +194,22 @@ class Hierarchy:
         self.exits = cut(self.links.join(self.tours.select(F.col("piece").alias("child")).distinct(), "child", "left_semi"))
         where = self.tours.select(F.col("node").alias("parent"), F.col("piece").alias("b"))
         self.crossing = self.exits.where("parent is not null").join(where, "parent").select(F.col("child").alias("a"), "parent", "b")
-        self.reach = closure(self.crossing)
+        self.edges = cut(self.crossing.select("a", "b").distinct())
 
     def roots(self) -> DataFrame:
         """Distinct (cl_from, root): topmost names reached; '' where following parents never ends."""
-        own = self.exits.where("parent is null").select(F.col("child").alias("piece"), F.col("parent_name").alias("root"))
-        endless = self.reach.where("a = b").select(F.col("a").alias("piece"), F.lit("").alias("root"))
-        at = own.unionByName(endless)
-        through = self.reach.select(F.col("a"), F.col("b").alias("piece")).join(at, "piece").select(F.col("a").alias("piece"), "root")
-        per_piece = at.unionByName(through).distinct()
-        return self.tours.select(F.col("node").alias("cl_from"), "piece").join(per_piece, "piece").select("cl_from", "root").distinct()
+        own = self.exits.where("parent is null").select(F.col("child").alias("a"), F.col("parent_name").alias("x"))
+        per_piece = spread(self.edges, own).unionByName(endless(self.edges).select("a", F.lit("").alias("x")))
+        return self.tours.select(F.col("node").alias("cl_from"), F.col("piece").alias("a")).join(per_piece, "a").select("cl_from", F.col("x").alias("root"))
 
     def descendants(self) -> DataFrame:
         """Distinct (ancestor, descendant) pages, over all parents; a page on a cycle is its own descendant."""
         own = cut(interval_pairs(self.tours))
         inside = own.where("up > 0").select("ancestor", F.col("node").alias("descendant"))
-        steps = self.reach.unionByName(self.tours.select(F.col("piece").alias("a"), F.col("piece").alias("b")).distinct()).distinct()
-        # piece a -> (itself or reached) piece r -> a parent outside r -> that parent's ancestors
-        gates = steps.join(self.crossing.select(F.col("a").alias("b"), "parent"), "b").select("a", "parent").distinct()
-        above = gates.join(own.select(F.col("node").alias("parent"), "ancestor"), "parent").select("a", "ancestor").distinct()
-        outside = above.join(self.tours.select(F.col("piece").alias("a"), F.col("node").alias("descendant")), "a").select("ancestor", "descendant")
+        # What lies above a piece: the parents outside it with their ancestors, and what lies above their pieces.
+        gates = self.crossing.select("a", "parent").distinct()
+        above = spread(self.edges, gates.join(own.select(F.col("node").alias("parent"), F.col("ancestor").alias("x")), "parent").select("a", "x"))
+        outside = above.join(self.tours.select(F.col("piece").alias("a"), F.col("node").alias("descendant")), "a").select(F.col("x").alias("ancestor"), "descendant")
         return inside.unionByName(outside).distinct()
 
     def paths(self) -> DataFrame:

@@ -200,6 +200,17 @@ def test_hierarchy(spark, links):
     assert got == sorted((c, q, len(q) - 1) for c in node if c not in endless for q in paths(c))
 
 
+def test_many_parents(spark):
+    """Every node has two parents: what is met on the way stays near the size of the answer."""
+    n = 20_000
+    links = [(i, f"N{p}") for i in range(4, n) for p in {i // 2, i // 3}] + [(i, f"top{i}") for i in range(4)]
+    df = spark.createDataFrame([(c, p, "subcat") for c, p in links], "cl_from bigint, cl_to string, cl_type string")
+    articles = spark.createDataFrame([(i, f"Category:N{i}") for i in range(n)], "page_id bigint, title string")
+    roots, _, _, _ = brute_hierarchy(links, {f"N{i}": i for i in range(n)})
+    h = Hierarchy(df, articles)
+    assert {tuple(r) for r in h.roots().collect()} == roots
+
+
 def test_empty_hierarchy(spark):
     h = Hierarchy(spark.createDataFrame([], "cl_from bigint, cl_to string, cl_type string"), spark.createDataFrame([], "page_id bigint, title string"))
     assert h.roots().count() == h.descendants().count() == h.paths().count() == 0

@@ -1,8 +1,9 @@
 """Points near other points or inside regions (problem 3).
 
-Regions are polygons on the sphere. Each is projected gnomonically onto the faces of a cube, where
-great-circle edges are straight lines, and triangulated by ear clipping; a disc around a point is
-the circumscribed square, itself two triangles. A tree of bounding boxes over the cube faces,
+Regions are polygons on the sphere. Each is projected gnomonically from its own centre, where
+great-circle edges are straight lines, and triangulated by ear clipping; its triangles are clipped
+to the faces of a cube they reach, so a region may be as wide as a hemisphere. A disc around a
+point is the circumscribed square, itself two triangles. A tree of bounding boxes over the cube faces,
 fitted on a bounded sample of the points, distributes triangles (to every leaf whose box they
 touch) and points (to exactly one leaf). Inside a leaf a second hierarchy of bounding boxes over
 the triangles yields candidates, which are tested exactly. A point on a boundary shared by two
@@ -11,14 +12,17 @@ regions goes to the smaller region id if one region per point is wanted.
 
 Scale: points that share a location are joined as one location and only expanded to pages at the
 end; the number of leaves follows the number of locations, so a leaf holds a bounded number of
-points however crowded a town is. The tree is the only thing broadcast: at most ``MAX_LEAVES``
-leaves (under 1 MB). The sample of ``SAMPLE`` rows only steers the split, every row is indexed.
-The poles and the date line need no special care on the cube.
+points however crowded a town is, up to ``MAX_LEAVES`` times ``LEAF_POINTS`` locations (268
+million). The tree is the only thing broadcast: at most ``MAX_LEAVES`` leaves (some 5 MB). The
+sample of at most ``SAMPLE`` rows only steers the split, every row is indexed. Results of a leaf
+leave it in blocks, never as one table. The poles and the date line need no special care on the
+cube. Points within ``EDGE`` of a triangle's edge (some 6 micrometres) count as on it, so rounding
+opens no gap between neighbours.
 
 Defined cases: rows with null page, null, NaN, infinite or out-of-range coordinates and those at
 exactly (0, 0) are no places; repeated rows count once; -0.0 equals 0.0; empty tables give no
 rows; extra columns are ignored. Regions need three distinct vertices, no edge that crosses
-another, and at most some 40 degrees across; others raise ValueError.
+another, and must lie within a hemisphere; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the radius in metres of the sphere on which distances are measured.
 EARTH_RADIUS = 6_371_008.8
-#: Rows on which the tree of boxes is fitted, most leaves it may have, points wanted in a leaf.
-SAMPLE, MAX_LEAVES, LEAF_POINTS = 200_000, 8_192, 4_096
+#: Rows on which the tree of boxes is fitted at most, most leaves it may have, points wanted in a leaf.
+SAMPLE, MAX_LEAVES, LEAF_POINTS = 1_000_000, 65_536, 4_096
+#: Distance from an edge, in radii, within which a point is on it.
+EDGE = 1e-12
 _NEAREST = 0.1  # a face's plane takes vertices whose component along its axis is at least this
 
 
@@ -82,18 +88,18 @@ def square_triangles(squares: np.ndarray, face: int) -> tuple[np.ndarray, np.nda
 
 
 def ear_clip(poly: np.ndarray) -> np.ndarray:
-    """(n - 2, 3, 2): triangles of a simple polygon given by its (n, 2) vertices in either direction."""
+    """(m, 3): vertex numbers of the triangles of a simple polygon given by its (n, 2) vertices in either direction."""
     pts = [tuple(x) for x in np.asarray(poly, float)]
-    pts = [p for i, p in enumerate(pts) if p != pts[i - 1]]
-    if len(pts) < 3:
+    ring = [i for i, p in enumerate(pts) if p != pts[i - 1]]
+    if len({pts[i] for i in ring}) < 3:
         raise ValueError("a region needs three distinct vertices")
 
     def cross(o, a, b):
         return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
-    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1])) < 0:
-        pts.reverse()
-    out, ring = [], list(range(len(pts)))
+    if sum(pts[i][0] * pts[j][1] - pts[j][0] * pts[i][1] for i, j in zip(ring, ring[1:] + ring[:1])) < 0:
+        ring.reverse()
+    out = []
     while len(ring) > 3:
         for k in range(len(ring)):
             i, j, m = ring[k - 1], ring[k], ring[(k + 1) % len(ring)]
@@ -106,30 +112,57 @@ def ear_clip(poly: np.ndarray) -> np.ndarray:
             )
             if not inside:
                 if turn > 0:
-                    out.append((a, b, c))
+                    out.append((i, j, m))
                 ring.pop(k)
                 break
         else:
             raise ValueError("the region's edges cross one another")
-    out.append(tuple(pts[i] for i in ring))
-    return np.array(out)
+    return np.array([*out, tuple(ring)])
+
+
+def _clip(poly: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """The part of a convex polygon (n, 3), seen from the centre of the sphere, on one side of a plane through it."""
+    side = poly @ normal
+    if (side >= 0).all():
+        return poly
+    out = []
+    for k in range(len(poly)):
+        a, b, x, y = poly[k - 1], poly[k], side[k - 1], side[k]
+        if (x >= 0) != (y >= 0):
+            out.append((a * y - b * x) / (y - x))  # where the edge meets the plane
+        if y >= 0:
+            out.append(b)
+    return np.array(out).reshape(-1, 3)
 
 
 def region_triangles(vertices: list[tuple[float, float]]) -> list[tuple[int, np.ndarray]]:
     """(face, triangles) for every cube face that a polygon of (lat, lon) vertices reaches."""
     p = unit(*np.array(vertices, float).T)
+    centre = p.mean(0)
+    length = np.linalg.norm(centre)
+    if length < 1e-9 or (p @ centre / length < 1e-3).any():
+        raise ValueError("a region must lie within a hemisphere")
+    centre /= length
+    e1 = np.cross(centre, np.eye(3)[np.abs(centre).argmin()])
+    e1 /= np.linalg.norm(e1)
+    flat = np.stack([p @ e1, p @ np.cross(centre, e1)], 1) / (p @ centre)[:, None]
+    triangles = p[ear_clip(flat)]
     out = []
     for face in range(6):
-        uv, d = project(p, face)
-        near = d > _NEAREST
-        if not near.any():
-            continue
-        if not near.all():
-            if (face_of(p) == face).any():
-                raise ValueError("the region is too wide for its cube face")
-            continue
-        if (uv.min(0) <= 1).all() and (uv.max(0) >= -1).all():
-            out.append((face, ear_clip(uv)))
+        axis = np.eye(3)[face // 2] * (-1 if face % 2 else 1)
+        # The four planes of the face's pyramid, moved out a little, so that points on its border are inside.
+        planes = [axis * (1 + 1e-9) + sign * np.eye(3)[k] for k in range(3) if k != face // 2 for sign in (1, -1)]
+        found = []
+        for t in triangles:
+            for plane in planes:
+                t = _clip(t, plane)
+                if len(t) < 3:
+                    break
+            else:
+                uv = project(t, face)[0]
+                found += [uv[[0, k, k + 1]] for k in range(1, len(uv) - 1)]
+        if found:
+            out.append((face, np.array(found)))
     return out
 
 
@@ -185,7 +218,7 @@ def points_in_triangles(tri: np.ndarray, pts: np.ndarray, block: int = 16_384) -
         for a in range(2):
             code |= ((grid[:, a] >> np.uint64(b)) & np.uint64(1)) << np.uint64(2 * b + a)
     order = code.argsort(kind="stable")
-    boxes = [np.concatenate([tri[order].min(1), -tri[order].max(1)], 1)]  # lower corner, negated upper corner
+    boxes = [np.concatenate([tri[order].min(1), -tri[order].max(1)], 1) - 2 * EDGE]  # lower corner, negated upper corner
     while len(boxes[-1]) > 1:
         x = boxes[-1]
         if len(x) % 2:
@@ -205,8 +238,11 @@ def points_in_triangles(tri: np.ndarray, pts: np.ndarray, block: int = 16_384) -
                 p, node = p[real], kids[real]
         t = order[node]
         a, b, c, q = tri[t, 0], tri[t, 1], tri[t, 2], pts[p]
-        s = [(y[:, 0] - x[:, 0]) * (q[:, 1] - x[:, 1]) - (y[:, 1] - x[:, 1]) * (q[:, 0] - x[:, 0]) for x, y in ((a, b), (b, c), (c, a))]
-        hit = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
+        turn = np.sign((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+        hit = turn != 0  # a triangle without area holds nothing that its neighbours don't
+        for x, y in ((a, b), (b, c), (c, a)):
+            d = y - x
+            hit &= turn * (d[:, 0] * (q[:, 1] - x[:, 1]) - d[:, 1] * (q[:, 0] - x[:, 0])) >= -EDGE * np.hypot(d[:, 0], d[:, 1])
         yield t[hit], p[hit]
 
 
@@ -231,13 +267,11 @@ def clean_places(geotags: DataFrame) -> DataFrame:
 
 def fit_tree(locations: DataFrame) -> BoxTree:
     n = locations.count()
-    rows = locations.sample(min(1.0, 0.9 * SAMPLE / max(n, 1)), seed=7).limit(SAMPLE).toPandas()
-    p = unit(rows["lat"].to_numpy(float), rows["lon"].to_numpy(float))
-    face = face_of(p)
-    uv = np.empty((len(p), 2))
-    for f in range(6):
-        uv[face == f] = project(p[face == f], f)[0]
-    return BoxTree(face, uv, min(MAX_LEAVES, -(-n // LEAF_POINTS)))
+    leaves = min(MAX_LEAVES, -(-n // LEAF_POINTS))
+    wanted = min(SAMPLE, max(20_000, 32 * leaves))
+    rows = locations.sample(min(1.0, 0.9 * wanted / max(n, 1)), seed=7).limit(wanted).toPandas()
+    face, uv = _points_on_faces(rows["lat"].to_numpy(float), rows["lon"].to_numpy(float))
+    return BoxTree(face, uv, leaves)
 
 
 def _points_on_faces(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,21 +303,21 @@ def near_locations(locations: DataFrame, metres: float) -> DataFrame:
                     both = np.unique(np.stack([sq[k], leaf]), axis=1)
                     yield pd.DataFrame({"leaf": both[1], "disc": True, "face": f, "lat": lat[both[0]], "lon": lon[both[0]]})
 
-    def within(x: pd.DataFrame) -> pd.DataFrame:
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(batches))
         lat, lon, disc = x["lat"].to_numpy(), x["lon"].to_numpy(), x["disc"].to_numpy()
         f = int(x["face"].iloc[0])  # a leaf lies on one face
         d, p = np.flatnonzero(disc), np.flatnonzero(~disc)
         tri, sq = square_triangles(disc_squares(lat[d], lon[d], metres), f)
         pts = project(unit(lat[p], lon[p]), f)[0]
-        found = [pd.DataFrame({"lat_a": [], "lon_a": [], "lat_b": [], "lon_b": [], "metres": []}, dtype=float)]
         for t, q in points_in_triangles(tri, pts):
             a, b = d[sq[t]], p[q]
             first = (lat[a] < lat[b]) | ((lat[a] == lat[b]) & (lon[a] < lon[b]))
             a, b = a[first], b[first]
             m = distance(lat[a], lon[a], lat[b], lon[b])
             a, b, m = a[m <= metres], b[m <= metres], m[m <= metres]
-            found.append(pd.DataFrame({"lat_a": lat[a], "lon_a": lon[a], "lat_b": lat[b], "lon_b": lon[b], "metres": m}))
-        return pd.concat(found).drop_duplicates()
+            # A block has all that its points meet, so what two triangles found goes here.
+            yield pd.DataFrame({"lat_a": lat[a], "lon_a": lon[a], "lat_b": lat[b], "lon_b": lon[b], "metres": m}).drop_duplicates()
 
     spread = locations.mapInPandas(distribute, "leaf int, disc boolean, face int, lat double, lon double")
     return spread.groupBy("leaf").applyInPandas(within, "lat_a double, lon_a double, lat_b double, lon_b double, metres double")
@@ -321,7 +355,7 @@ def pages_in_regions(geotags: DataFrame, regions: DataFrame) -> DataFrame:
         for x in batches:
             for rid, vs in zip(x["region_id"], x["vertices"]):
                 for f, tri in region_triangles([(v["lat"], v["lon"]) for v in vs]):
-                    k, leaf = tree.value.place(np.full(len(tri), f), tri.min(1), tri.max(1))
+                    k, leaf = tree.value.place(np.full(len(tri), f), tri.min(1) - 2 * EDGE, tri.max(1) + 2 * EDGE)
                     y = pd.DataFrame(tri[k].reshape(-1, 6), columns=names[5:])
                     yield y.assign(leaf=leaf, region_id=rid, face=f, lat=np.nan, lon=np.nan)[names]
 
@@ -332,13 +366,13 @@ def pages_in_regions(geotags: DataFrame, regions: DataFrame) -> DataFrame:
             y = pd.DataFrame({"leaf": leaf, "region_id": np.int64(0), "face": face[own], "lat": x["lat"].to_numpy()[own], "lon": x["lon"].to_numpy()[own]})
             yield y.assign(**{"x0": uv[own, 0], "y0": uv[own, 1], "x1": np.nan, "y1": np.nan, "x2": np.nan, "y2": np.nan})[names]
 
-    def inside(x: pd.DataFrame) -> pd.DataFrame:
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(batches))
         is_tri = x["lat"].isna().to_numpy()
         t, p = x[is_tri], x[~is_tri]
-        found = [pd.DataFrame({"lat": pd.Series(dtype=float), "lon": pd.Series(dtype=float), "region_id": pd.Series(dtype="int64")})]
         for i, j in points_in_triangles(t[names[5:]].to_numpy().reshape(-1, 3, 2), p[["x0", "y0"]].to_numpy()):
-            found.append(pd.DataFrame({"lat": p["lat"].to_numpy()[j], "lon": p["lon"].to_numpy()[j], "region_id": t["region_id"].to_numpy()[i]}))
-        return pd.concat(found).groupby(["lat", "lon"], as_index=False)["region_id"].min()
+            found = pd.DataFrame({"lat": p["lat"].to_numpy()[j], "lon": p["lon"].to_numpy()[j], "region_id": t["region_id"].to_numpy()[i]})
+            yield found.groupby(["lat", "lon"], as_index=False)["region_id"].min()
 
     usable = regions.select("region_id", "vertices").where("region_id is not null and vertices is not null")
     spread = usable.mapInPandas(triangles, row).unionByName(locations.mapInPandas(points, row))

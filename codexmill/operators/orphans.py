@@ -9,9 +9,9 @@ down. The cascade iterates semi-joins from the small frontier of newly dead page
 is added; every round is cut into the checkpoint folder.
 
 Scale: references are reduced to distinct (key, second) rows with a map-side combine before any
-join, so hot keys arrive once per second and partition at most; both joins are equi-joins with a
-range residue whose reference side adaptive execution may split. Nothing is collected: the driver
-only sees one count per round.
+join, so hot keys arrive once per second and partition at most; each kind of reference meets the
+articles in one equi-join with a range residue, whose reference side adaptive execution may split.
+Nothing is collected: the driver only sees whether a round found anything.
 
 Defined cases: null keys and titles empty after normalising are no references; rows with a null
 load time are no cases (nothing says when they should hold); null ``created_at`` never holds;
@@ -72,10 +72,9 @@ def reference_rows(redirects: DataFrame, geotags: DataFrame, categorylinks: Data
 
 
 def _dangling(refs: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """refs with ``is_direct``: no span of the key holds at the reference's second."""
-    probes = refs.select(key, "sec").distinct()
+    """The rows of refs whose key no span holds at their second: one range join on the key."""
     held = spans.select(F.col(key).alias("_k"), "lo", "hi").where("_k is not null").distinct()
-    return probes.join(held, (probes[key] == held["_k"]) & (probes["sec"] >= held["lo"]) & (probes["sec"] < held["hi"]), "left_anti")
+    return refs.join(held, (refs[key] == held["_k"]) & (refs["sec"] >= held["lo"]) & (refs["sec"] < held["hi"]), "left_anti")
 
 
 def find_orphans(articles: DataFrame, redirects: DataFrame, geotags: DataFrame, categorylinks: DataFrame) -> DataFrame:
@@ -86,10 +85,9 @@ def find_orphans(articles: DataFrame, redirects: DataFrame, geotags: DataFrame,
     """
     spans = article_spans(articles)
     pages, titles = reference_rows(redirects, geotags, categorylinks)
-    direct_p = cut(pages.join(_dangling(pages, spans, "page"), ["page", "sec"], "left_semi"))
+    direct_p = cut(_dangling(pages, spans, "page"))
     titles = cut(titles)
-    lost = _dangling(titles, spans, "title")
-    direct_t = cut(titles.join(lost, ["title", "sec"], "left_semi"))
+    direct_t = cut(_dangling(titles, spans, "title"))
 
     # The newest redirect row of every page, and the page its title belongs to.
     newest = titles.where("owner is not null").groupBy("owner").agg(F.max(F.struct("sec", "title")).alias("r")).select("owner", "r.sec", "r.title")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold
@@ -90,47 +90,46 @@ def delete_folders(folders: DataFrame, bookmarks: DataFrame, roots: DataFrame) -
 def import_bookmarks(folders: DataFrame, bookmarks: DataFrame, new_folders: DataFrame, new_bookmarks: DataFrame, wipe: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """SNK15, J11: (folders, bookmarks, one row of counters) after an import of named folders.
 
-    ``new_folders`` (name, parent, created_at) merge into folders of the same name, ASCII case
-    folded; parents that are unknown or that would close a cycle are dropped, so such folders become roots.
+    ``new_folders`` (name, parent, created_at) merge into folders of the same name, names compared in
+    Unicode lower case; every such row counts as merged. The others are made below their parents,
+    parents first; of one name the row that can be made first counts, of equals the earliest. When
+    no further folder can be made, all that are left (orphans, their children, cycles) become roots.
     ``new_bookmarks`` (title, folder, note, created_at) go unfiled if their folder is unknown, and are
-    skipped if (title, folder) is there already.
+    skipped if (title, folder) is there already. A user's folders are few; ids are hashes of names.
     """
     if wipe:
         folders, bookmarks = folders.limit(0), bookmarks.limit(0)
-    fold = ascii_fold("name")
-    incoming = new_folders.where("name is not null").withColumn("_k", fold)
-    first = incoming.groupBy("_k").agg(F.min_by(F.struct("name", "parent", "created_at"), F.struct("created_at", "name")).alias("f")).select("_k", "f.*")
-    known = folders.groupBy(ascii_fold("name").alias("_k")).agg(F.min("id").alias("_old"))
-    top = folders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    plan = first.join(known, "_k", "left")
-    fresh = plan.where("_old is null").withColumn("_i", F.row_number().over(Window.orderBy("_k")))  # a user's folders: few
-    ids = cut(
-        fresh.join(F.broadcast(top)).select("_k", (F.col("_i") + F.col("_top")).cast("bigint").alias("id"))
-        .unionByName(known.select("_k", F.col("_old").alias("id")))
-    )
-    links = fresh.select("_k", ascii_fold("parent").alias("_p")).where("_p is not null").join(ids.select(F.col("_k").alias("_p")), "_p", "left_semi")
-    # Roots of the new forest: what hangs below a known folder or has no valid parent; cycles stay out.
-    ok = cut(ids.select("_k").join(links.select("_k"), "_k", "left_anti"))
-    placed = ok
+    known = cut(folders.where("name is not null").groupBy(F.lower("name").alias("_k")).agg(F.min("id").alias("id")))
+    incoming = new_folders.where("name is not null").select(F.lower("name").alias("_k"), F.lower("parent").alias("_p"), "name", "created_at")
+    merged = incoming.join(known, "_k", "left_semi")
+    pending = cut(incoming.join(known, "_k", "left_anti"))
+    new_id = F.abs(F.xxhash64("_k")).alias("id")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_k").agg(F.min(F.struct("created_at", "name", "parent_id")).alias("f")).select("_k", "f.name", "f.parent_id", "f.created_at", new_id)
+
+    ids, made = known, None
     while True:
-        step = cut(links.join(ok.select(F.col("_k").alias("_p")), "_p").select("_k", "_p").join(placed.select("_k"), "_k", "left_anti"))
+        top = pending.where("_p is null").withColumn("parent_id", F.lit(None).cast("bigint"))
+        below = pending.join(ids.select(F.col("_k").alias("_p"), F.col("id").alias("parent_id")), "_p")
+        step = cut(first(top.unionByName(below).join(ids.select("_k"), "_k", "left_anti")))
         if step.isEmpty():
             break
-        ok = step.select("_k")
-        placed = cut(placed.unionByName(ok))
-    kept = links.join(placed.select("_k"), "_k", "left_semi").groupBy("_k").agg(F.min("_p").alias("_p"))
-    pid = ids.select(F.col("_k").alias("_p"), F.col("id").alias("parent_id"))
-    rows = fresh.join(ids, "_k").join(kept.join(pid, "_p", "left"), "_k", "left").select("id", "name", "parent_id", "created_at")
-    out_folders = folders.unionByName(rows)
-    b = new_bookmarks.withColumn("_k", ascii_fold("folder")).join(ids.select("_k", F.col("id").alias("folder_id")), "_k", "left")
+        made = step if made is None else made.unionByName(step)
+        ids = cut(ids.unionByName(step.select("_k", "id")))
+    rest = cut(first(pending.withColumn("parent_id", F.lit(None).cast("bigint")).join(ids.select("_k"), "_k", "left_anti")))
+    made = rest if made is None else made.unionByName(rest)
+    ids = ids.unionByName(rest.select("_k", "id"))
+    out_folders = folders.unionByName(made.select("id", "name", "parent_id", "created_at"))
+    b = new_bookmarks.withColumn("_k", F.lower("folder")).join(ids.select("_k", F.col("id").alias("folder_id")), "_k", "left")
     b = b.select(F.col("title").alias("article_title"), "folder_id", "note", "created_at")
     total = b.count()
     one = b.groupBy("article_title", "folder_id").agg(F.min(F.struct("created_at", "note")).alias("x")).select("article_title", "folder_id", "x.note", "x.created_at")
     seen = bookmarks.select(F.col("article_title").alias("_t"), F.col("folder_id").alias("_f"))
     one = cut(one.join(seen, (F.col("article_title") == F.col("_t")) & F.col("folder_id").eqNullSafe(F.col("_f")), "left_anti"))
     one = one.withColumn("id", F.abs(F.xxhash64("article_title", "folder_id", "created_at")))
-    added, new_n, all_n = one.count(), fresh.count(), first.count()
-    counters = folders.sparkSession.createDataFrame([(new_n, all_n - new_n, added, total - added)], "folders_added bigint, folders_merged bigint, bookmarks_added bigint, bookmarks_skipped bigint")
+    added = one.count()
+    counters = folders.sparkSession.createDataFrame([(made.count(), merged.count(), added, total - added)], "folders_added bigint, folders_merged bigint, bookmarks_added bigint, bookmarks_skipped bigint")
     return out_folders, bookmarks.unionByName(one.select(*bookmarks.columns)), counters
 
 

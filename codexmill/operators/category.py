@@ -51,7 +51,7 @@ def related_to(links: DataFrame, articles: DataFrame, title: str, limit: int = 2
     pages = links.where("cl_type = 'page'").select("cl_from", "cl_to")
     mine = pages.join(page, pages["cl_from"] == page["me"]).select("cl_to", "me")
     shared = pages.join(mine, "cl_to").where("cl_from <> me").groupBy("cl_from").agg(F.count("*").alias("shared"))
-    hits = shared.join(articles.where("tier <> 'evicted'").select("page_id", "title"), shared["cl_from"] == F.col("page_id"))
+    hits = shared.join(articles.select("page_id", "title"), shared["cl_from"] == F.col("page_id"))
     return hits.select("page_id", "title", "shared").orderBy(F.desc("shared"), "title", "page_id").limit(clamp(limit, 1, 100))
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE_SPACE, ascii_fold
+from ..functions.text import WHITE_SPACE, ascii_fold, norm_title
 
+#: Spreads seeds over the key range: any odd number.
+SPREAD = 2_654_435_761
 TIERS = ("hot", "warm", "cold", "evicted")
 
 
@@ -66,18 +68,21 @@ def resolve_articles(requests: DataFrame, articles: DataFrame, redirects: DataFr
 
 
 def titles_with_prefix(articles: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    """Q7: titles that begin with the prefix (ASCII case folded), not evicted, shortest first."""
-    wanted = normalise(prefix)
-    if not wanted:
+    """Q7: titles that begin with the prefix as it is given (ASCII case folded), not evicted, shortest first.
+
+    A blank prefix gives nothing. A column ``fold`` with the folded title, where there is one, is used.
+    """
+    if not prefix.strip(WHITE_SPACE):
         return articles.select("page_id", "title").limit(0)
-    fold = wanted.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    hit = articles.where((F.col("tier") != "evicted") & ascii_fold("title").startswith(fold))
+    fold = prefix.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    folded = F.col("fold") if "fold" in articles.columns else ascii_fold("title")
+    hit = articles.where((F.col("tier") != "evicted") & folded.startswith(fold))
     return hit.select("page_id", "title").orderBy(F.length("title"), "title", "page_id").limit(clamp(limit, 1, 50))
 
 
 def without_embedding(articles: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
     """Articles the model has not embedded yet, by page_id."""
-    return articles.where("tier <> 'evicted'").join(embeddings.where(F.col("model") == model), "page_id", "left_anti").select("page_id", "title").orderBy("page_id")
+    return articles.join(embeddings.where(F.col("model") == model), "page_id", "left_anti").select("page_id", "title").orderBy("page_id")
 
 
 def recent_articles(articles: DataFrame, limit: int = 50) -> DataFrame:
@@ -100,8 +105,8 @@ def table_counts(**tables: DataFrame) -> DataFrame:
 
 
 def key_range(articles: DataFrame) -> DataFrame:
-    """Least and greatest page id of the articles not evicted."""
-    return articles.where("tier <> 'evicted'").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
+    """Least and greatest page id of all articles, evicted ones included."""
+    return articles.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
 
 
 def lru_candidates(articles: DataFrame, limit: int) -> DataFrame:
@@ -111,16 +116,19 @@ def lru_candidates(articles: DataFrame, limit: int) -> DataFrame:
 
 
 def random_article(articles: DataFrame, seed: int) -> DataFrame:
-    """T4: the first article at or after a seeded probe in the key range, else the first of all.
+    """T4: the first article not evicted at or after a seeded probe in the range of all keys, else the first of all.
 
-    Articles after wide gaps are drawn more often, as a probe in key space must.
+    Articles after wide gaps are drawn more often, as a probe in key space must. The probe is a
+    literal of the second query, so it reaches the scan; both parts take one row each.
     """
     a = articles.where("tier <> 'evicted'").select("page_id", "title")
-    r = key_range(articles).select((F.col("lo") + F.pmod(F.xxhash64(F.lit(seed)), F.col("hi") - F.col("lo") + 1)).alias("probe"))
-    first = a.agg(F.min_by(F.struct("page_id", "title"), "page_id").alias("first"))
-    after = a.join(F.broadcast(r), F.col("page_id") >= F.col("probe")).agg(F.min_by(F.struct("page_id", "title"), "page_id").alias("hit"))
-    both = after.crossJoin(F.broadcast(first))  # one row each
-    return both.select(F.coalesce("hit", "first").alias("x")).where("x is not null").select("x.page_id", "x.title")
+    r = key_range(articles).first()
+    if r is None or r["lo"] is None:
+        return a.limit(0)
+    probe = r["lo"] + seed * SPREAD % (r["hi"] - r["lo"] + 1)
+    after, first = (x.orderBy("page_id").limit(1) for x in (a.where(F.col("page_id") >= probe), a))
+    both = after.withColumn("_o", F.lit(0)).unionByName(first.withColumn("_o", F.lit(1)))
+    return both.orderBy("_o").limit(1).drop("_o")
 
 
 def ring_buffer(log: DataFrame, at: str, tie: str, keep: int = 1000) -> DataFrame:
@@ -129,9 +137,9 @@ def ring_buffer(log: DataFrame, at: str, tie: str, keep: int = 1000) -> DataFram
 
 
 def links_available(links: DataFrame, articles: DataFrame, target: str = "target") -> DataFrame:
-    """Link targets with ``available``: whether an article not evicted has that title."""
-    there = articles.where("tier <> 'evicted'").select(F.col("title").alias("_t"), F.lit(True).alias("_a"))
-    return links.join(there, links[target] == there["_t"], "left").withColumn("available", F.coalesce("_a", F.lit(False))).drop("_t", "_a")
+    """Link targets with ``available``: whether an article, of whatever tier, has the normalised title."""
+    there = articles.select(F.col("title").alias("_t"), F.lit(True).alias("_a"))
+    return links.join(there, norm_title(links[target]) == there["_t"], "left").withColumn("available", F.coalesce("_a", F.lit(False))).drop("_t", "_a")
 
 
 def page_of(df: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:

@@ -31,7 +31,7 @@ def top_k(embeddings: DataFrame, articles: DataFrame, model: str, query: list[fl
     """
     q = [float(x) for x in query]
     norm = sum(x * x for x in q) ** 0.5
-    hits = embeddings.where(F.col("model") == model).join(articles.where("tier <> 'evicted'").select("page_id", "title"), "page_id")
+    hits = embeddings.where(F.col("model") == model).join(articles.select("page_id", "title"), "page_id")
     if not q or norm == 0 or k <= 0:
         return hits.select("page_id", "title", F.lit(0.0).alias("score")).limit(0)
     unit = F.array(*(F.lit(x / norm) for x in q))

@@ -65,12 +65,28 @@ def _vector_articles(s, d):
 
 def _imported(s, d):
     b = C.bookmarks(s, d)
-    folders, marks, _ = B.import_bookmarks(
+    folders, marks, counters = B.import_bookmarks(
         C.folders(s, d), b,
-        C.folders(s, d).select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("parent"), "created_at").unionByName(s.createDataFrame([("New", "1-URGENT", 5), ("loop a", "loop b", 6), ("loop b", "loop a", 7), ("under new", "new", 8)], "name string, parent string, created_at bigint")),
+        C.folders(s, d).select(F.upper("name").alias("name"), F.lit(None).cast("string").alias("parent"), "created_at").unionByName(s.createDataFrame(_INCOMING, "name string, parent string, created_at bigint")),
         b.where("note is not null").select(F.concat("article_title", F.when(F.col("folder_id").isNull(), F.lit(" II")).otherwise("")).alias("title"), F.lit("new").alias("folder"), "note", "created_at"),
     )
-    return folders, marks
+    return folders, marks, counters
+
+
+#: Folders of an import: new ones, a cycle, an orphan with a child and a grandchild, names apart by Unicode case only, one name twice.
+_INCOMING = [
+    ("New", "1-URGENT", 5), ("loop a", "loop b", 6), ("loop b", "loop a", 7), ("under new", "new", 8), ("Orphan", "nowhere", 9), ("child", "ORPHAN", 10),
+    ("grandchild", "child", 11), ("\u00c4rger", None, 12), ("below", "\u00e4RGER", 13), ("\u00e4rger", "New", 14), ("twice", "nowhere", 1), ("Twice", "below", 15),
+]
+_MADE = [
+    ("New", "1-URGENT"), ("loop a", None), ("loop b", None), ("under new", "New"), ("Orphan", None), ("child", None),
+    ("grandchild", None), ("\u00c4rger", None), ("below", "\u00c4rger"), ("Twice", "below"),
+]
+
+
+def _parents(folders):
+    p = folders.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    return folders.join(p, "parent_id", "left").select("name", "parent")
 
 
 def _first_page(s, d):
@@ -85,7 +101,7 @@ def _moved(s, d):
 def _semantic(s, d):
     a = C.articles(s, d)
     embed = V.hashing_embedder(32)
-    e = V.embed_titles(a.where("tier <> 'evicted'"), "hash", embed)
+    e = V.embed_titles(a, "hash", embed)
     return V.top_k(e, a, "hash", embed(["Treaty of the river"])[0].tolist(), 30).select("page_id", "title", F.round("score", 6).alias("score"))
 
 
@@ -102,7 +118,8 @@ QUERIES = {
     "snk12_move": lambda s, d: B.move_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("note is not null").select("id", F.lit(3).cast("bigint").alias("folder_id"))).select("id", "folder_id"),
     "snk12_remove": lambda s, d: B.remove_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("folder_id is null").select("id")).select("id"),
     "snk14_delete_folder": lambda s, d: B.delete_folders(C.folders(s, d), C.bookmarks(s, d), s.createDataFrame([(1,)], "id bigint"))[1].select("id", "folder_id"),
-    "snk15_import_folders": lambda s, d: _imported(s, d)[0].select("name", "parent_id"),
+    "snk15_import_folders": lambda s, d: _parents(_imported(s, d)[0]),
+    "snk15_counters": lambda s, d: _imported(s, d)[2],
     "snk15_import_bookmarks": lambda s, d: _imported(s, d)[1].select("article_title", "note", "created_at"),
     "snk16_export": lambda s, d: B.export_rows(C.folders(s, d), C.bookmarks(s, d)),
     "snk17_save_revision": lambda s, d: M.save_revisions(C.saved_revisions(s, d).where("fetched_at < 1704067200"), C.saved_revisions(s, d).withColumn("user_note", F.lit("again")), _now()).select("title", "revision_id", "fetched_at", "user_note"),
@@ -169,7 +186,8 @@ ORACLES = {
     "snk12_move": sql("SELECT id, CASE WHEN note IS NOT NULL THEN 3 ELSE folder_id END AS folder_id FROM book"),
     "snk12_remove": sql("SELECT id FROM book WHERE folder_id IS NOT NULL"),
     "snk14_delete_folder": sql("SELECT id, CASE WHEN folder_id IN (SELECT id FROM down) THEN NULL ELSE folder_id END AS folder_id FROM book", "down AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT f.id FROM fold f JOIN down ON f.parent_id = down.id)"),
-    "snk15_import_folders": sql("SELECT name, parent_id FROM fold UNION ALL SELECT * FROM (VALUES ('New', 1), ('loop a', NULL), ('loop b', NULL), ('under new', 8)) v(name, parent_id)"),
+    "snk15_import_folders": sql("SELECT f.name, p.name AS parent FROM fold f LEFT JOIN fold p ON p.id = f.parent_id UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p})" for n, p in ((n, f"'{p}'" if p else "NULL") for n, p in _MADE)) + ") v(name, parent)"),
+    "snk15_counters": sql(f"SELECT cast({len(_MADE)} AS BIGINT) AS folders_added, (SELECT count(*) FROM fold) AS folders_merged, (SELECT count(DISTINCT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END) FROM book WHERE note IS NOT NULL) AS bookmarks_added, (SELECT count(*) FROM book WHERE note IS NOT NULL) - (SELECT count(DISTINCT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END) FROM book WHERE note IS NOT NULL) AS bookmarks_skipped"),
     "snk15_import_bookmarks": sql("SELECT article_title, note, created_at FROM book UNION ALL SELECT title, note, created_at FROM (SELECT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END AS title, note, created_at FROM book WHERE note IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY title ORDER BY created_at, note NULLS FIRST) = 1"),
     "snk16_export": sql("SELECT 'folder' AS kind, '{\"name\":\"' || f.name || '\"' || coalesce(',\"parent\":\"' || p.name || '\"', '') || ',\"created_at\":' || f.created_at || '}' AS json FROM fold f LEFT JOIN fold p ON p.id = f.parent_id UNION ALL SELECT 'bookmark', '{\"title\":\"' || article_title || '\"' || coalesce(',\"folder\":\"' || f.name || '\"', '') || coalesce(',\"note\":\"' || note || '\"', '') || ',\"created_at\":' || b.created_at || '}' FROM book b LEFT JOIN fold f ON f.id = b.folder_id"),
     "snk17_save_revision": sql("SELECT title, revision_id, CASE WHEN fetched_at < 1704067200 THEN fetched_at ELSE 1720000000 END AS fetched_at, 'again' AS user_note FROM rev"),
@@ -179,7 +197,7 @@ ORACLES = {
     "snk18_delete_revision": sql("SELECT id, title, revision_id FROM rev WHERE id > (SELECT min(id) FROM rev)"),
     "snk19_install_module": sql("SELECT id, CASE WHEN id = 'asia' THEN 'Asia again' ELSE name END AS name, CASE WHEN id = 'asia' THEN 'cold' ELSE default_tier END AS default_tier, installed_at, CASE WHEN id = 'asia' THEN 2 ELSE (SELECT count(*) FROM mem WHERE module_id = m.id) END AS member_count FROM mod m"),
     "snk20_uninstall_module": sql("SELECT m.*, (SELECT count(*) FROM mem WHERE module_id = m.id) AS member_count FROM mod m WHERE id <> 'europe'"),
-    "snk24_embed": sql("SELECT coalesce(a.page_id, e.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN e.model ELSE 'hash' END AS model, CASE WHEN a.page_id IS NULL THEN cast(len(e.embedding) AS INTEGER) ELSE 16 END AS dims FROM (SELECT page_id FROM art WHERE tier <> 'evicted') a FULL JOIN emb e ON e.page_id = a.page_id"),
+    "snk24_embed": sql("SELECT coalesce(a.page_id, e.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN e.model ELSE 'hash' END AS model, CASE WHEN a.page_id IS NULL THEN cast(len(e.embedding) AS INTEGER) ELSE 16 END AS dims FROM (SELECT page_id FROM art) a FULL JOIN emb e ON e.page_id = a.page_id"),
     "q14_revisions_of_title": sql("SELECT id, title, revision_id, fetched_at, user_note FROM rev WHERE title = (SELECT max(title) FROM rev)"),
     "q9_is_bookmarked": sql("SELECT title, title IN (SELECT article_title FROM book) AS bookmarked FROM (SELECT DISTINCT 'Article ' || (id % 9000) AS title FROM book)"),
     "q10_unfiled": sql("SELECT * FROM book WHERE folder_id IS NULL ORDER BY created_at DESC, id DESC LIMIT 100"),
@@ -189,7 +207,7 @@ ORACLES = {
     "q15_modules": sql("SELECT m.*, (SELECT count(*) FROM mem WHERE module_id = m.id AND module_id <> 'asia') AS member_count FROM mod m"),
     "q15_owners": sql("SELECT mem.title, mod.id, mod.name FROM mem JOIN mod ON mod.id = module_id WHERE starts_with(mem.title, 'I')"),
     "a7_folder_tally": sql("SELECT coalesce(cast(folder_id AS VARCHAR), 'unfiled') AS folder, count(*) AS n FROM book GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM book"),
-    "t2_cosine_top_k": sql("SELECT page_id, 'Vector ' || page_id AS title, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score FROM emb WHERE model = 'm1' AND page_id % 10 <> 9 ORDER BY list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, page_id LIMIT 25"),
+    "t2_cosine_top_k": sql("SELECT page_id, 'Vector ' || page_id AS title, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score FROM emb WHERE model = 'm1' ORDER BY list_cosine_similarity(cast(embedding AS DOUBLE[]), (SELECT cast(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, page_id LIMIT 25"),
     "f10_blob": sql("SELECT page_id, cast(len(embedding) * 4 AS INTEGER) AS n_bytes, true AS same FROM emb"),
     "f11_self_cosine": sql("SELECT page_id, round(list_cosine_similarity(cast(embedding AS DOUBLE[]), list_reverse(cast(embedding AS DOUBLE[]))), 6) AS score FROM emb"),
     "r1_tokens": sql(f"SELECT term, count(*) AS n FROM (SELECT unnest({_WORDS.format('title')}) AS term FROM doc) GROUP BY 1", _TITLED),

@@ -24,6 +24,12 @@ def _busiest(s, d):
     return best["title"] if best else ""
 
 
+def _with_last_evicted(s, d):
+    """The articles, and an evicted one far behind them all, on which the probe of seed -1 then falls short of."""
+    a = C.articles(s, d).select("page_id", "title", "tier")
+    return a.unionByName(a.agg((F.max("page_id") + 10_000_000_000_000).alias("page_id")).select("page_id", F.lit("Last").alias("title"), F.lit("evicted").alias("tier")))
+
+
 _BUSY = "busy AS (SELECT title, page_id FROM (SELECT cl_from, count(*) AS n FROM cl WHERE cl_type = 'page' GROUP BY 1) JOIN art ON page_id = cl_from WHERE tier <> 'evicted' ORDER BY n DESC, title LIMIT 1)"
 
 QUERIES = {
@@ -33,6 +39,7 @@ QUERIES = {
     "q4_redirects": lambda s, d: lookup.resolve_redirects(C.articles(s, d), C.redirects(s, d)),
     "q5_categories_of_page": lambda s, d: category.categories_of(C.categorylinks(s, d), _PAGE),
     "q6_category_prefix": lambda s, d: category.search_categories(C.categorylinks(s, d), "f", 15),
+    "q7_prefix_as_given": lambda s, d: lookup.titles_with_prefix(C.articles(s, d), "treaty ", 50).unionByName(lookup.titles_with_prefix(C.articles(s, d), "Treaty_", 50)).unionByName(lookup.titles_with_prefix(C.articles(s, d), " \t", 50)),
     "q7_title_prefix": lambda s, d: lookup.titles_with_prefix(C.articles(s, d), _PREFIX, 20),
     "q8_without_embedding": lambda s, d: lookup.without_embedding(C.articles(s, d), C.embeddings(s, d), "m1"),
     "q13_recent": lambda s, d: lookup.recent_articles(C.articles(s, d), 100),
@@ -57,6 +64,7 @@ QUERIES = {
     "t1_geotag_page": lambda s, d: geo.primary_geotags_page(C.geotags(s, d), C.articles(s, d), 300, 200),
     "t3_lru": lambda s, d: lookup.lru_candidates(C.articles(s, d), 50),
     "t4_random": lambda s, d: lookup.random_article(C.articles(s, d), 42),
+    "t4_wrapped": lambda s, d: lookup.random_article(_with_last_evicted(s, d), -1),
     "t7_ring": lambda s, d: lookup.ring_buffer(C.access_log(s, d).select("event_id", "page_id", "at"), "at", "event_id", 1000),
     "f1_normalised_titles": lambda s, d: table(s, d, "articles").select("title", F.btrim(F.translate("title", "_", " "), F.lit(lookup.WHITE_SPACE)).alias("norm")).distinct(),
     "f2_ascii_fold": lambda s, d: C.articles(s, d).select("page_id", ascii_fold("title").alias("fold")),
@@ -86,7 +94,8 @@ ORACLES = {
     "q5_categories_of_page": sql(f"SELECT replace(cl_to, '_', ' ') AS category FROM cl WHERE cl_from = {_PAGE} AND cl_type = 'page'"),
     "q6_category_prefix": sql(f"SELECT replace(cl_to, '_', ' ') AS category FROM (SELECT DISTINCT cl_to FROM cl WHERE starts_with({_FOLD.format('cl_to')}, 'f') ORDER BY cl_to LIMIT 15)"),
     "q7_title_prefix": sql(f"SELECT page_id, title FROM art WHERE tier <> 'evicted' AND starts_with({_FOLD.format('title')}, '{_PREFIX}') ORDER BY length(title), title, page_id LIMIT 20"),
-    "q8_without_embedding": sql("SELECT page_id, title FROM art WHERE tier <> 'evicted' AND page_id NOT IN (SELECT page_id FROM emb WHERE model = 'm1')"),
+    "q7_prefix_as_given": sql(f"SELECT page_id, title FROM art WHERE tier <> 'evicted' AND starts_with({_FOLD.format('title')}, 'treaty ') ORDER BY length(title), title, page_id LIMIT 50"),
+    "q8_without_embedding": sql("SELECT page_id, title FROM art WHERE page_id NOT IN (SELECT page_id FROM emb WHERE model = 'm1')"),
     "q13_recent": sql("SELECT page_id, title, last_accessed, access_count FROM art WHERE last_accessed > 0 ORDER BY last_accessed DESC, page_id LIMIT 100"),
     "q16_categories_of_title": sql("SELECT replace(cl_to, '_', ' ') AS category FROM cl JOIN busy ON page_id = cl_from WHERE cl_type = 'page'", _BUSY),
     "q17_resolve": sql(
@@ -100,16 +109,18 @@ ORACLES = {
     "j1_primary_geotags": sql("SELECT g.page_id, a.title, lat, lon, kind FROM geo g JOIN art a ON a.page_id = g.page_id WHERE primary_"),
     "j2_category_members": sql(f"SELECT cl_from AS page_id, coalesce(title, replace(cl_to, '_', ' ')) AS title, cl_type FROM cl LEFT JOIN art ON page_id = cl_from WHERE cl_to = '{_CATEGORY}'"),
     "j2_subcategories_repaired": sql(f"SELECT cl_from AS page_id, coalesce(title, '#' || cl_from) AS title, cl_type FROM cl LEFT JOIN art ON page_id = cl_from WHERE cl_to = '{_CATEGORY}' AND cl_type = 'file'"),
-    "j3_related": sql("SELECT a.page_id, a.title, count(*) AS shared FROM cl m JOIN cl o ON o.cl_to = m.cl_to AND o.cl_type = 'page' JOIN art a ON a.page_id = o.cl_from WHERE m.cl_type = 'page' AND m.cl_from = (SELECT page_id FROM busy) AND o.cl_from <> m.cl_from AND a.tier <> 'evicted' GROUP BY 1, 2 ORDER BY shared DESC, a.title, a.page_id LIMIT 50", _BUSY),
-    "j5_links_available": sql("SELECT from_page_id, target_title AS target, EXISTS (SELECT 1 FROM art WHERE title = target_title AND tier <> 'evicted') AS available FROM red"),
+    "j3_related": sql("SELECT a.page_id, a.title, count(*) AS shared FROM cl m JOIN cl o ON o.cl_to = m.cl_to AND o.cl_type = 'page' JOIN art a ON a.page_id = o.cl_from WHERE m.cl_type = 'page' AND m.cl_from = (SELECT page_id FROM busy) AND o.cl_from <> m.cl_from GROUP BY 1, 2 ORDER BY shared DESC, a.title, a.page_id LIMIT 50", _BUSY),
+    "j5_links_available": sql("SELECT from_page_id, target_title AS target, EXISTS (SELECT 1 FROM art WHERE title = target_title) AS available FROM red"),
     "j13_closure": sql("SELECT root, c.cl_from AS page_id, cast(min(level) AS INTEGER) AS level FROM walk w JOIN cl c ON c.cl_to = w.cl_to AND c.cl_type = 'page' GROUP BY 1, 2", f"tree AS ({_TREE})", "walk AS (SELECT DISTINCT replace(cl_to, '_', ' ') AS root, cl_to, 0 AS level FROM cl WHERE cl_type = 'subcat' UNION SELECT w.root, t.child, w.level + 1 FROM walk w JOIN tree t ON t.cl_to = w.cl_to WHERE w.level < 3)"),
     "a1_tier_counts": sql("SELECT " + ", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in lookup.TIERS) + " FROM art"),
     "a2_table_counts": sql(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {t}" for n, t in (("geotags", "geo"), ("categorylinks", "cl"), ("redirects", "red"), ("bookmarks", "book"), ("revisions", "rev"), ("embeddings", "emb WHERE model = 'm0'"), ("articles", "art")))),
     "a3_count_primary": sql("SELECT count(*) AS n FROM geo g JOIN art a ON a.page_id = g.page_id WHERE primary_"),
     "a5_distinct_categories": sql("SELECT DISTINCT cl_to FROM cl"),
-    "a6_key_range": sql("SELECT min(page_id) AS lo, max(page_id) AS hi FROM art WHERE tier <> 'evicted'"),
+    "a6_key_range": sql("SELECT min(page_id) AS lo, max(page_id) AS hi FROM art"),
     "t1_geotag_page": sql("SELECT g.page_id, a.title, lat, lon, kind FROM geo g JOIN art a ON a.page_id = g.page_id WHERE primary_ ORDER BY g.page_id, lat, lon LIMIT 200 OFFSET 300"),
     "t3_lru": sql("SELECT page_id, title, tier, last_accessed, access_count FROM art WHERE tier IN ('hot', 'warm') AND NOT coalesce(pinned, false) ORDER BY last_accessed NULLS FIRST, access_count NULLS FIRST, page_id LIMIT 50"),
+    "t4_random": sql(f"SELECT page_id, title FROM (SELECT page_id, title, 0 AS o FROM art WHERE tier <> 'evicted' AND page_id >= (SELECT min(page_id) + (42 * {lookup.SPREAD}) % (max(page_id) - min(page_id) + 1) FROM art) UNION ALL SELECT page_id, title, 1 FROM art WHERE tier <> 'evicted') ORDER BY o, page_id LIMIT 1"),
+    "t4_wrapped": sql("SELECT page_id, title FROM art WHERE tier <> 'evicted' ORDER BY page_id LIMIT 1"),
     "t7_ring": sql('SELECT event_id, page_id, "at" FROM log ORDER BY "at" DESC, event_id DESC LIMIT 1000'),
     "f1_normalised_titles": f"SELECT DISTINCT title, trim(replace(title, '_', ' '), '{lookup.WHITE_SPACE}') AS norm FROM articles",
     "f2_ascii_fold": sql(f"SELECT page_id, {_FOLD.format('title')} AS fold FROM art"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import curated as C
 from ..functions import scalars as S
 from ..functions import wikitext as W
+from ..functions.text import WHITE_SPACE
 from ..sources import dumps as D
 from ..sources import files as X
 from ..streaming import governance as G
@@ -74,7 +75,7 @@ ORACLES = {
     "src12_revisions": sql("SELECT event_id, event_id AS revid, 0::BIGINT AS parentid, false AS minor, cast(page_id AS VARCHAR) AS \"user\", '' AS timestamp, \"at\" AS size, '' AS comment FROM log"),
     "src14_ranges": sql("WITH x AS (SELECT event_id, event_id % 130 AS a, CASE WHEN event_id % 3 > 0 THEN least(event_id % 210, 99) ELSE 99 END AS b FROM log) SELECT event_id, CASE WHEN a <= b AND a < 100 THEN a END AS first, CASE WHEN a <= b AND a < 100 THEN b END AS last FROM x").replace(") WITH x AS", "), x AS"),
     "snk25_zstd": sql("SELECT page_id, true AS same FROM hot"),
-    "w8_links": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, target, target IN (SELECT title FROM art WHERE tier <> 'evicted') AS available FROM (SELECT page_id, i - 1 AS pos, trim(f[i]) AS target FROM (SELECT page_id, regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|{}<>\\n]+)(?:\\|[^\\[\\]]*)?\\]\\]', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i)) WHERE NOT regexp_matches(lower(target), '^(file|image|category):') AND target <> ''"),
+    "w8_links": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, target, trim(replace(target, '_', ' '), '{WS}') IN (SELECT title FROM art) AS available FROM (SELECT page_id, i - 1 AS pos, trim(f[i]) AS target FROM (SELECT page_id, regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|{}<>\\n]+)(?:\\|[^\\[\\]]*)?\\]\\]', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i)) WHERE NOT regexp_matches(lower(target), '^(file|image|category):') AND target <> ''".replace("{WS}", WHITE_SPACE)),
     "f6_heading_ids": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, cast(level AS INTEGER) AS level, text, 's-' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) AS n FROM (SELECT *, coalesce(nullif(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'section') AS slug FROM (SELECT page_id, i - 1 AS pos, length(regexp_extract(f[i], '^(=+)', 1)) AS level, trim(trim(f[i], '=')) AS text FROM (SELECT page_id, regexp_extract_all(wikitext, '(?m)^(={2,6}[^=\\n][^\\n]*?={2,6})[ \\t]*$', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i))))"),
     "a10_rolling_errors": sql("SELECT event_id, page_id, \"at\", count(*) OVER (PARTITION BY page_id ORDER BY \"at\" RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM log WHERE event_type = 'error'"),
     "st2_token_bucket": sql(

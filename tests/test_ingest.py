@@ -61,7 +61,7 @@ def test_backfill_goes_on_where_it_stopped(spark):
     part = I.backfill_embeddings(a, e, "new", hashing_embedder(4), 2)
     assert sorted(r.page_id for r in part.where("model = 'new'").collect()) == [0, 1] and part.count() == 2
     whole = I.backfill_embeddings(a, part, "new", hashing_embedder(4))
-    assert sorted(r.page_id for r in whole.collect()) == [0, 1, 2, 3] and {r.model for r in whole.collect()} == {"new"}
+    assert sorted(r.page_id for r in whole.collect()) == [0, 1, 2, 3, 4] and {r.model for r in whole.collect()} == {"new"}
 
 
 def test_modules(spark):

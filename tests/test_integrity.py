@@ -82,7 +82,7 @@ def test_ear_clipping():
     for n in (3, 4, 9, 40):
         for turn in (1, -1):
             poly = np.array([[np.cos(a) * k, np.sin(a) * k] for a in np.linspace(0, turn * 2 * np.pi, n, endpoint=False) for k in [r.uniform(0.2, 1)]])
-            tri = near.ear_clip(poly)
+            tri = poly[near.ear_clip(poly)]
             x, y = poly.T
             area = abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
             a, b, c = tri[:, 0], tri[:, 1], tri[:, 2]
@@ -114,6 +114,32 @@ def test_regions(spark):
             assert got.get(p) == (min(want) if want else None), p
 
 
+def convex(vertices, lat, lon):
+    """Whether a place is in a convex region of great-circle edges, on an edge (within some micrometres) included."""
+    v, p = near.unit(*np.array(vertices, float).T), near.unit(np.array(lat), np.array(lon))
+    n = np.cross(v, np.roll(v, -1, axis=0))
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    return v.mean(0) @ p > 0 and ((n @ p >= -near.EDGE).all() or (n @ p <= near.EDGE).all())
+
+
+def test_shared_edges_wide_regions_and_poles(spark):
+    grid = [(10 * i + j, [(a, o), (a, o + 10), (a + 10, o + 10), (a + 10, o)]) for i, a in enumerate(range(30, 60, 10)) for j, o in enumerate(range(30, 70, 10))]
+    wide = [(900, [(40, 20), (40, 100), (75, 100), (75, 20)]), (901, [(70.0, o) for o in range(-180, 180, 30)]), (902, [(-5, 150), (-5, -150), (5, -150), (5, 150)])]
+    regions = grid + wide
+    pts = [(a, o) for _, v in grid for a, o in v] + [(a + 5.0, o) for _, v in grid for a, o in v[:1]]  # corners, and on shared meridians
+    r = random.Random(5)
+    pts += [(r.uniform(-10, 90), r.uniform(-180, 180)) for _ in range(400)] + [(90.0, 0.0), (70.0, 30.0), (0.5, 180.0), (0.5, -180.0)]
+    df = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(pts)], "page_id bigint, lat double, lon double")
+    rs = spark.createDataFrame([(i, [{"lat": float(a), "lon": float(o)} for a, o in v]) for i, v in regions], "region_id bigint, vertices array<struct<lat double, lon double>>")
+    got = {x.page_id: x.region_id for x in near.pages_in_regions(df, rs).collect()}
+    for i, (a, o) in enumerate(pts):
+        want = [k for k, v in regions if convex(v, a, o)]
+        assert got.get(i) == (min(want) if want else None), (a, o)
+    assert near.pages_in_regions(df.limit(0), rs).count() == near.pages_in_regions(df, rs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        near.region_triangles([(0, 0), (0, 120), (0, -120)])
+
+
 # ---- problem 4 ----
 
 LINES = [

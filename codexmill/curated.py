@@ -1,6 +1,7 @@
 """The engine's tables, cleaned from the raw ones: one current row per key.
 
-``latest`` keeps, per key, the row that is greatest in the order given. It is an aggregation with a
+Each is written once (see ``store``) and clustered by what it is looked up by, so a lookup reads a
+few pages of a few files. ``latest`` keeps, per key, the row that is greatest in the order given. It is an aggregation with a
 map-side combine, not a window, so a key with very many rows is reduced before the shuffle.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import norm_title
+from .functions.text import ascii_fold, norm_title
+from .store import stored
 from .tables import table
 
 
@@ -21,14 +23,28 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def articles(s: SparkSession, d: str) -> DataFrame:
-    """Pages that are still there: page_id, title (normalised), tier, pinned, ... ; one row a page."""
-    a = table(s, d, "articles").where("page_id is not null and deleted_at is null").withColumn("title", norm_title("title")).where("title <> ''").drop("deleted_at")
-    return latest(a, ["page_id"], ["updated_at", "created_at", "revision_id"])
+    """Pages that are still there: page_id, title (normalised), tier, pinned, ... ; one row a page. By title."""
+
+    def build() -> DataFrame:
+        a = table(s, d, "articles").where("page_id is not null and deleted_at is null").withColumn("title", norm_title("title")).where("title <> ''").drop("deleted_at")
+        return latest(a, ["page_id"], ["updated_at", "created_at", "revision_id"])
+
+    return stored(s, d, "articles", ["articles"], build, ["title"])
+
+
+def folded_titles(s: SparkSession, d: str) -> DataFrame:
+    """page_id, title, tier and the title with ASCII case folded. By that."""
+    return stored(s, d, "folded_titles", ["articles"], lambda: articles(s, d).select("page_id", "title", "tier", ascii_fold("title").alias("fold")), ["fold"])
 
 
 def hot_content(s: SparkSession, d: str) -> DataFrame:
-    h = table(s, d, "hot_content").where("page_id is not null and wikitext is not null")
-    return latest(h, ["page_id"], ["loaded_at", "revision_id"]).select("page_id", "wikitext")
+    """page_id, wikitext. By page."""
+
+    def build() -> DataFrame:
+        h = table(s, d, "hot_content").where("page_id is not null and wikitext is not null")
+        return latest(h, ["page_id"], ["loaded_at", "revision_id"]).select("page_id", "wikitext")
+
+    return stored(s, d, "hot_content", ["hot_content"], build, ["page_id"])
 
 
 def geotag_rows(s: SparkSession, d: str) -> DataFrame:
@@ -38,7 +54,9 @@ def geotag_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def geotags(s: SparkSession, d: str) -> DataFrame:
-    return latest(geotag_rows(s, d), ["page_id", "lat", "lon"], ["loaded_at", "primary_", "kind"]).drop("loaded_at")
+    """By page and place."""
+    keys = ["page_id", "lat", "lon"]
+    return stored(s, d, "geotags", ["geotags"], lambda: latest(geotag_rows(s, d), keys, ["loaded_at", "primary_", "kind"]).drop("loaded_at"), keys)
 
 
 def categorylink_rows(s: SparkSession, d: str) -> DataFrame:
@@ -48,8 +66,22 @@ def categorylink_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def categorylinks(s: SparkSession, d: str) -> DataFrame:
-    c = categorylink_rows(s, d)
-    return latest(c, ["cl_from", "cl_to"], ["loaded_at", "cl_timestamp", "cl_type"]).select("cl_from", "cl_to", "cl_type")
+    """cl_from, cl_to, cl_type. By category."""
+
+    def build() -> DataFrame:
+        return latest(categorylink_rows(s, d), ["cl_from", "cl_to"], ["loaded_at", "cl_timestamp", "cl_type"]).select("cl_from", "cl_to", "cl_type")
+
+    return stored(s, d, "categorylinks", ["categorylinks"], build, ["cl_to", "cl_from"])
+
+
+def page_categories(s: SparkSession, d: str) -> DataFrame:
+    """The same links by page."""
+    return stored(s, d, "page_categories", ["categorylinks"], lambda: categorylinks(s, d), ["cl_from", "cl_to"])
+
+
+def category_names(s: SparkSession, d: str) -> DataFrame:
+    """The distinct names, and with ASCII case folded. By that."""
+    return stored(s, d, "category_names", ["categorylinks"], lambda: categorylinks(s, d).select("cl_to").distinct().withColumn("fold", ascii_fold("cl_to")), ["fold"])
 
 
 def redirect_rows(s: SparkSession, d: str) -> DataFrame:
@@ -58,7 +90,8 @@ def redirect_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def redirects(s: SparkSession, d: str) -> DataFrame:
-    return latest(redirect_rows(s, d), ["from_page_id"], ["loaded_at"]).select("from_page_id", "target_title")
+    """from_page_id, target_title. By page."""
+    return stored(s, d, "redirects", ["redirects"], lambda: latest(redirect_rows(s, d), ["from_page_id"], ["loaded_at"]).select("from_page_id", "target_title"), ["from_page_id"])
 
 
 def embeddings(s: SparkSession, d: str) -> DataFrame:

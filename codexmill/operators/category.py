@@ -10,6 +10,10 @@ from ..session import cut
 from .lookup import clamp, normalise
 
 
+#: Categories of a page that are looked up by name; more are joined, with the same result.
+NAMES = 500
+
+
 def category_members(links: DataFrame, articles: DataFrame, category: str, kind: str | None = None, repaired: bool = False) -> DataFrame:
     """Members of a category with their titles, by title.
 
@@ -24,33 +28,46 @@ def category_members(links: DataFrame, articles: DataFrame, category: str, kind:
     return m.select(F.col("cl_from").alias("page_id"), F.coalesce("title", other).alias("title"), "cl_type").orderBy("title", "page_id")
 
 
-def categories_of(links: DataFrame, page_id: int) -> DataFrame:
+def categories_of(links: DataFrame, page_id: int | None) -> DataFrame:
     """Q5: the categories of a page, as page only, in name order."""
     return links.where((F.col("cl_from") == page_id) & (F.col("cl_type") == "page")).orderBy("cl_to").select(F.translate("cl_to", "_", " ").alias("category"))
 
 
 def categories_of_title(links: DataFrame, articles: DataFrame, title: str) -> DataFrame:
     """Q16: as categories_of by title; an unknown title has none."""
-    a = articles.where(F.col("title") == normalise(title)).select(F.col("page_id").alias("cl_from"))
-    return links.where("cl_type = 'page'").join(F.broadcast(a), "cl_from", "left_semi").orderBy("cl_to").select(F.translate("cl_to", "_", " ").alias("category"))
+    return categories_of(links, page_of_title(articles, title))
+
+
+def page_of_title(articles: DataFrame, title: str) -> int | None:
+    """The page id of a title, which one page has at most: a lookup, so that what follows filters by a literal."""
+    a = articles.where(F.col("title") == normalise(title)).select("page_id").first()
+    return a["page_id"] if a else None
 
 
 def search_categories(links: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
-    """Q6: distinct names with an ASCII-folded prefix, in raw name order; an empty prefix matches all."""
+    """Q6: distinct names with an ASCII-folded prefix, in raw name order; an empty prefix matches all.
+
+    A column ``fold`` with the folded name, where there is one, is used.
+    """
     fold = prefix.replace(" ", "_").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return links.where(ascii_fold("cl_to").startswith(fold)).select("cl_to").distinct().orderBy("cl_to").limit(clamp(limit, 1, 1000)).select(F.translate("cl_to", "_", " ").alias("category"))
+    folded = F.col("fold") if "fold" in links.columns else ascii_fold("cl_to")
+    return links.where(folded.startswith(fold)).select("cl_to").distinct().orderBy("cl_to").limit(clamp(limit, 1, 1000)).select(F.translate("cl_to", "_", " ").alias("category"))
 
 
-def related_to(links: DataFrame, articles: DataFrame, title: str, limit: int = 20) -> DataFrame:
+def related_to(links: DataFrame, articles: DataFrame, title: str, limit: int = 20, by_page: DataFrame | None = None) -> DataFrame:
     """Articles sharing most categories with the one of that title.
 
-    The categories of one page are few, so that side is broadcast when Spark measures it small; the
-    members of those categories are counted with a map-side combine.
+    ``by_page`` are the same links clustered by page, if there are such. The categories of one page
+    are few, so their names become literals that prune the scan of the links (up to ``NAMES`` of
+    them; a page in more is joined). Their members are counted with a map-side combine.
     """
-    page = articles.where(F.col("title") == normalise(title)).select(F.col("page_id").alias("me"))
+    me = page_of_title(articles, title)
+    by_page = links if by_page is None else by_page
     pages = links.where("cl_type = 'page'").select("cl_from", "cl_to")
-    mine = pages.join(page, pages["cl_from"] == page["me"]).select("cl_to", "me")
-    shared = pages.join(mine, "cl_to").where("cl_from <> me").groupBy("cl_from").agg(F.count("*").alias("shared"))
+    mine = by_page.where((F.col("cl_from") == me) & (F.col("cl_type") == "page")).select("cl_to")
+    names = [r["cl_to"] for r in mine.limit(NAMES + 1).collect()]
+    members = pages.where(F.col("cl_to").isin(names)) if len(names) <= NAMES else pages.join(mine, "cl_to", "left_semi")
+    shared = members.where(F.col("cl_from") != me).groupBy("cl_from").agg(F.count("*").alias("shared"))
     hits = shared.join(articles.select("page_id", "title"), shared["cl_from"] == F.col("page_id"))
     return hits.select("page_id", "title", "shared").orderBy(F.desc("shared"), "title", "page_id").limit(clamp(limit, 1, 100))
 

@@ -14,17 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import dumps
+from ..store import _path
 from . import mutations as M
 from .lookup import without_embedding
 from .vectors import embed_titles
 
 
-def _path(spark: SparkSession, name: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(name)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def read_current(spark: SparkSession, table: str) -> DataFrame | None:
     """The current version of a table, None if it has none yet."""
     p, fs = _path(spark, f"{table}/CURRENT")

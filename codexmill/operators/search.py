@@ -177,7 +177,9 @@ def search(postings: DataFrame, stats: DataFrame, articles: DataFrame, query: st
     if not re.fullmatch(r"[^\W_]{4,}", text):
         return exact.orderBy(F.desc("score"), "page_id").limit(limit)
     word = text.lower()
-    near = postings.where(F.col("field") == "title").where(within_one_edit(F.col("term"), word)).groupBy("page_id").agg(F.max((F.col("term") == word).cast("double")).alias("score"))
+    title_words = postings.where(F.col("field") == "title")
+    alike = title_words.select("term").distinct().where(within_one_edit(F.col("term"), word))  # each word is compared once
+    near = title_words.join(alike, "term", "left_semi").groupBy("page_id").agg(F.max((F.col("term") == word).cast("double")).alias("score"))
     near = near.join(shown, "page_id").join(exact.select("page_id"), "page_id", "left_anti").select("page_id", "title", "tier", "score", F.lit(True).alias("fuzzy"))
     top = exact.orderBy(F.desc("score"), "page_id").limit(limit)
     return top.unionByName(near.orderBy(F.desc("score"), "page_id").limit(limit)).orderBy("fuzzy", F.desc("score"), "page_id").limit(limit)

@@ -11,6 +11,7 @@ from ..operators import retrieval as R
 from ..operators import search as X
 from ..operators import vectors as V
 from ..operators.ingest import backfill_embeddings
+from ..store import stored
 from ..tables import table
 from .curated_sql import sql
 
@@ -44,7 +45,9 @@ _FIELDS = {"title": "title", "body": "body"}
 
 def _search(s, d, q, n, tiers=None):
     c = _titled(s, d)
-    r = X.search(X.build_postings(c, _FIELDS), X.corpus_stats(c, _FIELDS), c, q, n, tiers)
+    postings = stored(s, d, "postings", ["documents"], lambda: X.build_postings(c, _FIELDS), ["term", "page_id"])
+    stats = stored(s, d, "corpus_stats", ["documents"], lambda: X.corpus_stats(c, _FIELDS), ["field"])
+    r = X.search(postings, stats, c, q, n, tiers)
     return r.select("page_id", "title", F.round("score", 6).alias("score"), "fuzzy")
 
 

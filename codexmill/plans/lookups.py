@@ -8,6 +8,7 @@ from .. import curated as C
 from ..functions import scalars as S
 from ..functions.text import ascii_fold
 from ..operators import category, geo, lookup
+from ..store import stored
 from ..tables import table
 from .curated_sql import sql
 
@@ -19,8 +20,13 @@ _NOW = 1_720_000_000
 
 def _busiest(s, d):
     """The title of the article in most categories (ties: least title)."""
-    links = C.categorylinks(s, d).where("cl_type = 'page'").groupBy("cl_from").agg(F.count("*").alias("n"))
-    best = links.join(C.articles(s, d).where("tier <> 'evicted'").select(F.col("page_id").alias("cl_from"), "title"), "cl_from").orderBy(F.desc("n"), "title").limit(1).first()
+
+
+    def build():
+        links = C.page_categories(s, d).where("cl_type = 'page'").groupBy("cl_from").agg(F.count("*").alias("n"))
+        return links.join(C.articles(s, d).where("tier <> 'evicted'").select(F.col("page_id").alias("cl_from"), "title"), "cl_from").orderBy(F.desc("n"), "title").limit(1)
+
+    best = stored(s, d, "busiest", ["articles", "categorylinks"], build, ["title"]).first()
     return best["title"] if best else ""
 
 
@@ -37,13 +43,13 @@ QUERIES = {
     "q2_content": lambda s, d: lookup.article_content(C.articles(s, d), C.hot_content(s, d)).select("page_id", "kind", F.length("text").cast("bigint").alias("n_chars"), "stream_offset", "stream_length"),
     "q3_geotag_per_page": lambda s, d: geo.geotag_per_page(C.geotags(s, d)),
     "q4_redirects": lambda s, d: lookup.resolve_redirects(C.articles(s, d), C.redirects(s, d)),
-    "q5_categories_of_page": lambda s, d: category.categories_of(C.categorylinks(s, d), _PAGE),
-    "q6_category_prefix": lambda s, d: category.search_categories(C.categorylinks(s, d), "f", 15),
-    "q7_prefix_as_given": lambda s, d: lookup.titles_with_prefix(C.articles(s, d), "treaty ", 50).unionByName(lookup.titles_with_prefix(C.articles(s, d), "Treaty_", 50)).unionByName(lookup.titles_with_prefix(C.articles(s, d), " \t", 50)),
-    "q7_title_prefix": lambda s, d: lookup.titles_with_prefix(C.articles(s, d), _PREFIX, 20),
+    "q5_categories_of_page": lambda s, d: category.categories_of(C.page_categories(s, d), _PAGE),
+    "q6_category_prefix": lambda s, d: category.search_categories(C.category_names(s, d), "f", 15),
+    "q7_prefix_as_given": lambda s, d: lookup.titles_with_prefix(C.folded_titles(s, d), "treaty ", 50).unionByName(lookup.titles_with_prefix(C.folded_titles(s, d), "Treaty_", 50)).unionByName(lookup.titles_with_prefix(C.folded_titles(s, d), " \t", 50)),
+    "q7_title_prefix": lambda s, d: lookup.titles_with_prefix(C.folded_titles(s, d), _PREFIX, 20),
     "q8_without_embedding": lambda s, d: lookup.without_embedding(C.articles(s, d), C.embeddings(s, d), "m1"),
     "q13_recent": lambda s, d: lookup.recent_articles(C.articles(s, d), 100),
-    "q16_categories_of_title": lambda s, d: category.categories_of_title(C.categorylinks(s, d), C.articles(s, d), _busiest(s, d)),
+    "q16_categories_of_title": lambda s, d: category.categories_of_title(C.page_categories(s, d), C.articles(s, d), _busiest(s, d)),
     "q17_resolve": lambda s, d: lookup.resolve_articles(table(s, d, "redirects").select(F.col("target_title").alias("title")), C.articles(s, d), C.redirects(s, d), C.hot_content(s, d)),
     "q18_timeline": lambda s, d: lookup.revision_timeline(
         table(s, d, "hot_content").where("page_id is not null and revision_id is not null").select(F.col("page_id").alias("key"), F.col("revision_id").alias("revid"), F.unix_seconds(F.col("loaded_at").cast("timestamp")).alias("ts"), F.coalesce(F.length("wikitext"), F.lit(0)).alias("size")).distinct()
@@ -53,13 +59,13 @@ QUERIES = {
     "j1_primary_geotags": lambda s, d: geo.primary_geotags(C.geotags(s, d), C.articles(s, d)),
     "j2_category_members": lambda s, d: category.category_members(C.categorylinks(s, d), C.articles(s, d), _CATEGORY),
     "j2_subcategories_repaired": lambda s, d: category.category_members(C.categorylinks(s, d), C.articles(s, d), _CATEGORY, "file", repaired=True),
-    "j3_related": lambda s, d: category.related_to(C.categorylinks(s, d), C.articles(s, d), _busiest(s, d), 50),
+    "j3_related": lambda s, d: category.related_to(C.categorylinks(s, d), C.articles(s, d), _busiest(s, d), 50, C.page_categories(s, d)),
     "j5_links_available": lambda s, d: lookup.links_available(C.redirects(s, d).select("from_page_id", F.col("target_title").alias("target")), C.articles(s, d)),
     "j13_closure": lambda s, d: category.closure_to_depth(C.categorylinks(s, d), C.articles(s, d), C.categorylinks(s, d).where("cl_type = 'subcat'").select(F.translate("cl_to", "_", " ").alias("root")).distinct(), 3),
     "a1_tier_counts": lambda s, d: lookup.tier_counts(C.articles(s, d)),
     "a2_table_counts": lambda s, d: lookup.table_counts(geotags=C.geotags(s, d), categorylinks=C.categorylinks(s, d), redirects=C.redirects(s, d), bookmarks=C.bookmarks(s, d), revisions=C.saved_revisions(s, d), embeddings=C.embeddings(s, d).where("model = 'm0'"), articles=C.articles(s, d)),
     "a3_count_primary": lambda s, d: geo.count_primary(C.geotags(s, d), C.articles(s, d)),
-    "a5_distinct_categories": lambda s, d: C.categorylinks(s, d).select("cl_to").distinct(),
+    "a5_distinct_categories": lambda s, d: C.category_names(s, d).select("cl_to"),
     "a6_key_range": lambda s, d: lookup.key_range(C.articles(s, d)),
     "t1_geotag_page": lambda s, d: geo.primary_geotags_page(C.geotags(s, d), C.articles(s, d), 300, 200),
     "t3_lru": lambda s, d: lookup.lru_candidates(C.articles(s, d), 50),
@@ -71,7 +77,7 @@ QUERIES = {
     "f4_html_escape": lambda s, d: C.articles(s, d).select("page_id", S.html_escape("title").alias("html")),
     "f5_slug": lambda s, d: C.articles(s, d).select("page_id", S.slugify("title").alias("slug")),
     "f7_url_title": lambda s, d: C.articles(s, d).select("page_id", S.url_encode_title("title").alias("url")),
-    "f8_template_names": lambda s, d: C.categorylinks(s, d).select("cl_to").distinct().select("cl_to", S.prettify_template("cl_to").alias("pretty")),
+    "f8_template_names": lambda s, d: C.category_names(s, d).select("cl_to", S.prettify_template("cl_to").alias("pretty")),
     "f9_snippets": lambda s, d: C.hot_content(s, d).select("page_id", S.truncate_snippet("wikitext", 600).alias("snippet")).select("page_id", F.length("snippet").cast("bigint").alias("n"), F.octet_length("snippet").cast("bigint").alias("b")),
     "f15_disk": lambda s, d: table(s, d, "part").select("p_partkey", S.disk_projection(F.col("p_size") * 1000, F.lit(60_000), F.col("p_partkey") % 40_000).alias("x")).select("p_partkey", F.round("x.free_after_pct", 6).alias("pct"), "x.warn"),
     "f16_retry": lambda s, d: C.access_log(s, d).select("event_id", (400 + F.col("page_id") % 130).alias("status")).select("event_id", "status", S.is_retryable("status").alias("again")),

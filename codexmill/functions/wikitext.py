@@ -1,15 +1,20 @@
 """Wikitext to HTML, plain text and structured rows.
 
 A small parser makes a tree of nodes; renderer, plain text, infobox and footnote extraction walk it.
-Links are extracted by regular expression inside the JVM. Nesting deeper than ``DEEPEST`` stays
-plain text, so no input can exhaust the stack.
+Links are extracted by regular expression inside the JVM. Brackets are matched once for a stretch of
+text, closing tags are found in sorted lists, and what lies inside brackets is skipped by jumps, so
+the time is in proportion to the length, whatever is left open and however deep brackets nest. A
+text that cannot be rendered comes out escaped within <pre>, and fails no task.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pandas as pd
@@ -17,12 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEEPEST = 40
+#: Frames of the interpreter that a deeply nested text may use; they lie on the heap.
+FRAMES = 1_000_000
 #: Prefix of the classes in rendered HTML.
 CSS = "wk"
 _FILE = ("file:", "image:")
 _TABLE_ATTRIBUTES = re.compile(r"^[^|\[\]{}]*\|(?!\|)")
-_INLINE = re.compile(r"'''''|'''|''|\{\{|\[\[|\[(?=(?:https?:)?//)|<!--|<nowiki\s*/?>|<ref\b[^>]*>|</?[A-Za-z][^<>]*>|&(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|__[A-Z]+__", re.I)
+_INLINE = re.compile(r"'''''|'''|''|\{\{|\[\[|\[(?=(?:https?:)?//)|<!--|<nowiki\s*/?>|<ref\b[^<>]*>|</?[A-Za-z][^<>]*>|&(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|__[A-Z]+__", re.I)
+_BRACKETS = re.compile(r"\{\{|\}\}|\[\[|\]\]")
+_MARKS = {mark: re.compile(r"\{\{|\[\[|" + re.escape(mark)) for mark in "|="}
+_CLOSERS = {"]": re.compile(r"\]"), "-->": re.compile("-->"), "nowiki": re.compile(r"</nowiki\s*>", re.I), "ref": re.compile(r"</ref\s*>", re.I)}
 
 
 class Node(NamedTuple):
@@ -32,118 +41,122 @@ class Node(NamedTuple):
     extra: object = None
 
 
-def _balanced(s: str, at: int, open_: str, close: str) -> int:
-    """Index after the bracket that closes the one at ``at``; -1 if none does."""
-    depth, i = 0, at
-    pattern = re.compile(re.escape(open_) + "|" + re.escape(close))
-    while True:
-        m = pattern.search(s, i)
-        if m is None:
-            return -1
-        depth += 1 if m[0] == open_ else -1
-        i = m.end()
-        if depth == 0:
-            return i
-
-
-def _split_top(s: str, mark: str) -> list[str]:
-    """Parts between marks that stand outside brackets."""
-    out, depth, last, i = [], 0, 0, 0
-    for m in re.finditer(r"\{\{|\[\[|\}\}|\]\]|" + re.escape(mark), s):
-        if m[0] in ("{{", "[["):
-            depth += 1
-        elif m[0] in ("}}", "]]"):
-            depth = max(0, depth - 1)
-        elif depth == 0:
-            out.append(s[last : m.start()])
-            last = m.end()
-        i = m.end()
-    out.append(s[last:])
-    return out
-
-
-def parse_template(body: str, deep: int = 0) -> Node:
-    """Node('template', name, extra = [(name or None, nodes), ...]) in order."""
-    parts = _split_top(body, "|")
-    params = []
-    for p in parts[1:]:
-        named = _split_top(p, "=")
-        key = named[0].strip() if len(named) > 1 else None
-        params.append((key, inline(p[len(named[0]) + 1 :] if key is not None else p, deep + 1)))
-    return Node("template", plain(inline(parts[0], deep + 1)).strip(), (), params)
-
-
-def inline(s: str, deep: int = 0) -> tuple[Node, ...]:
-    """Inline nodes of a stretch of text."""
-    if deep > DEEPEST:
-        return (Node("text", s),)
-    out: list[Node] = []
-    at = 0
-
-    def text(x: str) -> None:
-        if x:
-            out.append(Node("text", x))
-
-    while True:
-        m = _INLINE.search(s, at)
-        if m is None:
-            text(s[at:])
-            return tuple(out)
-        t, low = m[0], m[0].lower()
-        end = m.end()
-        node = None
-        if t[0] == "'":
-            node = Node({2: "italic", 3: "bold", 5: "bolditalic"}[len(t)])
-        elif t == "{{":
-            end = _balanced(s, m.start(), "{{", "}}")
-            node = parse_template(s[m.end() : end - 2], deep) if end > 0 else None
-        elif t == "[[":
-            end = _balanced(s, m.start(), "[[", "]]")
-            if end > 0:
-                parts = _split_top(s[m.end() : end - 2], "|")
-                target = parts[0].strip()
-                if target.lower().startswith(_FILE):
-                    node = Node("image", target)
-                elif target.lower().startswith("category:"):
+class _Stretch:
+    """A stretch of text with the places where its brackets and tags close."""
+
+    def __init__(self, s: str):
+        if sys.getrecursionlimit() < FRAMES:
+            sys.setrecursionlimit(FRAMES)
+        self.s = s
+        self.ends: dict[int, int] = {}  # opening bracket -> index after the one that closes it
+        self._closers: dict[str, tuple[list[int], list[int]]] = {}
+        open_: dict[str, list[int]] = {"{{": [], "[[": []}
+        for m in _BRACKETS.finditer(s):
+            if m[0] in open_:
+                open_[m[0]].append(m.start())
+            elif stack := open_["{{" if m[0] == "}}" else "[["]:
+                self.ends[stack.pop()] = m.end()
+
+    def closed(self, at: int, hi: int) -> int:
+        """Index after the bracket that closes the one at ``at``; -1 if none does before ``hi``."""
+        end = self.ends.get(at, -1)
+        return end if end <= hi else -1
+
+    def closer(self, kind: str, at: int, hi: int) -> tuple[int, int]:
+        """Start and end of the first closing tag of a kind from ``at`` on; (-1, -1) if there is none before ``hi``."""
+        if kind not in self._closers:
+            found = list(_CLOSERS[kind].finditer(self.s))
+            self._closers[kind] = [m.start() for m in found], [m.end() for m in found]
+        starts, ends = self._closers[kind]
+        k = bisect_left(starts, at)
+        return (starts[k], ends[k]) if k < len(starts) and ends[k] <= hi else (-1, -1)
+
+    def split(self, lo: int, hi: int, mark: str) -> list[tuple[int, int]]:
+        """Parts between marks that stand outside brackets; after a bracket left open there is no mark."""
+        out, last = [], lo
+        pattern, i = _MARKS[mark], lo
+        while (m := pattern.search(self.s, i, hi)) is not None:
+            i = m.end()
+            if m[0] == mark:
+                out.append((last, m.start()))
+                last = i
+            else:
+                i = self.closed(m.start(), hi)
+                if i < 0:
+                    break
+        out.append((last, hi))
+        return out
+
+    def template(self, lo: int, hi: int) -> Node:
+        """Node('template', name, extra = [(name or None, nodes), ...]) in order."""
+        (a, b), *parts = self.split(lo, hi, "|")
+        params = []
+        for x, y in parts:
+            key = self.split(x, y, "=")[0]
+            named = key[1] < y
+            params.append((self.s[key[0] : key[1]].strip() if named else None, self.inline(key[1] + 1 if named else x, y)))
+        return Node("template", plain(self.inline(a, b)).strip(), (), params)
+
+    def link(self, lo: int, hi: int) -> Node:
+        (a, b), *parts = self.split(lo, hi, "|")
+        target = self.s[a:b].strip()
+        if target.lower().startswith(_FILE):
+            return Node("image", target)
+        if target.lower().startswith("category:"):
+            return Node("none")
+        return Node("link", target, self.inline(parts[0][0], hi) if parts else ())
+
+    def inline(self, lo: int, hi: int) -> tuple[Node, ...]:
+        """Inline nodes of s[lo:hi]."""
+        s = self.s
+        out: list[Node] = []
+        at = lo
+        while (m := _INLINE.search(s, at, hi)) is not None:
+            t, low, end = m[0], m[0].lower(), m.end()
+            node = None
+            if t[0] == "'":
+                node = Node({2: "italic", 3: "bold", 5: "bolditalic"}[len(t)])
+            elif t in ("{{", "[["):
+                close = self.closed(m.start(), hi)
+                if close > 0:
+                    node, end = (self.template if t == "{{" else self.link)(end, close - 2), close
+            elif t == "[":
+                close, after = self.closer("]", end, hi)
+                if close > 0:
+                    node, end = Node("extlink", s[end:close]), after
+            elif t == "<!--":
+                close, after = self.closer("-->", end, hi)
+                node, end = Node("none"), hi if close < 0 else after
+            elif low.startswith("<nowiki") or low.startswith("<ref"):
+                kind = "nowiki" if low[1] == "n" else "ref"
+                close, after = (-1, -1) if low.endswith("/>") else self.closer(kind, end, hi)
+                if low.endswith("/>"):
                     node = Node("none")
-                else:
-                    label = inline("|".join(parts[1:]), deep + 1) if len(parts) > 1 else ()
-                    node = Node("link", target, label)
-        elif t == "[":
-            close = s.find("]", end)
-            if close > 0:
-                node, end = Node("extlink", s[end:close]), close + 1
-        elif t == "<!--":
-            close = s.find("-->", end)
-            node, end = Node("none"), len(s) if close < 0 else close + 3
-        elif low.startswith("<nowiki"):
-            if low.endswith("/>"):
+                elif close > 0:
+                    node, end = Node(kind, s[end:close], self.inline(end, close) if kind == "ref" else ()), after
+            elif t[0] == "<":
                 node = Node("none")
+            elif t[0] == "&":
+                x = _html.unescape(t)
+                node = Node("text", x) if x != t else None
             else:
-                close = re.compile(r"</nowiki\s*>", re.I).search(s, end)
-                if close:
-                    node, end = Node("nowiki", s[end : close.start()]), close.end()
-        elif low.startswith("<ref"):
-            if low.endswith("/>"):
                 node = Node("none")
-            else:
-                close = re.compile(r"</ref\s*>", re.I).search(s, end)
-                if close:
-                    node, end = Node("ref", s[end : close.start()], inline(s[end : close.start()], deep + 1)), close.end()
-        elif t[0] == "<":
-            node = Node("none")
-        elif t[0] == "&":
-            x = _html.unescape(t)
-            node = Node("text", x) if x != t else None
-        else:
-            node = Node("none")
-        text(s[at : m.start()])
-        if node is None:
-            text(t)
-            end = m.end()
-        elif node.kind != "none":
-            out.append(node)
-        at = end
+            if m.start() > at:
+                out.append(Node("text", s[at : m.start()]))
+            if node is None:
+                out.append(Node("text", t))
+                end = m.end()
+            elif node.kind != "none":
+                out.append(node)
+            at = end
+        if at < hi:
+            out.append(Node("text", s[at:hi]))
+        return tuple(out)
+
+
+def inline(s: str) -> tuple[Node, ...]:
+    """Inline nodes of a stretch of text."""
+    return _Stretch(s).inline(0, len(s))
 
 
 _HEADING = re.compile(r"^(={1,6})(.+?)\1\s*$")
@@ -444,33 +457,53 @@ def citation_parts(t: Node) -> list[str]:
 
 
 def _walk_all(nodes) -> Iterator[Node]:
-    for x in nodes:
+    """All nodes, each before those within it."""
+    stack = [iter(nodes)]
+    while stack:
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+            continue
         yield x
-        yield from _walk_all(x.kids)
-        if x.kind == "template":
-            for _, v in x.extra:
-                yield from _walk_all(v)
-        elif x.kind == "list":
-            for _, v in x.extra:
-                yield from _walk_all(v)
+        inner = [x.kids]
+        if x.kind in ("template", "list"):
+            inner += [v for _, v in x.extra]
         elif x.kind == "table":
-            for c in x.extra[0]:
-                yield from _walk_all(c)
-            for row in x.extra[1]:
-                for _, v in row:
-                    yield from _walk_all(v)
+            inner += x.extra[0] + [v for row in x.extra[1] for _, v in row]
+        stack.append(chain.from_iterable(inner))
+
+
+def _each(f, otherwise=None, null=None):
+    """Applied to every text; ``otherwise`` gives the value of a text that cannot be parsed, ``null`` that of a null."""
+
+    def one(x: str | None):
+        if x is None:
+            return null
+        try:
+            return f(x)
+        except Exception:
+            if otherwise is None:
+                raise
+            return otherwise(x)
+
+    return one
+
+
+def render_text(text: str) -> str:
+    """The HTML of a text; a text that cannot be parsed comes out as it is, escaped within <pre>."""
+    return _each(lambda x: Renderer().document(x), lambda x: f'<pre class="{CSS}-raw">{_esc(x)}</pre>')(text)
 
 
 @F.pandas_udf(T.StringType())
 def render(texts: pd.Series) -> pd.Series:
     """HTML; null stays null."""
-    return texts.map(lambda x: None if x is None else Renderer().document(x))
+    return texts.map(lambda x: None if x is None else render_text(x))
 
 
 @F.pandas_udf(T.StringType())
 def plain_text(texts: pd.Series) -> pd.Series:
     """paragraphs' and headings' text, one per line."""
-    return texts.map(lambda x: None if x is None else "\n".join(p for p in (plain(b.kids).strip() for b in blocks(x)) if p))
+    return texts.map(_each(lambda x: "\n".join(p for p in (plain(b.kids).strip() for b in blocks(x)) if p), lambda x: x))
 
 
 _ROWS = T.ArrayType(T.StructType().add("name", "string").add("key", "string").add("value", "string"))
@@ -481,16 +514,16 @@ def infoboxes(texts: pd.Series) -> pd.Series:
     """(template, key, value) of every infobox parameter with a value."""
 
     def one(x):
-        found = [] if x is None else [t for t in _walk_all(blocks(x)) if t.kind == "template" and t.text.lower().startswith("infobox")]
+        found = [t for t in _walk_all(blocks(x)) if t.kind == "template" and t.text.lower().startswith("infobox")]
         return [(t.text, k, v) for t in found for k, v in infobox_rows(t)]
 
-    return texts.map(one)
+    return texts.map(_each(one, lambda _: [], []))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def references(texts: pd.Series) -> pd.Series:
     """The plain text of each footnote, in order; its number is its place."""
-    return texts.map(lambda x: [] if x is None else [plain(r.kids).strip() for r in _walk_all(blocks(x)) if r.kind == "ref"])
+    return texts.map(_each(lambda x: [plain(r.kids).strip() for r in _walk_all(blocks(x)) if r.kind == "ref"], lambda _: [], []))
 
 
 def internal_links(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,30 +8,21 @@ from .. import curated as C
 from ..functions import scalars as S
 from ..functions import wikitext as W
 from ..functions.text import WHITE_SPACE
+from ..operators import ingest as I
 from ..sources import dumps as D
 from ..sources import files as X
 from ..streaming import governance as G
 from ..tables import table
+from . import dumpfiles as E
 from .curated_sql import sql
 
 
-def _index_lines(s, d):
-    a = C.articles(s, d).where("stream_offset is not null")
-    return a.select(F.concat_ws(":", "stream_offset", "page_id", "title").alias("value"))
-
-
 def _xml(s, d):
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     a = C.articles(s, d)
     return a.select(F.concat(F.lit("\n<page>\n<title>"), esc("title"), F.lit("</title><id>"), "page_id", F.lit("</id><revision><contributor><id>77</id></contributor><id>"), F.coalesce(F.col("revision_id").cast("string"), F.lit("")), F.lit("</id><text xml:space=\"preserve\">See ["), esc("title"), F.lit("]</text></revision>")).alias("value"))
 
 
-def _statements(s, d, name):
-    """Lines of the raw rows as statements, several tuples each."""
-    r = table(s, d, "raw_rows").where((F.col("dump_table") == name) & F.col("line").isNotNull())
-    return r.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), "line").alias("value"))
-
-
 def _responses(s, d):
     e = C.access_log(s, d)
     body = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.col("event_id").alias("revid"), F.col("page_id").alias("user"), F.col("at").alias("size"))).alias("revisions"))).alias("pages")).alias("query")))
@@ -44,13 +35,22 @@ def _log(s, d):
 
 
 QUERIES = {
-    "src2_index": lambda s, d: D.parse_index_lines(_index_lines(s, d)),
+    "src1_index_file": lambda s, d: D.read_index(s, E.index_file(s, d)),
+    "src2_index": lambda s, d: D.parse_index_lines(E.index_lines(s, d)),
+    "src3_streams": lambda s, d: D.read_streams(*E.multistream(s, d)),
+    "src5_table_file": lambda s, d: D.read_table_dump(s, E.table_file(s, E.geo_statements(s, d)), "geo_tags").select(F.size("fields").alias("n"), F.element_at("fields", 2).alias("second")).groupBy("n", "second").agg(F.count("*").alias("rows")),
+    "src6_tuples": lambda s, d: D.insert_tuples(E.link_statements(s, d), "categorylinks").select(F.array_join("fields", "|").alias("fields")),
     "src4_pages": lambda s, d: D.parse_page_xml(_xml(s, d)),
-    "src7_geotags": lambda s, d: D.geotags_from(D.insert_tuples(_statements(s, d, "geo_tags"), "geo_tags")),
-    "src8_links": lambda s, d: D.categorylinks_from(D.insert_tuples(_statements(s, d, "categorylinks"), "categorylinks")),
-    "src9_redirects": lambda s, d: D.redirects_from(D.insert_tuples(_statements(s, d, "redirect"), "redirect")),
+    "src7_geotags": lambda s, d: D.geotags_from(D.insert_tuples(E.geo_statements(s, d), "geo_tags")),
+    "src8_links": lambda s, d: D.categorylinks_from(D.insert_tuples(E.link_statements(s, d), "categorylinks")),
+    "src9_redirects": lambda s, d: D.redirects_from(D.insert_tuples(E.redirect_statements(s, d), "redirect")),
     "src12_revisions": lambda s, d: X.parse_revisions(_responses(s, d), "body", ["event_id"]),
     "src14_ranges": lambda s, d: C.access_log(s, d).select("event_id", F.concat(F.lit("bytes="), F.col("event_id") % 130, F.lit("-"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 210).cast("string")).otherwise("")).alias("h")).select("event_id", S.byte_range("h", F.lit(100)).alias("r")).select("event_id", "r.first", "r.last"),
+    "snk22_index": lambda s, d: I.ingest_index(C.articles(s, d).where("tier = 'hot'"), D.read_index(s, E.index_file(s, d)), 1_720_000_000).select("page_id", "title", "tier", "stream_offset", "access_count"),
+    "snk23_geotags": lambda s, d: I.ingest_table(s, E.table_file(s, E.geo_statements(s, d, F.lit("dump"))), "geo_tags", C.geotags(s, d).where("primary_"))[0],
+    "snk23_links": lambda s, d: I.ingest_table(s, E.table_file(s, E.link_statements(s, d, F.lit("file"))), "categorylinks", C.categorylinks(s, d).where("cl_type = 'page'"))[0],
+    "snk23_redirects": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d, F.concat("target_title", F.lit(" II")))), "redirect", C.redirects(s, d))[0],
+    "snk23_processed": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d)), "redirect", C.redirects(s, d))[1],
     "snk25_zstd": lambda s, d: C.hot_content(s, d).select("page_id", "wikitext", X.zstd_compress("wikitext").alias("z")).select("page_id", (X.zstd_decompress("z") == F.col("wikitext")).alias("same")),
     "w1_html": lambda s, d: C.hot_content(s, d).select("page_id", W.render("wikitext").alias("html")).select("page_id", F.length("html").alias("n")),
     "w3_plain": lambda s, d: C.hot_content(s, d).select("page_id", F.length(W.plain_text("wikitext")).alias("n")),
@@ -70,6 +70,18 @@ QUERIES = {
 _EVENTS = "ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t_at, event_id) AS n FROM (SELECT page_id % 20 AS client, floor(\"at\" / 40)::DOUBLE AS t_at, event_id, event_type = 'error' AS is_error FROM log))"
 
 ORACLES = {
+    "src1_index_file": sql("SELECT stream_offset, page_id, title FROM art WHERE stream_offset IS NOT NULL"),
+    "src3_streams": sql("SELECT page_id, title, revision_id, 'See [' || title || '] & <more>' AS wikitext FROM art"),
+    "src5_table_file": sql("SELECT n, second, count(*) AS rows FROM (SELECT 11 AS n, cast(page_id AS VARCHAR) AS second FROM geo UNION ALL SELECT 11, '2' FROM geo UNION ALL SELECT 3, '2' FROM geo) GROUP BY ALL"),
+    "src6_tuples": sql("SELECT cl_from || '|' || cl_to || '|KEY; (x)|2024-01-01 00:00:00||uca-default|' || cl_type AS fields FROM cl UNION ALL SELECT cl_from || '|Other|||||portal' FROM cl UNION ALL SELECT cl_from || '||||||page' FROM cl"),
+    "src7_geotags": sql("SELECT page_id, lat, lon, primary_, nullif(nullif(trim(kind), ''), 'NULL') AS kind FROM geo"),
+    "src8_links": sql("SELECT cl_from, cl_to, cl_type FROM cl"),
+    "src9_redirects": sql("SELECT from_page_id, target_title FROM red"),
+    "snk22_index": sql("SELECT page_id, title, CASE WHEN tier = 'hot' THEN 'hot' ELSE 'cold' END AS tier, stream_offset, CASE WHEN tier = 'hot' THEN access_count ELSE 0 END AS access_count FROM art WHERE tier = 'hot' OR stream_offset IS NOT NULL"),
+    "snk23_geotags": sql("SELECT page_id, lat, lon, primary_, 'dump' AS kind FROM geo"),
+    "snk23_links": sql("SELECT cl_from, cl_to, 'file' AS cl_type FROM cl"),
+    "snk23_redirects": sql("SELECT from_page_id, target_title || ' II' AS target_title FROM red"),
+    "snk23_processed": sql("SELECT count(*) AS processed FROM red"),
     "src2_index": sql("SELECT stream_offset, page_id, title FROM art WHERE stream_offset IS NOT NULL"),
     "src4_pages": sql("SELECT page_id, title, revision_id, 'See [' || title || ']' AS wikitext FROM art"),
     "src12_revisions": sql("SELECT event_id, event_id AS revid, 0::BIGINT AS parentid, false AS minor, cast(page_id AS VARCHAR) AS \"user\", '' AS timestamp, \"at\" AS size, '' AS comment FROM log"),

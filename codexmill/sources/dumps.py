@@ -1,7 +1,8 @@
-"""Dump files: offset index, page XML, table dumps (SRC1-SRC9, ST1).
+"""Dump files: offset index, page XML, table dumps (SRC1-SRC9, SRC16, ST1).
 
 Index and table dumps are read as delimited text, so Spark splits bz2 files by block and streams
-gz files; a gz file is one task, so its rows are spread again before they are parsed.
+gz files; a gz file is one task, so its statements are spread again before they are parsed.
+Multistream files are opened where the tasks run, in whatever file system their address names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
+from ..session import cut
 
 _INDEX = r"^([0-9]+):([0-9]+):(.*)$"
 
@@ -59,35 +61,81 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return parse_page_xml(spark.read.option("lineSep", "</page>").text(path))
 
 
+def _file_system(path: str):
+    """(file system, name in it) of a path or an address such as hdfs: or s3:."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
+def write_multistream(pages: DataFrame, folder: str, per_stream: int = 100) -> DataFrame:
+    """SRC16: pages (page_id, title, revision_id, wikitext) as files of bz2 streams, in order of page_id.
+
+    Every task writes one file of the folder. The result is the index: file, stream_offset,
+    stream_length, page_id, title.
+    """
+    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head = F.concat(F.lit("  <page>\n<title>"), esc("title"), F.lit("</title><id>"), "page_id", F.lit("</id><revision><id>"), F.coalesce(F.col("revision_id").cast("string"), F.lit("")), F.lit('</id><text xml:space="preserve">'))
+    rows = pages.select("page_id", "title", F.concat(head, esc("wikitext"), F.lit("</text></revision></page>\n")).alias("xml")).repartitionByRange("page_id").sortWithinPartitions("page_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        name, f, at = f"part-{TaskContext.get().partitionId():05}.xml.bz2", None, 0
+        where, base = _file_system(folder)
+        for x in frames:
+            for k in range(0, len(x), per_stream):
+                if f is None:
+                    where.create_dir(base, recursive=True)
+                    f = where.open_output_stream(f"{base}/{name}", compression=None)
+                part = x.iloc[k : k + per_stream]
+                data = bz2.compress("".join(part["xml"]).encode())
+                f.write(data)
+                yield pd.DataFrame({"file": name, "stream_offset": at, "stream_length": len(data), "page_id": part["page_id"], "title": part["title"]})
+                at += len(data)
+        if f is not None:
+            f.close()
+
+    return cut(rows.mapInPandas(run, "file string, stream_offset bigint, stream_length bigint, page_id bigint, title string"))
+
+
 def read_streams(index: DataFrame, path: str) -> DataFrame:
     """SRC3: the pages of the streams an index names, by seeking in the multistream file.
 
-    Offsets are spread over tasks; each stream is decoded once. ``path`` must be a file that all
-    executors can open. A stream_length column, where not null, bounds the read.
+    Offsets are spread over tasks; each stream is decoded once. ``path`` is an address in a file
+    system that all executors reach (a path, file:, hdfs:, s3: and others): of the file, or of the
+    folder of those that the index names in a column ``file``. A stream_length column, where not
+    null, bounds the read.
     """
     length = F.max("stream_length") if "stream_length" in index.columns else F.lit(None).cast("bigint")
-    offsets = index.groupBy("stream_offset").agg(length.alias("stream_length"))
+    file = F.col("file") if "file" in index.columns else F.lit(None).cast("string")
+    offsets = index.groupBy(file.alias("file"), "stream_offset").agg(length.alias("stream_length"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
-            for x in frames:
-                out = []
-                for at, n in zip(x["stream_offset"], x["stream_length"]):
-                    f.seek(int(at))
-                    left = None if pd.isna(n) else int(n)
-                    d, parts = bz2.BZ2Decompressor(), []
-                    while not d.eof:
-                        want = 1 << 18 if left is None else min(1 << 18, left)
-                        block = f.read(want)
-                        if not block:
-                            raise EOFError(f"stream at {at} is cut short")
-                        left = None if left is None else left - len(block)
-                        parts.append(d.decompress(block))
-                    text = b"".join(parts).decode("utf-8", "replace")
-                    out += [p for p in text.split("</page>") if "<page" in p]
-                yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
-
-    return parse_page_xml(offsets.mapInPandas(run, "value string"))
+        where, base = _file_system(path)
+        opened: dict = {}
+        for x in frames:
+            for name, at, n in zip(x["file"], x["stream_offset"], x["stream_length"]):
+                name = base if pd.isna(name) else f"{base}/{name}"
+                if name not in opened:
+                    for f in opened.values():  # one file at a time
+                        f.close()
+                    opened = {name: where.open_input_file(name)}
+                f = opened[name]
+                f.seek(int(at))
+                left = None if pd.isna(n) else int(n)
+                d, parts = bz2.BZ2Decompressor(), []
+                while not d.eof:
+                    want = 1 << 18 if left is None else min(1 << 18, left)
+                    block = f.read(want)
+                    if not block:
+                        raise EOFError(f"stream at {at} is cut short")
+                    left = None if left is None else left - len(block)
+                    parts.append(d.decompress(block))
+                text = b"".join(parts).decode("utf-8", "replace")
+                yield pd.DataFrame({"value": pd.Series([p for p in text.split("</page>") if "<page" in p], dtype=object)})
+
+    return parse_page_xml(offsets.sortWithinPartitions("file", "stream_offset").mapInPandas(run, "value string"))
 
 
 _TUPLE = re.compile(r"\(((?:[^'()]++|'(?:[^'\\]++|\\.)*+')*+)\)", re.S)
@@ -118,15 +166,21 @@ def insert_tuples(statements: DataFrame, table: str, column: str = "value") -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            for v in x["v"]:
-                yield pd.DataFrame({"fields": pd.Series(list(split_tuples(v[len(head) :])), dtype=object)})
+            found = [t for v in x["v"] for t in split_tuples(v[len(head) :])]
+            yield pd.DataFrame({"fields": pd.Series(found, dtype=object)})
 
     return mine.mapInPandas(run, "fields array<string>")
 
 
 def read_table_dump(spark: SparkSession, path: str, table: str, spread: int | None = None) -> DataFrame:
-    """SRC5: tuples of a dump, plain or gz; a ';' inside quotes ends no statement unless a line ends there."""
+    """SRC5: tuples of a dump, plain or gz; a ';' inside quotes ends no statement unless a line ends there.
+
+    A gz file cannot be split, so its statements are dealt out to ``spread`` tasks (as many as a
+    shuffle has, if none are given) before they are parsed.
+    """
     s = spark.read.option("lineSep", ";\n").text(path)
+    if spread is None and path.endswith(".gz"):
+        spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return insert_tuples(s.repartition(spread) if spread else s, table)
 
 

@@ -11,12 +11,17 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from ..functions.scalars import BACKOFF, RETRY_AFTER_MOST
+from ..store import _path
 
 Fold = Callable[[Any, float, bool], tuple[Any, Any]]
 # Errors that open the breaker, the seconds they must lie within, seconds it stays open.
 ERRORS, WITHIN, OPEN = 10, 60, 300
+ATTEMPTS = 7  # fixed value: one and six retries
 
 
 def bucket_fold(rate: float) -> Fold:
@@ -123,12 +128,12 @@ def first_responses(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def keep_latest(target: str, keep: int = 1000) -> Callable[[DataFrame, int], None]:
-    """ST5: a foreachBatch sink that keeps the latest requests in a table of two alternating folders."""
-    import os
+    """ST5: a foreachBatch sink that keeps the latest requests in a table of two alternating folders, in any file system."""
 
     def sink(batch: DataFrame, number: int) -> None:
         now, before = f"{target}/v{number % 2}", f"{target}/v{(number + 1) % 2}"
-        old = batch.sparkSession.read.schema(batch.schema).parquet(before) if os.path.isdir(before) else batch.limit(0)
+        p, fs = _path(batch.sparkSession, before)
+        old = batch.sparkSession.read.schema(batch.schema).parquet(before) if fs.exists(p) else batch.limit(0)
         old.unionByName(batch).orderBy(F.desc("at"), F.desc("event_id")).limit(keep).write.mode("overwrite").parquet(now)
 
     return sink
@@ -139,39 +144,108 @@ def stream_lines(spark: SparkSession, folder: str, delimiter: str = "\n") -> Dat
     return spark.readStream.option("lineSep", delimiter).text(folder)
 
 
-def request_outcomes(log: DataFrame, rate: float = 10.0, killed: bool = False) -> DataFrame:
-    """ST8: event_id, outcome of each request (client, url, at, event_id, is_error) in the order
-    kill switch, breaker, cache, rate, send.
+def _retryable(status: int) -> bool:
+    return status in (0, 408, 425, 429) or status >= 500  # 0: no response at all
+
+
+class RequestMachine:
+    """ST8: one client's requests, in the order kill switch, breaker, cache, then per attempt rate and send.
+
+    A success ends a request and goes into the cache. A status that no retry mends fails it at once
+    and says nothing of the endpoint's health. Any other failure counts for the breaker, which is
+    asked after it and again after the pause before the next attempt.
+    """
 
-    ``killed`` and ``broken`` requests end there; ``cached`` ones had an earlier successful response
-    for the URL; others are sent, with their wait. Cached requests neither take a token nor can fail.
+    def __init__(self, rate: float, attempts: int):
+        self.take, self.judge, self.attempts = bucket_fold(rate), breaker_fold(), attempts
+        self.bucket = self.breaker = None
+        self.cache: set[str] = set()
+
+    def _open(self, at: float, failed: bool = False) -> bool:
+        self.breaker, is_open = self.judge(self.breaker, at, failed)
+        return is_open
+
+    def request(self, url: str, at: float, statuses: list[int], retry_after: list | None = None) -> tuple[str, int, float]:
+        """(outcome, attempts made, seconds from the request to its end); the last status also stands for later attempts."""
+        if self._open(at):
+            return "broken", 0, 0.0
+        if url in self.cache:
+            return "cached", 0, 0.0
+        now = at
+        for k in range(1, self.attempts + 1):
+            self.bucket, wait = self.take(self.bucket, now, False)
+            now += wait
+            status = statuses[min(k, len(statuses)) - 1]
+            if 200 <= status < 300:
+                self.cache.add(url)
+                return "sent", k, now - at
+            if not _retryable(status):
+                return "failed", k, now - at
+            if self._open(now, True):
+                return "broken", k, now - at
+            if k == self.attempts:
+                return "exhausted", k, now - at
+            asked = retry_after[min(k, len(retry_after)) - 1] if retry_after else None
+            now += BACKOFF[min(k, len(BACKOFF) - 1)] if asked is None else min(asked, RETRY_AFTER_MOST)
+            if self._open(now):
+                return "broken", k, now - at
+        raise ValueError("a request has at least one attempt")
+
+
+def request_outcomes(log: DataFrame, rate: float = 10.0, killed: bool = False, attempts: int = ATTEMPTS) -> DataFrame:
+    """ST8: event_id, outcome, attempts, wait of each request (client, url, at, event_id, statuses, retry_after).
+
+    ``statuses`` are those that its attempts would get, 0 for no response; ``retry_after``, which may
+    be missing, the seconds a response asks to wait. Outcomes are killed, broken, cached, sent,
+    failed and exhausted; ``wait`` is the time from the request to its end.
     """
     if killed:
-        return log.select("event_id", F.lit("killed").alias("outcome"), F.lit(0.0).alias("wait"))
-    x = log.select("client", "url", F.col("at").cast("double").alias("at"), "event_id", "is_error").repartition("client").sortWithinPartitions("client", "at", "event_id")
-    bucket, breaker = bucket_fold(rate), breaker_fold()
+        return log.select("event_id", F.lit("killed").alias("outcome"), F.lit(0).alias("attempts"), F.lit(0.0).alias("wait"))
+    after = F.col("retry_after") if "retry_after" in log.columns else F.lit(None)
+    x = log.select("client", "url", F.col("at").cast("double").alias("at"), "event_id", F.col("statuses").cast("array<int>").alias("statuses"), after.cast("array<bigint>").alias("retry_after"))
+    x = x.where("client is not null and at is not null and size(statuses) > 0").repartition("client").sortWithinPartitions("client", "at", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, cache, b, r = None, set(), None, None
+        client, machine = None, None
         for f in frames:
             out = []
-            for c, url, at, e, bad in zip(f["client"], f["url"], f["at"], f["event_id"], f["is_error"]):
-                if c != client:
-                    client, cache, b, r = c, set(), None, None
-                r, open_ = breaker(r, at, False)
-                if open_:
-                    out.append((e, "broken", 0.0))
-                elif url in cache:
-                    out.append((e, "cached", 0.0))
-                else:
-                    b, wait = bucket(b, at, False)
-                    r, _ = breaker(r, at + wait, bool(bad))
-                    if not bad:
-                        cache.add(url)
-                    out.append((e, "failed" if bad else "sent", wait))
-            yield pd.DataFrame(out, columns=["event_id", "outcome", "wait"])
-
-    return x.mapInPandas(run, "event_id bigint, outcome string, wait double")
+            for c, url, at, e, statuses, after in zip(f["client"], f["url"], f["at"], f["event_id"], f["statuses"], f["retry_after"]):
+                if machine is None or c != client:
+                    client, machine = c, RequestMachine(rate, attempts)
+                out.append((e, *machine.request(url, at, [int(v) for v in statuses], None if after is None else list(after))))
+            yield pd.DataFrame(out, columns=["event_id", "outcome", "attempts", "wait"])
+
+    return x.mapInPandas(run, "event_id bigint, outcome string, attempts int, wait double")
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """ST7: the rows unchanged, and how many have passed once an action on them has ended (``.get['rows']``)."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+class ProgressLog(StreamingQueryListener):
+    """ST7: rows read so far by each streaming ingest, told after every batch that passes a multiple of ``every``."""
+
+    def __init__(self, tell: Callable[[str, int], None], every: int = 10_000):
+        self.tell, self.every, self.rows = tell, every, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        before = self.rows.get(run, 0)
+        self.rows[run] = before + event.progress.numInputRows
+        if self.rows[run] // self.every > before // self.every:
+            self.tell(run, self.rows[run])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        run = str(event.runId)
+        self.tell(run, self.rows.get(run, 0))
 
 
 def cancel_jobs(spark: SparkSession, tag: str) -> None:

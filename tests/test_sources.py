@@ -4,6 +4,7 @@ import bz2
 import gzip
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -43,6 +44,10 @@ def test_dump(spark, dump):
     assert sorted((r.page_id, r.title) for r in index.collect()) == sorted((p[0], p[1]) for p in PAGES)
     for got in (D.read_pages(spark, str(dump / "d.xml.bz2")), D.read_streams(index, str(dump / "d.xml.bz2"))):
         assert sorted(map(tuple, got.collect())) == sorted(PAGES)
+    for where in (str(dump / "made"), f"file://{dump}/addressed"):
+        made = D.write_multistream(spark.createDataFrame(PAGES, "page_id bigint, title string, revision_id bigint, wikitext string"), where, 2)
+        assert sorted(map(tuple, D.read_streams(made, where).collect())) == sorted(PAGES) and made.select("file", "stream_offset").distinct().count() >= 2
+    assert sorted(map(tuple, D.read_streams(index, f"file://{dump}/d.xml.bz2").collect())) == sorted(PAGES)
     sha = X.sha1_of(spark, str(dump / "d.xml.bz2"))
     assert sha.first().sha1 == digest and X.verify_sha1(sha, digest.upper()).first().ok
     for bad in ("x:1:T", "12"):
@@ -160,6 +165,7 @@ def test_streams(spark, tmp_path):
     for n in range(2):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip("ktie", x))) for x in events[n * 100 : n * 100 + 100]))
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))  # files are taken in order of their times
     stream = spark.readStream.schema("k string, t bigint, i bigint, e boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = G.fold_stream(stream, "k", "t", "i", "e", G.breaker_fold(3, 60, 100), "is_open", "boolean").writeStream.format("memory").queryName("open_now").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -175,8 +181,55 @@ def test_streams(spark, tmp_path):
 
 
 def test_outcomes(spark):
-    log = [("c", "u1", 0, 0, False), ("c", "u1", 1, 1, False), ("c", "u2", 2, 2, True), *[("c", f"e{i}", 3, 3 + i, True) for i in range(9)], ("c", "u3", 4, 50, False), ("c", "u1", 5, 51, False), ("c", "u4", 400, 60, False)]
-    df = spark.createDataFrame(log, "client string, url string, at bigint, event_id bigint, is_error boolean")
-    got = {r.event_id: r.outcome for r in G.request_outcomes(df, 100.0).collect()}
-    assert (got[0], got[1], got[2], got[11], got[50], got[51], got[60]) == ("sent", "cached", "failed", "failed", "broken", "broken", "sent")
+    ok, down, gone = [200], [503], [404]
+    log = [("c", "u1", 0, 0, ok), ("c", "u1", 1, 1, ok), ("c", "u2", 2, 2, down), *[("c", f"e{i}", 3, 3 + i, down) for i in range(9)], ("c", "u3", 4, 50, ok), ("c", "u1", 5, 51, ok), ("c", "u4", 400, 60, ok), ("d", "u1", 0, 70, gone), ("d", "u1", 1, 71, ok)]
+    schema = "client string, url string, at bigint, event_id bigint, statuses array<int>"
+    df = spark.createDataFrame(log, schema)
+    got = {r.event_id: r.outcome for r in G.request_outcomes(df, 100.0, attempts=1).collect()}
+    assert (got[0], got[1], got[2], got[11], got[50], got[51], got[60]) == ("sent", "cached", "exhausted", "broken", "broken", "broken", "sent")
+    assert got[70] == "failed" and got[71] == "sent"
     assert {r.outcome for r in G.request_outcomes(df, killed=True).collect()} == {"killed"}
+    # Attempts: pauses of 1, 2, 4 ... seconds, the server's wish up to 300, and no more once the breaker opens.
+    log = [("a", "x", 0, 0, [503, 0, 200], None), ("b", "x", 0, 1, [500], None), ("e", "x", 0, 2, [429, 200], [1000]), ("f", "x", 0, 3, [500, 404], None)]
+    log += [("g", f"x{i}", 0, 10 + i, [503], None) for i in range(2)]
+    rows = {r.event_id: (r.outcome, r.attempts, r.wait) for r in G.request_outcomes(spark.createDataFrame(log, schema + ", retry_after array<bigint>"), 100.0).collect()}
+    assert rows[0] == ("sent", 3, 3.0) and rows[1] == ("exhausted", 7, 63.0) and rows[2] == ("sent", 2, 300.0) and rows[3] == ("failed", 2, 1.0)
+    assert rows[10] == ("exhausted", 7, 63.0) and rows[11][:2] == ("broken", 0)  # the breaker was opened by then, if the requests follow one another
+
+
+def test_progress(spark, tmp_path):
+    df, seen = G.observed(spark.range(25), "ingest")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 25
+    told = []
+    log = G.ProgressLog(lambda run, rows: told.append(rows), every=10)
+    spark.streams.addListener(log)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x\n" * 25)
+    q = G.stream_lines(spark, str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.streams.removeListener(log)
+    assert 25 in told
+
+
+def test_ring_in_any_file_system(spark, tmp_path):
+    target = f"file://{tmp_path}/ring"
+    sink = G.keep_latest(target, 5)
+    for n in range(3):
+        sink(spark.createDataFrame([(n * 10 + i, n * 10 + i) for i in range(4)], "event_id int, at int"), n)
+    assert sorted(x.event_id for x in spark.read.parquet(f"{target}/v0").collect()) == [13, 20, 21, 22, 23]
+
+
+@pytest.mark.parametrize("text", ["{{ " * 40_000, "[[" * 40_000, "{{a|" * 20_000 + "}}" * 20_000, "[[a|" * 15_000 + "]]" * 15_000, "<ref>" * 20_000, "<nowiki>" * 20_000, "[http://a " * 20_000, "{{infobox|a=" * 9_000 + "}}" * 9_000])
+def test_time_is_linear(text):
+    import time
+
+    began = time.process_time()
+    assert W.render_text(text)
+    assert time.process_time() - began < 5
+
+
+def test_a_text_that_cannot_be_parsed(monkeypatch):
+    monkeypatch.setattr(W.Renderer, "document", lambda *_: 1 / 0)
+    assert W.render_text("a <b> & c") == '<pre class="wk-raw">a &lt;b&gt; &amp; c</pre>'

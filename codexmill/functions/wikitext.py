@@ -319,7 +319,7 @@ class Renderer:
         if self.refs:
             anchor = self.heading_id("References")
             items = "".join(f'<li id="ref-{i}">{r}</li>' for i, r in enumerate(self.refs, 1))
-            self.out.append(f'<section class="{self.css}-references"><h2 id="{anchor}">References</h2><ol>{items}</ol></section>')
+            self.out.append(f'<section class="{self.css}-notes"><h2 id="{anchor}">References</h2><ol>{items}</ol></section>')
         return "".join(self.out)
 
     def block(self, b: Node) -> None:
@@ -333,7 +333,7 @@ class Renderer:
         elif b.kind == "rule":
             self.out.append("<hr/>")
         elif b.kind == "pre":
-            self.out.append(f'<pre class="{self.css}-preformatted">{_esc(plain(b.kids))}</pre>')
+            self.out.append(f'<pre class="{self.css}-typed">{_esc(plain(b.kids))}</pre>')
         elif b.kind == "list":
             tag = {"*": "ul", "#": "ol"}.get(b.text, "dl")
             self.out.append(f"<{tag}>")
@@ -342,7 +342,7 @@ class Renderer:
             self.out.append(f"</{tag}>")
         elif b.kind == "table":
             captions, rows = b.extra
-            self.out.append(f'<table class="{self.css}-table">')
+            self.out.append(f'<table class="{self.css}-grid">')
             for c in captions:
                 self.inside("caption", c)
             for row in rows:
@@ -366,8 +366,8 @@ class Renderer:
                 self.out.append(off if self.on.get(k) else on)
                 self.on[k] = not self.on.get(k)
             elif k == "link":
-                missing = "" if self.there is None or x.text in self.there else f" {self.css}-missing"
-                self.out.append(f'<a href="#/article/{_esc(url_title(x.text))}" class="{self.css}-wikilink{missing}">')
+                missing = "" if self.there is None or x.text in self.there else f" {self.css}-absent"
+                self.out.append(f'<a href="#/article/{_esc(url_title(x.text))}" class="{self.css}-link{missing}">')
                 if x.kids:
                     self.walk(x.kids)
                 else:
@@ -377,9 +377,9 @@ class Renderer:
             elif k == "extlink":
                 url, _, label = x.text.strip().partition(" ")
                 shown = plain(inline(label)).strip() or url
-                self.out.append(f'<a href="{_esc(url)}" class="{self.css}-extlink" target="_blank" rel="noopener noreferrer">{_esc(shown)}</a>')
+                self.out.append(f'<a href="{_esc(url)}" class="{self.css}-web" target="_blank" rel="noopener noreferrer">{_esc(shown)}</a>')
             elif k == "image":
-                self.out.append(f'<span class="{self.css}-image-placeholder" title="images not fetched">[Image: {_esc(x.text)}]</span>')
+                self.out.append(f'<span class="{self.css}-picture">{_esc(x.text)}</span>')
             elif k == "ref":
                 saved = self.out, self.on
                 self.out, self.on = [], {}
@@ -389,7 +389,7 @@ class Renderer:
                 self.out, self.on = saved
                 self.refs.append(body)
                 n = len(self.refs)
-                self.out.append(f'<sup class="{self.css}-ref"><a href="#ref-{n}">[{n}]</a></sup>')
+                self.out.append(f'<sup class="{self.css}-note"><a href="#ref-{n}">[{n}]</a></sup>')
 
     def template(self, t: Node) -> None:
         """Known families readably, others as a placeholder."""
@@ -401,17 +401,17 @@ class Renderer:
                 self.end_block()
                 body = "".join(f"<tr><th>{_esc(k)}</th><td>{_esc(v)}</td></tr>" for k, v in rows)
                 title = t.text.replace("_", " ")
-                self.out.append(f'<div class="{self.css}-infobox"><div class="{self.css}-infobox-title">{_esc(title[:1].upper() + title[1:])}</div><table class="{self.css}-infobox-params">{body}</table></div>')
+                self.out.append(f'<div class="{self.css}-facts"><div class="{self.css}-facts-name">{_esc(title[:1].upper() + title[1:])}</div><table>{body}</table></div>')
                 return
         elif name == "citation" or name.startswith("cite"):
             parts = citation_parts(t)
             if parts:
                 self.open_p()
-                self.out.append(f'<span class="{self.css}-citation">{". ".join(parts)}</span>')
+                self.out.append(f'<span class="{self.css}-source">{". ".join(parts)}</span>')
                 return
         elif name == "convert" and len(places) >= 2:
             self.open_p()
-            self.out.append(f'<span class="{self.css}-convert">{_esc(places[0])} {_esc(places[1])}</span>')
+            self.out.append(f'<span class="{self.css}-measure">{_esc(places[0])} {_esc(places[1])}</span>')
             return
         elif name == "lang" or name.startswith("ipa"):
             shown = (places[-1] if name == "lang" else places[0]) if places else ""
@@ -420,7 +420,7 @@ class Renderer:
                 self.out.append(_esc(shown))
                 return
         self.open_p()
-        self.out.append(f'<span class="{self.css}-template-placeholder" title="template not rendered locally">[Template: {_esc(t.text)}]</span>')
+        self.out.append(f'<span class="{self.css}-template">{{{_esc(t.text)}}}</span>')
 
 
 def infobox_rows(t: Node) -> list[tuple[str, str]]:
@@ -491,7 +491,7 @@ def _each(f, otherwise=None, null=None):
 
 def render_text(text: str) -> str:
     """The HTML of a text; a text that cannot be parsed comes out as it is, escaped within <pre>."""
-    return _each(lambda x: Renderer().document(x), lambda x: f'<pre class="{CSS}-raw">{_esc(x)}</pre>')(text)
+    return _each(lambda x: Renderer().document(x), lambda x: f'<pre class="{CSS}-unread">{_esc(x)}</pre>')(text)
 
 
 @F.pandas_udf(T.StringType())

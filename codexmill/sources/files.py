@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import _path
+
 MOST_DEPTH, WINDOW_MOST = 10, 32 * 1024 * 1024
 
 
@@ -22,6 +24,17 @@ def read_module(path: str) -> dict:
         return check_module(tomllib.load(f))
 
 
+def read_modules(spark: SparkSession, path: str) -> DataFrame:
+    """SRC10: id, name, default_tier, titles of all specifications at a path, parsed where they are read."""
+
+    @F.pandas_udf("id string, name string, default_tier string, titles array<string>")
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        specs = [check_module(tomllib.loads(t)) for t in texts]
+        return pd.DataFrame({"id": [x["id"] for x in specs], "name": [x["name"] for x in specs], "default_tier": [x.get("default_tier", "cold") for x in specs], "titles": [x.get("explicit_titles", []) for x in specs]})
+
+    return spark.read.option("wholetext", True).text(path).select(parse("value").alias("m")).select("m.*")
+
+
 def check_module(spec: dict) -> dict:
     """id in lower-case letters, digits and '-'; a name; depths up to 10; some content."""
     if not re.fullmatch(r"[a-z0-9-]+", spec.get("id", "")):
@@ -55,18 +68,32 @@ def write_backup(rows: DataFrame, expected: int, path: str, app: str, kind: str,
 
     Refuses a partial export. A folder gets a default file name. A user's bookmarks fit a file.
     """
-    if os.path.isdir(path):
+    if "://" not in path and not path.startswith("file:") and os.path.isdir(path):
         path = os.path.join(path, f"{kind}-{now}.json")
     got = rows.orderBy("kind", "json").collect()
     marks = [json.loads(r["json"]) for r in got if r["kind"] == "bookmark"]
     if len(marks) < expected:
         raise ValueError(f"{len(marks)} of {expected} bookmarks read; nothing written")
     out = {"app": app, "kind": kind, "format_version": version, "exported_at": now, "folders": [json.loads(r["json"]) for r in got if r["kind"] == "folder"], "bookmarks": marks}
-    _replace(path, json.dumps(out, ensure_ascii=False, indent=2))
+    _replace(path, json.dumps(out, ensure_ascii=False, indent=2), rows.sparkSession)
     return path
 
 
-def _replace(path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file in any file system, written beside its place first."""
+    p, fs = _path(spark, path)
+    tmp, _ = _path(spark, f"{path}._next")
+    f = fs.create(tmp, True)
+    f.write(bytearray(text.encode()))
+    f.close()
+    fs.delete(p, False)
+    if not fs.rename(tmp, p):
+        raise OSError(f"{path} could not be written")
+
+
+def _replace(path: str, text: str, spark: SparkSession | None = None) -> None:
+    if spark is not None and re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return write_text(spark, path, text)
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w", encoding="utf-8") as f:
         f.write(text)

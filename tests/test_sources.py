@@ -113,21 +113,21 @@ def test_revisions(spark):
 HTML = [
     ("plain & <x", "<p>plain &amp; &lt;x</p>"), ("'''b''' ''i''", "<p><strong>b</strong> <em>i</em></p>"), ("'''open", "<p><strong>open</strong></p>"), ("a\n\nb", "<p>a</p><p>b</p>"),
     ("== A b ==\n== A b ==", '<h2 id="s-a-b">A b</h2><h2 id="s-a-b-2">A b</h2>'), ("= T =", '<h2 id="s-t">T</h2>'), ("----", "<hr/>"), ("* a\n* b", "<ul><li>a</li><li>b</li></ul>"), ("# a", "<ol><li>a</li></ol>"), ("; t\n: d", "<dl><dt>t</dt><dd>d</dd></dl>"),
-    ("[[A b|c]]", '<p><a href="#/article/A_b" class="wk-wikilink">c</a></p>'), ("[http://x.org lab el]", '<p><a href="http://x.org" class="wk-extlink" target="_blank" rel="noopener noreferrer">lab el</a></p>'),
-    ("<nowiki>'''x'''</nowiki>", "<p>&#39;&#39;&#39;x&#39;&#39;&#39;</p>"), ("a<!-- c -->b", "<p>ab</p>"), ("[[Category:X]]", ""), (" pre <b>", '<pre class="wk-preformatted">pre </pre>'),
-    ("{{convert|5|km|mi}}", '<p><span class="wk-convert">5 km</span></p>'), ("{{lang|fr|Élysée}}", "<p>Élysée</p>"), ("{{IPA|/x/}}", "<p>/x/</p>"), ("{{Foo|1}}", '<p><span class="wk-template-placeholder" title="template not rendered locally">[Template: Foo]</span></p>'),
-    ("{{cite web|title=T|last=L|first=F|date=1999|url=ftp://x}}", '<p><span class="wk-citation">“T”. L, F. (1999). ftp://x</span></p>'),
-    ("{{Infobox_x\n| a_b = [[L|l]]\n| c =\n}}", '<div class="wk-infobox"><div class="wk-infobox-title">Infobox x</div><table class="wk-infobox-params"><tr><th>a b</th><td>l</td></tr></table></div>'),
-    ("{|\n|+ cap\n! h\n|-\n| a || b\n|}", '<table class="wk-table"><caption>cap</caption><tr><th>h</th></tr><tr><td>a</td><td>b</td></tr></table>'),
-    ("x<ref>''n'' {{cite|title=T}}</ref>", '<p>x<sup class="wk-ref"><a href="#ref-1">[1]</a></sup></p><section class="wk-references"><h2 id="s-references">References</h2><ol><li id="ref-1"><em>n</em> <span class="wk-citation">“T”</span></li></ol></section>'),
-    ("[[File:a.jpg|thumb|x]]", '<p><span class="wk-image-placeholder" title="images not fetched">[Image: File:a.jpg]</span></p>'), ("&eacute; {{open", "<p>é {{open</p>"), ("", ""),
+    ("[[A b|c]]", '<p><a href="#/article/A_b" class="wk-link">c</a></p>'), ("[http://x.org lab el]", '<p><a href="http://x.org" class="wk-web" target="_blank" rel="noopener noreferrer">lab el</a></p>'),
+    ("<nowiki>'''x'''</nowiki>", "<p>&#39;&#39;&#39;x&#39;&#39;&#39;</p>"), ("a<!-- c -->b", "<p>ab</p>"), ("[[Category:X]]", ""), (" pre <b>", '<pre class="wk-typed">pre </pre>'),
+    ("{{convert|5|km|mi}}", '<p><span class="wk-measure">5 km</span></p>'), ("{{lang|fr|Élysée}}", "<p>Élysée</p>"), ("{{IPA|/x/}}", "<p>/x/</p>"), ("{{Foo|1}}", '<p><span class="wk-template">{Foo}</span></p>'),
+    ("{{cite web|title=T|last=L|first=F|date=1999|url=ftp://x}}", '<p><span class="wk-source">“T”. L, F. (1999). ftp://x</span></p>'),
+    ("{{Infobox_x\n| a_b = [[L|l]]\n| c =\n}}", '<div class="wk-facts"><div class="wk-facts-name">Infobox x</div><table><tr><th>a b</th><td>l</td></tr></table></div>'),
+    ("{|\n|+ cap\n! h\n|-\n| a || b\n|}", '<table class="wk-grid"><caption>cap</caption><tr><th>h</th></tr><tr><td>a</td><td>b</td></tr></table>'),
+    ("x<ref>''n'' {{cite|title=T}}</ref>", '<p>x<sup class="wk-note"><a href="#ref-1">[1]</a></sup></p><section class="wk-notes"><h2 id="s-references">References</h2><ol><li id="ref-1"><em>n</em> <span class="wk-source">“T”</span></li></ol></section>'),
+    ("[[File:a.jpg|thumb|x]]", '<p><span class="wk-picture">File:a.jpg</span></p>'), ("&eacute; {{open", "<p>é {{open</p>"), ("", ""),
 ]
 
 
 def test_html(spark):
     for text, want in HTML:
         assert W.Renderer().document(text) == want, text
-    assert 'class="wk-wikilink wk-missing"' in W.Renderer({"B"}).document("[[A]]")
+    assert 'class="wk-link wk-absent"' in W.Renderer({"B"}).document("[[A]]")
     for odd in ("{{" * 3000, "[[" * 3000, "'" * 5000, "<ref>" * 2000, "{{a|" * 500 + "}}" * 500, "[[a|" * 300 + "]]" * 300, "=" * 3000):
         W.Renderer().document(odd)
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HTML)] + [(99, None)], "k bigint, t string")
@@ -233,4 +233,4 @@ def test_time_is_linear(text):
 
 def test_a_text_that_cannot_be_parsed(monkeypatch):
     monkeypatch.setattr(W.Renderer, "document", lambda *_: 1 / 0)
-    assert W.render_text("a <b> & c") == '<pre class="wk-raw">a &lt;b&gt; &amp; c</pre>'
+    assert W.render_text("a <b> & c") == '<pre class="wk-unread">a &lt;b&gt; &amp; c</pre>'

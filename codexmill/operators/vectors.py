@@ -75,6 +75,15 @@ def hashing_embedder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def letter_embedder(texts: list[str]) -> np.ndarray:
+    """The simplest stand-in: how often each of the letters a to z occurs, whatever its case."""
+    out = np.zeros((len(texts), 26), np.float32)
+    for i, t in enumerate(texts):
+        b = np.frombuffer(t.encode("ascii", "ignore"), np.uint8) | 0x20
+        out[i] = np.bincount(b[(b >= 97) & (b <= 122)] - 97, minlength=26)
+    return out
+
+
 def embed_titles(pending: DataFrame, model: str, embedder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
     """SNK24: (page_id, embedding, model) of pending articles, in batches of titles; the model loads once a task."""
 

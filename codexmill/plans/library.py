@@ -101,11 +101,8 @@ def _moved(s, d):
     return a.where("tier = 'warm'").select("page_id", "tier").join(warm, "page_id", "left").join(hot.select("page_id", F.length("wikitext").alias("hot_chars")), "page_id", "left")
 
 
-def _semantic(s, d):
-    a = C.articles(s, d)
-    embed = V.hashing_embedder(32)
-    e = V.embed_titles(a, "hash", embed)
-    return V.top_k(e, a, "hash", embed(["Treaty of the river"])[0].tolist(), 30).select("page_id", "title", F.round("score", 6).alias("score"))
+def _total(c):
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
 QUERIES = {
@@ -114,7 +111,7 @@ QUERIES = {
     "snk3_upsert_geotags": lambda s, d: _replayed(C.geotag_rows(s, d), ["page_id", "lat", "lon"], ["primary_", "kind"], ["loaded_at", "primary_", "kind"], M.upsert_geotags),
     "snk4_upsert_links": lambda s, d: _replayed(C.categorylink_rows(s, d), ["cl_from", "cl_to"], ["cl_type"], ["loaded_at", "cl_timestamp", "cl_type"], M.upsert_categorylinks),
     "snk5_upsert_redirects": lambda s, d: _replayed(C.redirect_rows(s, d), ["from_page_id"], ["target_title"], ["loaded_at"], M.upsert_redirects),
-    "snk6_upsert_embeddings": lambda s, d: M.upsert_embeddings(C.embeddings(s, d), C.embeddings(s, d).where("model = 'm1'").withColumn("model", F.lit("new"))).select("page_id", "model", F.size("embedding").alias("dims")),
+    "snk6_upsert_embeddings": lambda s, d: M.upsert_embeddings(C.embeddings(s, d), C.embeddings(s, d).where("model = 'm1'").withColumn("model", F.lit("new")).withColumn("embedding", F.reverse(F.slice("embedding", 1, 40)))).select("page_id", "model", F.size("embedding").alias("dims"), F.round(_total("embedding"), 4).alias("total"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first")),
     "snk9_touch": lambda s, d: M.touch_all(C.articles(s, d), C.access_log(s, d)).select("page_id", "last_accessed", "access_count"),
     "snk10_clear": lambda s, d: M.clear_history(C.articles(s, d))[1],
     "snk11_add_bookmarks": lambda s, d: B.add_bookmarks(C.bookmarks(s, d).where("folder_id is not null"), C.bookmarks(s, d)).select("article_title", "folder_id").distinct(),
@@ -132,8 +129,7 @@ QUERIES = {
     "snk18_delete_revision": lambda s, d: M.delete_rows(C.saved_revisions(s, d), "id", C.saved_revisions(s, d).agg(F.min("id")).first()[0]).select("id", "title", "revision_id"),
     "snk19_install_module": lambda s, d: B.list_modules(*M.install_module(C.modules(s, d), C.module_members(s, d), {"id": "asia", "name": "Asia again", "explicit_titles": ["X", "Y", "X"]}, 9)),
     "snk20_uninstall_module": lambda s, d: B.list_modules(*M.uninstall_module(C.modules(s, d), C.module_members(s, d), "europe")),
-    "snk24_embed": lambda s, d: backfill_embeddings(C.articles(s, d), C.embeddings(s, d), "hash", V.hashing_embedder(16)).select("page_id", "model", F.size("embedding").alias("dims")),
-    "r8_semantic": lambda s, d: _semantic(s, d),
+    "snk24_embed": lambda s, d: backfill_embeddings(C.articles(s, d), C.embeddings(s, d), "letters", V.letter_embedder).select("page_id", "model", F.size("embedding").alias("dims"), F.round(_total("embedding"), 4).alias("total")),
     "q14_revisions_of_title": lambda s, d: B.revisions_of(C.saved_revisions(s, d), C.saved_revisions(s, d).agg(F.max("title")).first()[0]),
     "q9_is_bookmarked": lambda s, d: B.is_bookmarked(C.bookmarks(s, d), C.bookmarks(s, d).select((F.concat(F.lit("Article "), F.col("id") % 9000)).alias("title")).distinct()),
     "q10_unfiled": lambda s, d: B.in_folder(C.bookmarks(s, d), None, 100),
@@ -156,7 +152,7 @@ QUERIES = {
     "j12_merged_lists": lambda s, d: X.merge_lists(
         _titled(s, d).where("tier = 'hot'").select("page_id", "title"), _titled(s, d).where("tier = 'warm'").select("page_id", F.upper("title").alias("title")), C.articles(s, d).select("page_id", "title")
     ),
-    "r10_contexts": lambda s, d: R.contexts(table(s, d, "chat_context").where("page_id is not null").groupBy("question_id", "page_id").agg(F.min("id").alias("rank")), C.articles(s, d), C.hot_content(s, d)).select("question_id", "id", "page_id", "title", F.octet_length("snippet").alias("n_bytes")),
+    "r10_contexts": lambda s, d: R.contexts(table(s, d, "chat_context").where("page_id is not null").groupBy("question_id", "page_id").agg(F.min("id").alias("rank")), C.articles(s, d), C.hot_content(s, d)).select("question_id", "id", "page_id", "title", F.md5("snippet").alias("snippet_md5")),
     "r11_sources": lambda s, d: R.sources_block(table(s, d, "chat_context").groupBy("question_id", "id").agg(F.min("title").alias("title"), F.min("snippet").alias("snippet"))),
     "r12_citations": lambda s, d: C.access_log(s, d).select("event_id", F.concat(F.lit("See [A"), F.col("page_id") % 7, F.lit("][A2][A2] and [A99] or [A"), F.col("event_id") % 5, F.lit("].")).alias("answer")).select("event_id", F.array_join(R.citations("answer", F.array(*map(F.lit, range(1, 6)))), ",").alias("cited")),
 }
@@ -182,7 +178,7 @@ ORACLES = {
     "snk3_upsert_geotags": sql("SELECT page_id, lat, lon, primary_, kind FROM geo"),
     "snk4_upsert_links": sql("SELECT cl_from, cl_to, cl_type FROM cl"),
     "snk5_upsert_redirects": sql("SELECT from_page_id, target_title FROM red"),
-    "snk6_upsert_embeddings": sql("SELECT page_id, CASE WHEN model = 'm1' THEN 'new' ELSE model END AS model, cast(len(embedding) AS INTEGER) AS dims FROM emb"),
+    "snk6_upsert_embeddings": sql("SELECT page_id, model, cast(len(e) AS INTEGER) AS dims, round(list_sum(cast(e AS DOUBLE[])), 4) AS total, round(cast(e[1] AS DOUBLE), 6) AS first FROM (SELECT page_id, CASE WHEN model = 'm1' THEN 'new' ELSE model END AS model, CASE WHEN model = 'm1' THEN list_reverse(embedding[1:40]) ELSE embedding END AS e FROM emb)"),
     "snk9_touch": sql("SELECT a.page_id, greatest(last_accessed, t) AS last_accessed, coalesce(access_count, 0) + coalesce(n, 0) AS access_count FROM art a LEFT JOIN (SELECT page_id, max(\"at\") AS t, count(*) AS n FROM log GROUP BY 1) l ON l.page_id = a.page_id"),
     "snk10_clear": sql("SELECT count(*) FILTER (last_accessed > 0 OR access_count > 0) AS n FROM art"),
     "snk11_add_bookmarks": sql("SELECT DISTINCT article_title, folder_id FROM book"),
@@ -200,7 +196,7 @@ ORACLES = {
     "snk18_delete_revision": sql("SELECT id, title, revision_id FROM rev WHERE id > (SELECT min(id) FROM rev)"),
     "snk19_install_module": sql("SELECT id, CASE WHEN id = 'asia' THEN 'Asia again' ELSE name END AS name, CASE WHEN id = 'asia' THEN 'cold' ELSE default_tier END AS default_tier, installed_at, CASE WHEN id = 'asia' THEN 2 ELSE (SELECT count(*) FROM mem WHERE module_id = m.id) END AS member_count FROM mod m"),
     "snk20_uninstall_module": sql("SELECT m.*, (SELECT count(*) FROM mem WHERE module_id = m.id) AS member_count FROM mod m WHERE id <> 'europe'"),
-    "snk24_embed": sql("SELECT coalesce(a.page_id, e.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN e.model ELSE 'hash' END AS model, CASE WHEN a.page_id IS NULL THEN cast(len(e.embedding) AS INTEGER) ELSE 16 END AS dims FROM (SELECT page_id FROM art) a FULL JOIN emb e ON e.page_id = a.page_id"),
+    "snk24_embed": sql("SELECT coalesce(a.page_id, e.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN e.model ELSE 'letters' END AS model, CASE WHEN a.page_id IS NULL THEN cast(len(e.embedding) AS INTEGER) ELSE 26 END AS dims, round(CASE WHEN a.page_id IS NULL THEN list_sum(cast(e.embedding AS DOUBLE[])) ELSE length(regexp_replace(a.title, '[^A-Za-z]', '', 'g')) END, 4) AS total FROM art a FULL JOIN emb e ON e.page_id = a.page_id"),
     "q14_revisions_of_title": sql("SELECT id, title, revision_id, fetched_at, user_note FROM rev WHERE title = (SELECT max(title) FROM rev)"),
     "q9_is_bookmarked": sql("SELECT title, title IN (SELECT article_title FROM book) AS bookmarked FROM (SELECT DISTINCT 'Article ' || (id % 9000) AS title FROM book)"),
     "q10_unfiled": sql("SELECT * FROM book WHERE folder_id IS NULL ORDER BY created_at DESC, id DESC LIMIT 100"),
@@ -222,12 +218,17 @@ ORACLES = {
     ),
     "r3_tiers": sql("SELECT page_id, title, round(score, 6) AS score, false AS fuzzy FROM hit JOIN doc USING (page_id) WHERE tier IN ('hot', 'warm') ORDER BY hit.score DESC, page_id LIMIT 50", _TITLED, _TOK, _POST, _STATS, _hits("'museum', 'amber'")),
     "r4_fuzzy": sql("SELECT page_id, title, 0.0::DOUBLE AS score, true AS fuzzy FROM doc WHERE page_id IN (SELECT page_id FROM post WHERE field = 'title' AND damerau_levenshtein(term, 'brigde') <= 1) ORDER BY page_id LIMIT 40", _TITLED, _TOK, _POST),
+    "r7_archive": sql(
+        "SELECT page_id, round(score, 6) AS score FROM (SELECT page_id, sum(greatest(1e-6::DOUBLE, ln((nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / al)))) AS score FROM per JOIN (SELECT stem, count(*) AS df FROM per GROUP BY 1) USING (stem) JOIN words USING (page_id) CROSS JOIN (SELECT count(*) AS nd, avg(n) AS al FROM words) GROUP BY 1 HAVING count(*) = 2) ORDER BY score DESC, page_id LIMIT 40",
+        f"words AS MATERIALIZED (SELECT id AS page_id, list_concat({_WORDS.format('title')}, list_concat({_WORDS.format('wikitext')}, {_WORDS.format('user_note')})) AS w, len(w) AS n FROM rev)",
+        "per AS (SELECT page_id, stem, count(*) AS tf FROM (SELECT page_id, CASE WHEN t IN ('granite', 'granites') THEN 1 WHEN t IN ('lighthouse', 'lighthouses') THEN 2 END AS stem FROM (SELECT page_id, unnest(w) AS t FROM words)) WHERE stem IS NOT NULL GROUP BY 1, 2)",
+    ),
     "a8_corpus": sql("SELECT field, nd AS n_docs, round(al, 6) AS avg_len FROM stats", _TITLED, _TOK, _STATS),
     "j12_merged_lists": sql(
         "SELECT page_id, title, 0 AS source FROM l0 UNION ALL SELECT page_id, title, 1 FROM l1 WHERE f NOT IN (SELECT f FROM l0) UNION ALL SELECT page_id, title, 2 FROM l2 WHERE f NOT IN (SELECT f FROM l0 UNION SELECT f FROM l1)",
         _TITLED, *(f"{n} AS (SELECT page_id, {t} AS title, translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM {w})" for n, t, w in (("l0", "title", "doc WHERE tier = 'hot'"), ("l1", "upper(title)", "doc WHERE tier = 'warm'"), ("l2", "title", "art"))),
     ),
     "r12_citations": sql("SELECT event_id, array_to_string(list_filter(CASE WHEN page_id % 7 = 2 THEN CASE WHEN event_id % 5 = 2 THEN [2] ELSE [2, event_id % 5] END WHEN event_id % 5 IN (2, page_id % 7) THEN [page_id % 7, 2] ELSE [page_id % 7, 2, event_id % 5] END, lambda x: x BETWEEN 1 AND 5), ',') AS cited FROM log"),
-    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, cast(CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN strlen(wikitext) ELSE (list_max(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600)) + 3) END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN strlen('(article '''' available in storage)') + strlen(a.title) ELSE strlen('(no local snippet for '''')') + strlen(a.title) END AS INTEGER) AS n_bytes FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
+    "r10_contexts": sql("SELECT question_id, cast(id AS INTEGER) AS id, r.page_id, a.title, md5(CASE WHEN a.tier = 'hot' AND wikitext IS NOT NULL THEN CASE WHEN strlen(wikitext) <= 600 THEN wikitext ELSE wikitext[1:len(list_filter([strlen(wikitext[1:k]) for k in range(1, 601)], lambda b: b <= 600))] || '…' END WHEN a.tier = 'warm' AND wikitext IS NOT NULL THEN '(article ''' || a.title || ''' available in storage)' ELSE '(no local snippet for ''' || a.title || ''')' END) AS snippet_md5 FROM (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY min(id), page_id) AS id FROM chat_context WHERE page_id IS NOT NULL GROUP BY 1, 2) r JOIN art a ON a.page_id = r.page_id LEFT JOIN hot h ON h.page_id = r.page_id WHERE id <= 5"),
     "r11_sources": "SELECT question_id, string_agg('[A' || id || '] ' || coalesce(title, '') || ': ' || coalesce(snippet, ''), chr(10) ORDER BY id NULLS FIRST) AS sources FROM (SELECT question_id, id, min(title) AS title, min(snippet) AS snippet FROM chat_context GROUP BY 1, 2) GROUP BY 1",
 }

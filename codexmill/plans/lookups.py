@@ -40,7 +40,7 @@ _BUSY = "busy AS (SELECT title, page_id FROM (SELECT cl_from, count(*) AS n FROM
 
 QUERIES = {
     "q1_lookup": lambda s, d: lookup.lookup(C.articles(s, d), _busiest(s, d)).select("page_id", "title", "tier"),
-    "q2_content": lambda s, d: lookup.article_content(C.articles(s, d), C.hot_content(s, d)).select("page_id", "kind", F.length("text").cast("bigint").alias("n_chars"), "stream_offset", "stream_length"),
+    "q2_content": lambda s, d: lookup.article_content(C.articles(s, d), C.hot_content(s, d)).select("page_id", "kind", F.md5("text").alias("text_md5"), "stream_offset", "stream_length"),
     "q3_geotag_per_page": lambda s, d: geo.geotag_per_page(C.geotags(s, d)),
     "q4_redirects": lambda s, d: lookup.resolve_redirects(C.articles(s, d), C.redirects(s, d)),
     "q5_categories_of_page": lambda s, d: category.categories_of(C.page_categories(s, d), _PAGE),
@@ -85,7 +85,7 @@ QUERIES = {
     "q19_href_titles": lambda s, d: C.articles(s, d).select("page_id", F.concat(F.element_at(F.array(*map(F.lit, ("#/article/", "./", "https://en.wikipedia.org/wiki/", "//de.m.wikipedia.org/wiki/", "/wiki/", "ftp://x/"))), (F.col("page_id") % 6 + 1).cast("int")), S.url_encode_title("title")).alias("href")).select("page_id", S.title_from_href("href").alias("target")),
 }
 
-_CONTENT = "SELECT a.page_id, CASE WHEN tier IN ('hot', 'warm') THEN CASE WHEN wikitext IS NULL THEN 'missing' ELSE tier END WHEN tier = 'cold' THEN CASE WHEN stream_offset IS NULL THEN 'error' ELSE 'cold' END ELSE 'evicted' END AS kind, CASE WHEN tier IN ('hot', 'warm') THEN length(wikitext) END AS n_chars, CASE WHEN tier = 'cold' THEN stream_offset END AS stream_offset, CASE WHEN tier = 'cold' THEN stream_length END AS stream_length FROM art a LEFT JOIN hot h ON h.page_id = a.page_id"
+_CONTENT = "SELECT a.page_id, CASE WHEN tier IN ('hot', 'warm') THEN CASE WHEN wikitext IS NULL THEN 'missing' ELSE tier END WHEN tier = 'cold' THEN CASE WHEN stream_offset IS NULL THEN 'error' ELSE 'cold' END ELSE 'evicted' END AS kind, CASE WHEN tier IN ('hot', 'warm') THEN md5(wikitext) END AS text_md5, CASE WHEN tier = 'cold' THEN stream_offset END AS stream_offset, CASE WHEN tier = 'cold' THEN stream_length END AS stream_length FROM art a LEFT JOIN hot h ON h.page_id = a.page_id"
 _TREE = "SELECT DISTINCT l.cl_to, replace(a.title[10:], ' ', '_') AS child FROM cl l JOIN art a ON a.page_id = l.cl_from WHERE l.cl_type = 'subcat' AND starts_with(a.title, 'Category:')"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _URL = "replace(title, ' ', '_')"

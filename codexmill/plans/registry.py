@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import integrity, library, lookups, sources
+from . import engine, integrity, library, lookups, sources
 
-MODULES = [integrity, lookups, library, sources]
+MODULES = [integrity, lookups, library, sources, engine]
 
 
 def queries() -> dict:

@@ -52,19 +52,18 @@ QUERIES = {
     "snk23_redirects": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d, F.concat("target_title", F.lit(" II")))), "redirect", C.redirects(s, d))[0],
     "snk23_processed": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d)), "redirect", C.redirects(s, d))[1],
     "snk25_zstd": lambda s, d: C.hot_content(s, d).select("page_id", "wikitext", X.zstd_compress("wikitext").alias("z")).select("page_id", (X.zstd_decompress("z") == F.col("wikitext")).alias("same")),
-    "w1_html": lambda s, d: C.hot_content(s, d).select("page_id", W.render("wikitext").alias("html")).select("page_id", F.length("html").alias("n")),
-    "w3_plain": lambda s, d: C.hot_content(s, d).select("page_id", F.length(W.plain_text("wikitext")).alias("n")),
+    "w1_html": lambda s, d: C.hot_content(s, d).select("page_id", W.render("wikitext").alias("html")).select("page_id", F.md5("html").alias("html_md5")),
+    "w3_plain": lambda s, d: C.hot_content(s, d).select("page_id", F.md5(W.plain_text("wikitext")).alias("text_md5")),
     "w4_infobox": lambda s, d: C.hot_content(s, d).select("page_id", F.explode(W.infoboxes("wikitext")).alias("x")).select("page_id", "x.name", "x.key", "x.value"),
     "w7_references": lambda s, d: C.hot_content(s, d).select("page_id", F.posexplode(W.references("wikitext")).alias("pos", "text")),
     "w8_links": lambda s, d: W.with_availability(W.internal_links(C.hot_content(s, d), "page_id", "wikitext"), C.articles(s, d)),
     "f6_heading_ids": lambda s, d: W.headings(C.hot_content(s, d), "page_id", "wikitext"),
     "q20_toc": lambda s, d: C.hot_content(s, d).select("page_id", F.posexplode(S.table_of_contents(W.render("wikitext"))).alias("pos", "t")).select("page_id", "pos", "t.level", "t.id", "t.text"),
     "a10_rolling_errors": lambda s, d: G.rolling_errors(C.access_log(s, d), 3600),
-    "st2_token_bucket": lambda s, d: G.fold_sorted(_log(s, d), "client", "at", "event_id", "is_error", G.bucket_fold(0.02), "wait", "double").select(F.col("tie").alias("event_id"), F.round("wait", 6).alias("wait")),
+    "st2_token_bucket": lambda s, d: G.fold_sorted(_log(s, d).withColumn("at", F.floor(F.col("at") / 100)), "client", "at", "event_id", "is_error", G.bucket_fold(2), "wait", "double").select(F.col("tie").alias("event_id"), F.round("wait", 6).alias("wait")),
     "st3_breaker": lambda s, d: G.fold_sorted(_log(s, d), "client", "at", "event_id", "is_error", G.breaker_fold(5, 600, 3000), "is_open", "boolean").select(F.col("tie").alias("event_id"), "is_open"),
     "st4_history": lambda s, d: G.access_history(C.access_log(s, d)).select("page_id", F.col("day").cast("date").alias("day"), "access_count"),
     "st6_first_urls": lambda s, d: G.first_responses(C.access_log(s, d).select("ts", F.concat(F.lit("u"), "page_id").alias("url"))).select("url"),
-    "st8_outcomes": lambda s, d: G.request_outcomes(_log(s, d), 0.02).groupBy("outcome").agg(F.count("*").alias("n")),
 }
 
 _EVENTS = "ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t_at, event_id) AS n FROM (SELECT page_id % 20 AS client, floor(\"at\" / 40)::DOUBLE AS t_at, event_id, event_type = 'error' AS is_error FROM log))"
@@ -88,12 +87,15 @@ ORACLES = {
     "src14_ranges": sql("WITH x AS (SELECT event_id, event_id % 130 AS a, CASE WHEN event_id % 3 > 0 THEN least(event_id % 210, 99) ELSE 99 END AS b FROM log) SELECT event_id, CASE WHEN a <= b AND a < 100 THEN a END AS first, CASE WHEN a <= b AND a < 100 THEN b END AS last FROM x").replace(") WITH x AS", "), x AS"),
     "snk25_zstd": sql("SELECT page_id, true AS same FROM hot"),
     "w8_links": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, target, trim(replace(target, '_', ' '), '{WS}') IN (SELECT title FROM art) AS available FROM (SELECT page_id, i - 1 AS pos, trim(f[i]) AS target FROM (SELECT page_id, regexp_extract_all(wikitext, '\\[\\[([^\\[\\]|{}<>\\n]+)(?:\\|[^\\[\\]]*)?\\]\\]', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i)) WHERE NOT regexp_matches(lower(target), '^(file|image|category):') AND target <> ''".replace("{WS}", WHITE_SPACE)),
+    "w7_references": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\[\\[[^\\[\\]|]*\\|([^\\[\\]]*)\\]\\]', '\\1', 'g'), '\\[\\[([^\\[\\]]*)\\]\\]', '\\1', 'g'), '\\{\\{([^{}|]*)(\\|[^{}]*)?\\}\\}', '{\\1}', 'g'), '''{2,3}', '', 'g')) AS text FROM (SELECT page_id, i - 1 AS pos, f[i] AS t FROM (SELECT page_id, regexp_extract_all(wikitext, '(?s)<ref(?:\\s[^<>]*[^<>/]|\\s*)>(.*?)</ref>', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i))"),
+    "w4_infobox": sql("SELECT page_id, trim(name, chr(10) || ' ') AS name, trim(replace(p[1:k - 1], '_', ' '), chr(10) || ' ') AS key, trim(p[k + 1:], chr(10) || ' ') AS value FROM (SELECT page_id, name, p, strpos(p, '=') AS k FROM (SELECT page_id, regexp_extract(b, '^([^|]*)', 1) AS name, unnest(string_split(b, '|')[2:]) AS p FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '\\{\\{([^{}|]*)(\\|[^{}]*)?\\}\\}', '{\\1}', 'g'), '\\[\\[[^\\[\\]|]*\\|([^\\[\\]]*)\\]\\]', '\\1', 'g'), '\\[\\[([^\\[\\]]*)\\]\\]', '\\1', 'g') AS b FROM (SELECT page_id, unnest(regexp_extract_all(wikitext, '\\{\\{([Ii]nfobox(?:[^{}]|\\{\\{[^{}]*\\}\\})*)\\}\\}', 1)) AS b FROM hot)))) WHERE k > 0 AND trim(p[k + 1:], chr(10) || ' ') <> ''"),
+    "q20_toc": sql("SELECT page_id, cast(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, level, id, text FROM (SELECT page_id, pos, cast(level AS INTEGER) AS level, 's-' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;') AS text FROM (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) AS n FROM (SELECT *, coalesce(nullif(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'section') AS slug FROM (SELECT page_id, i - 1 AS pos, length(regexp_extract(f[i], '^(=+)', 1)) AS level, trim(trim(f[i], '=')) AS text FROM (SELECT page_id, regexp_extract_all(wikitext, '(?m)^(={2,6}[^=\\n][^\\n]*?={2,6})[ \\t]*$', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i) UNION ALL SELECT page_id, 1000000, 2, 'References' FROM hot WHERE regexp_matches(wikitext, '(?s)<ref(?:\\s[^<>]*[^<>/]|\\s*)>.*?</ref>')))) WHERE level <= 3)"),
     "f6_heading_ids": sql("SELECT page_id, cast(pos AS INTEGER) AS pos, cast(level AS INTEGER) AS level, text, 's-' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) AS n FROM (SELECT *, coalesce(nullif(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-'), ''), 'section') AS slug FROM (SELECT page_id, i - 1 AS pos, length(regexp_extract(f[i], '^(=+)', 1)) AS level, trim(trim(f[i], '=')) AS text FROM (SELECT page_id, regexp_extract_all(wikitext, '(?m)^(={2,6}[^=\\n][^\\n]*?={2,6})[ \\t]*$', 1) AS f FROM hot), unnest(range(1, len(f) + 1)) u(i))))"),
     "a10_rolling_errors": sql("SELECT event_id, page_id, \"at\", count(*) OVER (PARTITION BY page_id ORDER BY \"at\" RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM log WHERE event_type = 'error'"),
     "st2_token_bucket": sql(
-        "SELECT event_id, round(wait, 6) AS wait FROM rec WHERE n > 0", _EVENTS,
+        "SELECT event_id, round(wait, 6) AS wait FROM rec WHERE n > 0", _EVENTS.replace("floor(\"at\" / 40)", "floor(floor(\"at\" / 40) / 100)"),
         "rec AS (SELECT DISTINCT client, 0::BIGINT AS n, 0::BIGINT AS event_id, NULL::DOUBLE AS tokens, NULL::DOUBLE AS last, 0::DOUBLE AS wait FROM ev UNION ALL "
-        "SELECT client, n, event_id, t - 1, greatest(t_at, coalesce(last, t_at)), CASE WHEN t >= 1 THEN 0 ELSE (1 - t) / 0.02::DOUBLE END FROM (SELECT e.client, e.n, e.event_id, e.t_at, r.last, CASE WHEN r.n = 0 THEN 0.02::DOUBLE ELSE least(0.02::DOUBLE, r.tokens + greatest(0, e.t_at - r.last) * 0.02::DOUBLE) END AS t FROM rec r JOIN ev e ON e.client = r.client AND e.n = r.n + 1))",
+        "SELECT client, n, event_id, t - 1, greatest(t_at, coalesce(last, t_at)), CASE WHEN t >= 1 THEN 0 ELSE (1 - t) / 2::DOUBLE END FROM (SELECT e.client, e.n, e.event_id, e.t_at, r.last, CASE WHEN r.n = 0 THEN 2::DOUBLE ELSE least(2::DOUBLE, r.tokens + greatest(0, e.t_at - r.last) * 2::DOUBLE) END AS t FROM rec r JOIN ev e ON e.client = r.client AND e.n = r.n + 1))",
     ),
     "st3_breaker": sql(
         "SELECT event_id, until IS NOT NULL AS is_open FROM rec WHERE n > 0", _EVENTS,

@@ -32,7 +32,7 @@ def read_modules(spark: SparkSession, path: str) -> DataFrame:
         specs = [check_module(tomllib.loads(t)) for t in texts]
         return pd.DataFrame({"id": [x["id"] for x in specs], "name": [x["name"] for x in specs], "default_tier": [x.get("default_tier", "cold") for x in specs], "titles": [x.get("explicit_titles", []) for x in specs]})
 
-    return spark.read.option("wholetext", True).text(path).select(parse("value").alias("m")).select("m.*")
+    return spark.read.text(path, wholetext=True).select(parse("value").alias("m")).select("m.*")
 
 
 def check_module(spec: dict) -> dict:

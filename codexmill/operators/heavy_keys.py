@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
+from ..session import cut
 
 
 def compress(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -79,13 +80,31 @@ def category_members(categorylinks: DataFrame, share: float = 0.02) -> DataFrame
     return heavy_keys(weighted.where("key <> ''"), share, total).withColumnsRenamed({"key": "category", "n_values": "n_members"})
 
 
+def compress_several(df: DataFrame, key: Column, values: dict[str, Column]) -> DataFrame:
+    """(key, kind, n, t, weight): as compress() for several values of a row at once, over one scan and one shuffle.
+
+    ``kind`` is the name of the value, which stands in ``n`` if it is a number and in ``t`` if it is a string.
+    """
+    kinds = dict(df.select(*(c.alias(k) for k, c in values.items())).dtypes)
+    number = lambda k, c: (c if kinds[k] != "string" else F.lit(None)).cast("bigint").alias("n")
+    text = lambda k, c: (c if kinds[k] == "string" else F.lit(None)).cast("string").alias("t")
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), number(k, c), text(k, c)) for k, c in values.items()))
+    x = df.select(key.alias("key"), F.explode(rows).alias("v")).where("key is not null").select("key", "v.*")
+    return x.groupBy("key", "kind", "n", "t").agg(F.count("*").alias("weight"))
+
+
 def category_profile(categorylinks: DataFrame, share: float = 0.02) -> DataFrame:
-    """category_members with the commonest cl_type and the median cl_timestamp in Unix seconds."""
-    key = norm_title("cl_to")
-    types = key_modes(compress(categorylinks, key, F.col("cl_type")))
-    stamps = key_percentile(compress(categorylinks, key, F.unix_seconds(F.col("cl_timestamp").cast("timestamp"))), 0.5, 86_400)
-    return (
-        category_members(categorylinks, share)
-        .join(types.select(F.col("key").alias("category"), F.col("mode").alias("main_type"), "mode_rows"), "category", "left")
-        .join(stamps.select(F.col("key").alias("category"), F.col("percentile").alias("median_ts")), "category", "left")
+    """category_members with the commonest cl_type and the median cl_timestamp in Unix seconds.
+
+    The compressed values are written once; all results derive from them.
+    """
+    stamp = F.unix_seconds(F.col("cl_timestamp").cast("timestamp"))
+    w = cut(compress_several(categorylinks, norm_title("cl_to"), {"member": F.col("cl_from"), "type": F.col("cl_type"), "stamp": stamp}))
+    of = lambda kind, value: w.where(F.col("kind") == kind).select("key", F.col(value).alias("value"), "weight")
+    # Rows with an empty name count in the total, but are no category.
+    total = w.where("kind = 'type'").agg(F.sum("weight").alias("n")).first()["n"] or 0
+    members = heavy_keys(of("member", "n").where("key <> ''"), share, total).withColumnsRenamed({"key": "category", "n_values": "n_members"})
+    types, stamps = key_modes(of("type", "t")), key_percentile(of("stamp", "n"), 0.5, 86_400)
+    return members.join(types.select(F.col("key").alias("category"), F.col("mode").alias("main_type"), "mode_rows"), "category", "left").join(
+        stamps.select(F.col("key").alias("category"), F.col("percentile").alias("median_ts")), "category", "left"
     )

@@ -41,16 +41,31 @@ def upsert(current: DataFrame, change: DataFrame, keys: list[str], replace: list
     return both.select(*(value(c) for c in current.columns))
 
 
+def title_collisions(articles: DataFrame) -> DataFrame:
+    """Titles of more than one page; a batch that makes any must fail as a whole."""
+    return articles.groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def check_titles(articles: DataFrame) -> DataFrame:
+    bad = title_collisions(articles).limit(3).collect()
+    if bad:
+        raise ValueError(f"titles of several pages, such as {bad[0]['title']!r}")
+    return articles
+
+
 def upsert_metadata(articles: DataFrame, change: DataFrame, now: Column, seq: str | None = None) -> DataFrame:
-    """SNK1: replaces title, tier, pinned, offset, length, revision; reading history and creation stay."""
+    """SNK1: replaces title, tier, pinned, offset, length, revision; reading history and creation stay.
+
+    A batch that would give one title to several pages fails as a whole, before anything is written.
+    """
     columns = ["title", "tier", "pinned", "stream_offset", "stream_length", "revision_id"]
-    return upsert(articles, change, ["page_id"], columns, seq, now, {"last_accessed": F.lit(0), "access_count": F.lit(0), "created_at": now, "updated_at": now})
+    return check_titles(upsert(articles, change, ["page_id"], columns, seq, now, {"last_accessed": F.lit(0), "access_count": F.lit(0), "created_at": now, "updated_at": now}))
 
 
 def batch_upsert_cold(articles: DataFrame, change: DataFrame, now: Column, seq: str | None = None) -> DataFrame:
-    """SNK2: new pages come in cold and unpinned; of known ones only title and offset change."""
+    """SNK2: new pages come in cold and unpinned; of known ones only title and offset change. Titles stay unique, as in SNK1."""
     new = {"tier": F.lit("cold"), "pinned": F.lit(False), "last_accessed": F.lit(0), "access_count": F.lit(0), "created_at": now, "updated_at": now}
-    return upsert(articles, change, ["page_id"], ["title", "stream_offset"], seq, now, new)
+    return check_titles(upsert(articles, change, ["page_id"], ["title", "stream_offset"], seq, now, new))
 
 
 def upsert_geotags(tags: DataFrame, change: DataFrame, seq: str | None = None) -> DataFrame:
@@ -73,18 +88,6 @@ def upsert_embeddings(embeddings: DataFrame, change: DataFrame, seq: str | None
     return upsert(embeddings, change, ["page_id"], ["embedding", "model"], seq)
 
 
-def title_collisions(articles: DataFrame) -> DataFrame:
-    """Titles of more than one page; a batch that makes any must fail as a whole."""
-    return articles.groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def check_titles(articles: DataFrame) -> DataFrame:
-    bad = title_collisions(articles).limit(3).collect()
-    if bad:
-        raise ValueError(f"titles of several pages, such as {bad[0]['title']!r}")
-    return articles
-
-
 def _require(df: DataFrame, condition: Column, what: str) -> None:
     if df.where(condition).isEmpty():
         raise NotFound(what)

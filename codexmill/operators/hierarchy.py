@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
-from ..session import cut
+from ..session import cut, union_of
 
 #: Buckets into which the children of one parent are spread while they are linked.
 SALT = 64
@@ -164,19 +164,14 @@ def spread(edges: DataFrame, own: DataFrame) -> DataFrame:
     new = cut(own.select("a", "x").distinct())
     parts = [new]
     while not new.isEmpty():
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
+        known = union_of(parts)
         if len(parts) > 6:
             known = cut(known)
             parts = [known]
         step = edges.select("a", "b").join(new.select(F.col("a").alias("b"), "x"), "b").select("a", "x").distinct()
         new = cut(step.join(known, ["a", "x"], "left_anti"))
         parts.append(new)
-    known = parts[0]
-    for p in parts[1:-1]:
-        known = known.unionByName(p)
-    return known
+    return union_of(parts)
 
 
 class Hierarchy:

@@ -87,37 +87,79 @@ def square_triangles(squares: np.ndarray, face: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([q[:, [0, 1, 2]], q[:, [0, 2, 3]]]), np.concatenate([own, own])
 
 
-def ear_clip(poly: np.ndarray) -> np.ndarray:
-    """(m, 3): vertex numbers of the triangles of a simple polygon given by its (n, 2) vertices in either direction."""
-    pts = [tuple(x) for x in np.asarray(poly, float)]
-    ring = [i for i, p in enumerate(pts) if p != pts[i - 1]]
-    if len({pts[i] for i in ring}) < 3:
-        raise ValueError("a region needs three distinct vertices")
+def edges_cross(p: np.ndarray) -> bool:
+    """Whether two edges of a ring of (n, 2) vertices cross in their interiors; an edge meets only those in its range of x."""
+    a, b = p, np.roll(p, -1, axis=0)
+    order = np.argsort(np.minimum(a[:, 0], b[:, 0]), kind="stable")
+    a, b = a[order], b[order]
+    lo, hi = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    last = np.searchsorted(lo, hi, "right")
 
-    def cross(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    def side(u, v, q):
+        return (v[..., 0] - u[..., 0]) * (q[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (q[..., 0] - u[..., 0])
 
-    if sum(pts[i][0] * pts[j][1] - pts[j][0] * pts[i][1] for i, j in zip(ring, ring[1:] + ring[:1])) < 0:
-        ring.reverse()
-    out = []
-    while len(ring) > 3:
-        for k in range(len(ring)):
-            i, j, m = ring[k - 1], ring[k], ring[(k + 1) % len(ring)]
-            a, b, c = pts[i], pts[j], pts[m]
-            turn = cross(a, b, c)
-            if turn < 0:
-                continue
-            inside = turn > 0 and any(
-                cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in (pts[x] for x in ring if x not in (i, j, m)) if p not in (a, b, c)
-            )
-            if not inside:
-                if turn > 0:
-                    out.append((i, j, m))
-                ring.pop(k)
-                break
+    for k in range(len(p)):
+        c, d = a[k + 1 : last[k]], b[k + 1 : last[k]]
+        if len(c) and ((side(a[k], b[k], c) * side(a[k], b[k], d) < 0) & (side(c, d, a[k]) * side(c, d, b[k]) < 0)).any():
+            return True
+    return False
+
+
+def ear_clip(poly: np.ndarray) -> np.ndarray:
+    """(m, 3): vertex numbers of the triangles of a simple polygon given by its (n, 2) vertices in either direction.
+
+    Only vertices that do not turn outwards can lie in an ear; they are kept in order of x, so an ear
+    is tested against those in its range alone.
+    """
+    p = np.asarray(poly, float)
+    ring = np.flatnonzero((p != np.roll(p, 1, axis=0)).any(1))
+    if len(np.unique(p[ring], axis=0)) < 3:
+        raise ValueError("a region needs three distinct vertices")
+    x, y = p[ring].T
+    if np.dot(x, np.roll(y, -1)) < np.dot(y, np.roll(x, -1)):
+        ring = ring[::-1]
+    p = p[ring]
+    n = len(p)
+    if edges_cross(p):
+        raise ValueError("the region's edges cross one another")
+
+    def turn(a, b, c):
+        return (p[b, 0] - p[a, 0]) * (p[c, 1] - p[a, 1]) - (p[b, 1] - p[a, 1]) * (p[c, 0] - p[a, 0])
+
+    every = np.arange(n)
+    inward = np.flatnonzero(turn(np.roll(every, 1), every, np.roll(every, -1)) <= 0)
+    inward = inward[np.argsort(p[inward, 0], kind="stable")]
+    xs, alive = p[inward, 0], np.ones(n, bool)
+    before, after = np.roll(every, 1).tolist(), np.roll(every, -1).tolist()
+
+    def is_ear(a: int, b: int, c: int) -> bool:
+        t = p[[a, b, c]]
+        near = inward[np.searchsorted(xs, t[:, 0].min(), "left") : np.searchsorted(xs, t[:, 0].max(), "right")]
+        near = near[alive[near]]
+        q = p[near]
+        inside = np.ones(len(near), bool)
+        for i in range(3):
+            u, v = t[i], t[(i + 1) % 3]
+            inside &= (v[0] - u[0]) * (q[:, 1] - u[1]) - (v[1] - u[1]) * (q[:, 0] - u[0]) >= 0
+            inside &= (q != u).any(1)
+        return not inside.any()
+
+    out, left, k, idle = [], n, 0, 0
+    while left > 3:
+        a, c = before[k], after[k]
+        t = turn(a, k, c)
+        if t == 0 or (t > 0 and is_ear(a, k, c)):
+            if t > 0:
+                out.append((a, k, c))
+            after[a], before[c], alive[k] = c, a, False
+            left, k, idle = left - 1, c, 0
         else:
-            raise ValueError("the region's edges cross one another")
-    return np.array([*out, tuple(ring)])
+            k, idle = c, idle + 1
+            if idle > left:
+                raise ValueError("the region's edges touch one another")
+    if turn(before[k], k, after[k]) > 0:
+        out.append((before[k], k, after[k]))
+    return ring[np.array(out, np.int64).reshape(-1, 3)]
 
 
 def _clip(poly: np.ndarray, normal: np.ndarray) -> np.ndarray:
@@ -152,8 +194,10 @@ def region_triangles(vertices: list[tuple[float, float]]) -> list[tuple[int, np.
         axis = np.eye(3)[face // 2] * (-1 if face % 2 else 1)
         # The four planes of the face's pyramid, moved out a little, so that points on its border are inside.
         planes = [axis * (1 + 1e-9) + sign * np.eye(3)[k] for k in range(3) if k != face // 2 for sign in (1, -1)]
-        found = []
-        for t in triangles:
+        sides = np.stack([triangles @ plane for plane in planes])  # (4, triangles, 3)
+        inside = (sides >= 0).all((0, 2))
+        found = list(project(triangles[inside], face)[0])
+        for t in triangles[~inside & ~(sides < 0).all(2).any(0)]:
             for plane in planes:
                 t = _clip(t, plane)
                 if len(t) < 3:
@@ -341,7 +385,7 @@ def pages_in_regions(geotags: DataFrame, regions: DataFrame) -> DataFrame:
     """(page_id, lat, lon, region_id): the region holding each place; of several the smallest id.
 
     ``regions`` has ``region_id BIGINT`` and ``vertices ARRAY<STRUCT<lat DOUBLE, lon DOUBLE>>``.
-    Null ids and null vertices are no regions; places in no region do not come out.
+    Null ids and vertices that are null or not numbers are no regions; places in no region do not come out.
     """
     from ..session import cut
 
@@ -374,7 +418,7 @@ def pages_in_regions(geotags: DataFrame, regions: DataFrame) -> DataFrame:
             found = pd.DataFrame({"lat": p["lat"].to_numpy()[j], "lon": p["lon"].to_numpy()[j], "region_id": t["region_id"].to_numpy()[i]})
             yield found.groupby(["lat", "lon"], as_index=False)["region_id"].min()
 
-    usable = regions.select("region_id", "vertices").where("region_id is not null and vertices is not null")
+    usable = regions.select("region_id", "vertices").where("region_id is not null and vertices is not null and forall(vertices, v -> v.lat is not null and v.lon is not null and not isnan(v.lat) and not isnan(v.lon))")
     spread = usable.mapInPandas(triangles, row).unionByName(locations.mapInPandas(points, row))
     held = spread.groupBy("leaf").applyInPandas(inside, "lat double, lon double, region_id long")
     return places.join(held, ["lat", "lon"]).select("page_id", "lat", "lon", "region_id")

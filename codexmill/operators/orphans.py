@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_title
-from ..session import cut
+from ..session import cut, union_of
 
 
 def _second(c: str):
@@ -98,9 +98,12 @@ def find_orphans(articles: DataFrame, redirects: DataFrame, geotags: DataFrame,
 
     frontier = cut(chain.where("d").select(F.col("owner").alias("page"), F.lit(1).alias("level")).distinct())
     open_links = chain.where("not d and page is not null").select("owner", "page")
-    dead = frontier
-    level = 1
+    parts, level = [frontier], 1
     while not frontier.isEmpty():
+        dead = union_of(parts)
+        if len(parts) > 6:  # the plan stays short however long a chain is
+            dead = cut(dead)
+            parts = [dead]
         nxt = (
             open_links.join(frontier.select("page"), "page", "left_semi")
             .select(F.col("owner").alias("page"))
@@ -110,8 +113,8 @@ def find_orphans(articles: DataFrame, redirects: DataFrame, geotags: DataFrame,
         )
         frontier = cut(nxt)
         level += 1
-        dead = dead.unionByName(frontier)
-    dead = cut(dead) if level > 2 else dead
+        parts.append(frontier)
+    dead = cut(union_of(parts)) if level > 2 else union_of(parts)
 
     inherited_p = pages.join(dead, "page").join(direct_p.select("table_name", "page", "sec", "period"), ["table_name", "page", "sec", "period"], "left_anti")
     inherited_t = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, **conf: str) -> Spar
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -55,6 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables with the same columns."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, whether or not it is installed where they run.
 

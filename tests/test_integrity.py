@@ -92,12 +92,30 @@ def test_ear_clipping():
         near.ear_clip(np.array([[0, 0], [1, 1], [0, 0]]))
 
 
+def test_large_polygon():
+    """A coast of very many vertices is triangulated in a moment, and its parts make up its area."""
+    import time
+
+    r = random.Random(4)
+    angle = np.linspace(0, 2 * np.pi, 20_000, endpoint=False)
+    poly = np.stack([np.cos(angle), np.sin(angle)], 1) * np.array([r.uniform(0.9, 1.1) for _ in angle])[:, None]
+    began = time.process_time()
+    tri = poly[near.ear_clip(poly)]
+    assert time.process_time() - began < 20
+    x, y = poly.T
+    (a, b, c) = tri[:, 0], tri[:, 1], tri[:, 2]
+    parts = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2
+    assert (parts > 0).all() and np.isclose(parts.sum(), (np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+    with pytest.raises(ValueError):
+        near.ear_clip(np.array([[0, 0], [2, 2], [2, 0], [0, 2], [1, 3], [-1, 1.5]]))
+
+
 def test_regions(spark):
     pts = [(i, -3.0137 + 0.37 * i, -2.9911 + 0.29 * j) for i in range(17) for j in range(21)]
     df = spark.createDataFrame([(*p, True) for p in pts], "page_id bigint, lat double, lon double, primary_ boolean")
     star = [(-2, -2), (0, -0.5), (2, -2), (0.5, 0), (2, 2), (0, 0.5), (-2, 2), (-0.5, 0)]
     square = [(1.0, 1.0), (1.0, 3.5), (3.5, 3.5), (3.5, 1.0)]
-    regions = spark.createDataFrame([(2, [{"lat": float(a), "lon": float(o)} for a, o in star]), (1, [{"lat": a, "lon": o} for a, o in square]), (None, None)], "region_id bigint, vertices array<struct<lat double, lon double>>")
+    regions = spark.createDataFrame([(2, [{"lat": float(a), "lon": float(o)} for a, o in star]), (1, [{"lat": a, "lon": o} for a, o in square]), (None, None), (0, [{"lat": 0.0, "lon": 0.0}, {"lat": None, "lon": 9.0}, {"lat": 9.0, "lon": float("nan")}])], "region_id bigint, vertices array<struct<lat double, lon double>>")
     got = {(r.page_id, r.lat, r.lon): r.region_id for r in near.pages_in_regions(df, regions).collect()}
 
     def inside(poly, lat, lon):

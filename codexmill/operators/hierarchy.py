@@ -66,12 +66,17 @@ def category_links(categorylinks: DataFrame, articles: DataFrame) -> tuple[DataF
 def cycle_cuts(single: DataFrame) -> DataFrame:
     """The smallest node of every cycle of ``single`` (child, parent), where a child has one parent."""
     s = cut(single.select(F.col("child").alias("x"), F.col("parent").alias("to"), F.col("child").alias("low")))
-    seen = None
+    before, seen = -1, None
     while True:
-        n = s.agg(F.count("*").alias("n"), F.count_distinct("to").alias("m"), F.sum(F.col("low").cast("decimal(38,0)")).alias("l")).first()
-        if n["n"] == 0 or (n["n"], n["m"], n["l"]) == seen:
+        n = s.count()
+        if n == 0:
             break
-        seen = (n["n"], n["m"], n["l"])
+        if n == before:  # none dropped out any more: what is left runs into cycles; are they covered?
+            now = s.agg(F.count_distinct("to").alias("m"), F.sum(F.col("low").cast("decimal(38,0)")).alias("l")).first()
+            if (now["m"], now["l"]) == seen:
+                break
+            seen = (now["m"], now["l"])
+        before = n
         t = s.select(F.col("x").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
         s = cut(s.join(t, "to").select("x", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
     on_cycle = s.select(F.col("to").alias("x")).distinct()

@@ -338,20 +338,26 @@ def near_locations(locations: DataFrame, metres: float) -> DataFrame:
             lat, lon = x["lat"].to_numpy(float), x["lon"].to_numpy(float)
             face, uv = _points_on_faces(lat, lon)
             own, leaf = t.place(face, uv, uv)
-            yield pd.DataFrame({"leaf": leaf, "disc": False, "face": face[own], "lat": lat[own], "lon": lon[own]})
+            home = np.empty(len(lat), np.int64)
+            home[own] = leaf
+            # A place's row in its own leaf stands for the point and for its disc.
+            yield pd.DataFrame({"leaf": home, "disc": False, "face": face, "lat": lat, "lon": lon})
             squares = disc_squares(lat, lon, metres)
             for f in range(6):
                 tri, sq = square_triangles(squares, f)
                 if len(tri):
                     k, leaf = t.place(np.full(len(tri), f), tri.min(1), tri.max(1))
-                    both = np.unique(np.stack([sq[k], leaf]), axis=1)
-                    yield pd.DataFrame({"leaf": both[1], "disc": True, "face": f, "lat": lat[both[0]], "lon": lon[both[0]]})
+                    away = leaf != home[sq[k]]
+                    if away.any():
+                        both = np.unique(sq[k[away]] * t.n_leaves + leaf[away])
+                        i = both // t.n_leaves
+                        yield pd.DataFrame({"leaf": both % t.n_leaves, "disc": True, "face": f, "lat": lat[i], "lon": lon[i]})
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(batches))
         lat, lon, disc = x["lat"].to_numpy(), x["lon"].to_numpy(), x["disc"].to_numpy()
         f = int(x["face"].iloc[0])  # a leaf lies on one face
-        d, p = np.flatnonzero(disc), np.flatnonzero(~disc)
+        d, p = np.arange(len(x)), np.flatnonzero(~disc)
         tri, sq = square_triangles(disc_squares(lat[d], lon[d], metres), f)
         pts = project(unit(lat[p], lon[p]), f)[0]
         for t, q in points_in_triangles(tri, pts):

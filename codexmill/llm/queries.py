@@ -68,7 +68,7 @@ QUERIES = {
 #: Hashes of all runs of 160 code points, and those in several documents.
 _RUNS = """
       WITH t AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160),
-      g AS (SELECT doc_id, i, hash(text[i:i + 159]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM t)),
+      g AS (SELECT doc_id, i, md5_number(text[i:i + 159]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM t)),
       m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
       k AS (SELECT doc_id, i, h FROM g WHERE h IN (SELECT h FROM m))"""
 

@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_title
+from ..functions.text import WHITE_SPACE, norm_title
 from ..session import cut
+from ..store import file_system
 
 _INDEX = r"^([0-9]+):([0-9]+):(.*)$"
 
@@ -61,13 +62,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return parse_page_xml(spark.read.option("lineSep", "</page>").text(path))
 
 
-def _file_system(path: str):
-    """(file system, name in it) of a path or an address such as hdfs: or s3:."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else (fs.LocalFileSystem(), path)
-
-
 def write_multistream(pages: DataFrame, folder: str, per_stream: int = 100) -> DataFrame:
     """SRC16: pages (page_id, title, revision_id, wikitext) as files of bz2 streams, in order of page_id.
 
@@ -82,7 +76,7 @@ def write_multistream(pages: DataFrame, folder: str, per_stream: int = 100) -> D
         from pyspark import TaskContext
 
         name, f, at = f"part-{TaskContext.get().partitionId():05}.xml.bz2", None, 0
-        where, base = _file_system(folder)
+        where, base = file_system(folder)
         for x in frames:
             for k in range(0, len(x), per_stream):
                 if f is None:
@@ -112,7 +106,7 @@ def read_streams(index: DataFrame, path: str) -> DataFrame:
     offsets = index.groupBy(file.alias("file"), "stream_offset").agg(length.alias("stream_length"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, base = _file_system(path)
+        where, base = file_system(path)
         opened: dict = {}
         for x in frames:
             for name, at, n in zip(x["file"], x["stream_offset"], x["stream_length"]):
@@ -138,38 +132,32 @@ def read_streams(index: DataFrame, path: str) -> DataFrame:
     return parse_page_xml(offsets.sortWithinPartitions("file", "stream_offset").mapInPandas(run, "value string"))
 
 
-_TUPLE = re.compile(r"\(((?:[^'()]++|'(?:[^'\\]++|\\.)*+')*+)\)", re.S)
-_FIELD = re.compile(r"((?:[^',]++|'(?:[^'\\]++|\\.)*+')*+)(?:,|\Z)", re.S)
-_QUOTES = re.compile(r"\\(.)|'", re.S)
+# Possessive loops neither backtrack nor recurse, so statements of any length are read, in one pass:
+# a tuple begins where the one before it ended, and none begins after a ';'.
+_QUOTED = r"'(?:[^'\\]++|\\.)*+'"
+_TUPLE = rf"(?s)\G[^(;]*+\(((?:[^')]++|{_QUOTED})*+)\)"
+_FIELD = rf"(?s),((?:[^',]++|{_QUOTED})*+)"
+_SEGMENT = rf"(?s)[^']++|{_QUOTED}"
 
 
-def split_tuples(values: str) -> Iterator[list[str]]:
-    """SRC6: fields of each tuple; a backslash takes the next character as it is, quotes vanish (doubled ones too), fields are trimmed."""
-    for t in _TUPLE.finditer(values):
-        body = t[1]
-        fields, at = [], 0
-        while True:
-            m = _FIELD.match(body, at)
-            if m is None:
-                break
-            fields.append(_QUOTES.sub(lambda q: q[1] or "", m[1]).strip())
-            at = m.end()
-            if at >= len(body) and not body[m.start() : m.end()].endswith(","):
-                break
-        yield fields
+def _unquoted(x: Column) -> Column:
+    """A field without its quotes: within them a backslash takes the next character as it is, elsewhere it is one."""
+    inner = lambda v: F.regexp_replace(F.substring(v, 2, 2**31 - 1).substr(F.lit(1), F.length(v) - 2), r"(?s)\\(.)", "$1")
+    parts = F.transform(F.regexp_extract_all(x, F.lit(_SEGMENT), F.lit(0)), lambda v: F.when(v.startswith("'"), inner(v)).otherwise(v))
+    return F.btrim(F.when(x.contains("'"), F.array_join(parts, "")).otherwise(x), F.lit(WHITE_SPACE))
 
 
 def insert_tuples(statements: DataFrame, table: str, column: str = "value") -> DataFrame:
-    """SRC5, SRC6: one ``fields`` array per tuple of the table's INSERT statements; others are ignored."""
+    """SRC5, SRC6: one ``fields`` array per tuple of the table's INSERT statements; others are ignored.
+
+    Quotes vanish (doubled ones too) and fields are trimmed. All inside the JVM.
+    """
     head = f"INSERT INTO `{table}` VALUES "
     mine = statements.select(F.ltrim(column, F.lit(" \r\n")).alias("v")).where(F.col("v").startswith(head))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            found = [t for v in x["v"] for t in split_tuples(v[len(head) :])]
-            yield pd.DataFrame({"fields": pd.Series(found, dtype=object)})
-
-    return mine.mapInPandas(run, "fields array<string>")
+    bodies = mine.select(F.explode(F.regexp_extract_all(F.substring("v", len(head) + 1, 2**31 - 1), F.lit(_TUPLE), F.lit(1))).alias("b"))
+    # A comma before each field, so that none is an empty match.
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "b"), F.lit(_FIELD), F.lit(1))
+    return bodies.select(F.transform(fields, _unquoted).alias("fields"))
 
 
 def read_table_dump(spark: SparkSession, path: str, table: str, spread: int | None = None) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import tempfile
 import tomllib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import _path
+from ..store import _path, file_system
 
 MOST_DEPTH, WINDOW_MOST = 10, 32 * 1024 * 1024
 
@@ -126,8 +128,22 @@ def parse_revisions(responses: DataFrame, column: str, keep: list[str]) -> DataF
 
 
 def sha1_of(spark: SparkSession, path: str) -> DataFrame:
-    """SRC13: path, sha1 of files that fit a row."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"))
+    """SRC13: path, sha1 of the files at a path, of any size: each is read in blocks by one task."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # lists them; no content is read
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            found = []
+            for name in x["path"]:
+                where, base = file_system(name)
+                digest = hashlib.sha1()
+                with where.open_input_file(base) as f:
+                    while block := f.read(1 << 23):
+                        digest.update(block)
+                found.append(digest.hexdigest())
+            yield pd.DataFrame({"path": x["path"], "sha1": found})
+
+    return files.mapInPandas(run, "path string, sha1 string")
 
 
 def verify_sha1(files: DataFrame, wanted: str) -> DataFrame:

@@ -14,6 +14,7 @@ taken over all the columns given, so one key with very many rows is spread over
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +29,13 @@ def _path(spark: SparkSession, name: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def file_system(path: str):
+    """(file system, name in it) of a path or an address such as hdfs: or s3:, for tasks that read or write files themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.codexmill.tables", None) or f"{ensure_checkpoint_dir(spark)}/tables"
 

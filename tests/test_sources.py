@@ -57,14 +57,54 @@ def test_dump(spark, dump):
         D.parse_page_xml(spark.createDataFrame([("<page><title>x</title><id>z</id></page>",)], "value string")).collect()
 
 
+def split_tuples(values):
+    """The fields of each tuple up to a ';' outside them, character by character."""
+    out, i = [], 0
+    while i < len(values) and values[i] != ";":
+        if values[i] == "(":
+            fields, now, quoted, i = [], [], False, i + 1
+            while i < len(values) and (quoted or values[i] != ")"):
+                c = values[i]
+                if quoted and c == "\\" and i + 1 < len(values):
+                    i += 1
+                    now.append(values[i])
+                elif c == "'":
+                    quoted = not quoted
+                elif c == "," and not quoted:
+                    fields.append("".join(now).strip())
+                    now = []
+                else:
+                    now.append(c)
+                i += 1
+            if i >= len(values):
+                break  # not closed
+            out.append([*fields, "".join(now).strip()])
+        i += 1
+    return out
+
+
+def test_tuples(spark):
+    r = random.Random(6)
+    parts = ["(", ")", ",", "'", "''", "\\'", "a", "1", " ", "NULL", "é", ";", "\n"]
+    rows = [r"(1,'a\'b',NULL),( 2 ,'x''y, (z)','\\n');", "(1,,'')", "()", "(" + "1," * 200_000 + "2)", "('" + "\\'" * 200_000 + "')"]
+    rows += ["".join(r.choices(parts, k=r.randrange(1, 16))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, "INSERT INTO `t` VALUES " + x) for i, x in enumerate(rows)], "i bigint, value string")
+    got = {}
+    for x in D.insert_tuples(df.where("i < 5"), "t").collect() + D.insert_tuples(df.where("i >= 5"), "t").collect():
+        got[tuple(x.fields)] = got.get(tuple(x.fields), 0) + 1
+    want = {}
+    for x in rows:
+        for f in split_tuples(x):
+            want[tuple(f)] = want.get(tuple(f), 0) + 1
+    assert got == want
+
+
 def test_table_dumps(spark, tmp_path):
     geo = "INSERT INTO `geo_tags` VALUES (1,10,'earth',1,51.5,-0.1,500,'city','L\\'x; y',NULL,NULL),(2,11,'earth',0,999,0,1,NULL,'',NULL,NULL);\nINSERT INTO `other` VALUES (1,2);\nINSERT INTO `geo_tags` VALUES (3,12,'earth',1,-5,7,1,NULL,'a''b',NULL,NULL);\n"
     with gzip.open(tmp_path / "g.sql.gz", "wt") as f:
         f.write(geo)
     got = D.geotags_from(D.read_table_dump(spark, str(tmp_path / "g.sql.gz"), "geo_tags", 2))
     assert sorted(map(tuple, got.collect())) == [(10, 51.5, -0.1, True, "city"), (12, -5.0, 7.0, True, None)]
-    assert list(D.split_tuples(r"(1,'a\'b',NULL),( 2 ,'x''y, (z)','\\n');")) == [["1", "a'b", "NULL"], ["2", "xy, (z)", "\\n"]]
-    assert list(D.split_tuples("(1,,'')")) == [["1", "", ""]]
     st = lambda t, v: spark.createDataFrame([(f"INSERT INTO `{t}` VALUES {v}",)], "value string")
     cl = D.categorylinks_from(D.insert_tuples(st("categorylinks", "(1,'A','','','','','page'),(2,'','','','','','page'),(3,'B','','','','','weird'),(4,'C','','','','','subcat')"), "categorylinks"))
     assert sorted(map(tuple, cl.collect())) == [(1, "A", "page"), (4, "C", "subcat")]

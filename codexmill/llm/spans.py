@@ -10,8 +10,8 @@ in a distributed aggregation, and the merged "more than once" maps are broadcast
 follows the corpus up to ``MAX_BITS`` a row (16 MB each), a proven bound. Pass two computes the
 windows again and passes on only those that every row of the sketch estimates repeated, as narrow
 rows of hash, record and place. These are grouped exactly by hash, and those that only one record
-holds go. Only for the rest the texts are read once more and k code points of context on either
-side taken. So a sketch that is too narrow for the corpus loses nothing and costs at most one narrow
+holds go. Only for the rest the texts are read once more, those of other records filtered out by a
+bit map before they are shuffled, and k code points of context on either side taken. So a sketch that is too narrow for the corpus loses nothing and costs at most one narrow
 row for every 40 code points; contexts are written for windows that are truly repeated, whatever
 the sketch lets through.
 
@@ -192,6 +192,49 @@ def passed_windows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, "h long, doc long, t long, pos long")
 
 
+def _key_cells(b: pa.RecordBatch, bits: int) -> np.ndarray:
+    doc, t = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("doc", "t"))
+    return (_mix(doc ^ _mix(t)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def likely(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc, t) are among ``keys``, and few others, so that only they are shuffled to them.
+
+    The keys are put into one bit map of at most ``MAX_BITS``, merged in a distributed aggregation and
+    broadcast; the more keys there are beyond a sixteenth of that, the more other rows pass.
+    """
+    wanted = max(CHUNK_BITS, 16 * keys.count())
+    bits = min(MAX_BITS, 1 << (wanted - 1).bit_length())
+    step = CHUNK_BITS // 8
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at, new, _ = _as_bytes(_key_cells(b, bits))
+            held[at] |= new
+        for k in range(bits // CHUNK_BITS):
+            part = held[k * step : (k + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "held"])
+
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        held = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(m), np.uint8) for m in x["held"]])
+        return pd.DataFrame({"k": x["k"].iloc[:1], "held": [zlib.compress(held.tobytes(), 1)]})
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(partial, "k int, held binary").groupBy("k").applyInPandas(merge, "k int, held binary").toLocalIterator():
+        whole[r["k"] * step : (r["k"] + 1) * step] = np.frombuffer(zlib.decompress(r["held"]), np.uint8)
+    known = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = _key_cells(b, bits)
+            keep = known.value[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1
+            yield b.filter(pa.array(keep.astype(bool)))  # texts stay in Arrow
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(h, doc, pos, left, rest): windows that several records hold, with their context.
 
@@ -199,8 +242,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     seen = cut(passed_windows(docs))
     several = seen.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h")
-    places = seen.join(several, "h", "left_semi").groupBy("doc", "t").agg(F.collect_set(F.struct("pos", "h")).alias("w"))
-    found = docs.withColumn("t", F.xxhash64("text")).join(places, ["doc", "t"]).select("doc", "text", "w")
+    places = cut(seen.join(several, "h", "left_semi").groupBy("doc", "t").agg(F.collect_set(F.struct("pos", "h")).alias("w")))
+    found = likely(docs.withColumn("t", F.xxhash64("text")), places.select("doc", "t")).join(places, ["doc", "t"]).select("doc", "text", "w")
 
     def contexts(rows: list[tuple]) -> pa.RecordBatch:
         h, doc, pos, text = zip(*rows)

@@ -378,7 +378,7 @@ def near_pages(geotags: DataFrame, metres: float = 200.0) -> DataFrame:
     from ..session import cut
 
     places = cut(clean_places(geotags))
-    locations = places.select("lat", "lon").distinct()
+    locations = cut(places.select("lat", "lon").distinct())  # counted, sampled and distributed
     pairs = near_locations(locations, metres).select("lat_a", "lon_a", "lat_b", "lon_b")
     a = places.select(F.col("page_id").alias("p"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
     b = places.select(F.col("page_id").alias("q"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
@@ -396,7 +396,7 @@ def pages_in_regions(geotags: DataFrame, regions: DataFrame) -> DataFrame:
     from ..session import cut
 
     places = cut(clean_places(geotags))
-    locations = places.select("lat", "lon").distinct()
+    locations = cut(places.select("lat", "lon").distinct())  # counted, sampled and distributed
     tree = locations.sparkSession.sparkContext.broadcast(fit_tree(locations))
     row = "leaf int, region_id long, face int, lat double, lon double, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double"
     names = [c.split()[0] for c in row.split(", ")]

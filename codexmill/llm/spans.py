@@ -294,11 +294,11 @@ class SharedSpans:
 
     def __init__(self, documents: DataFrame):
         self.docs = documents.select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc is not null")
-        seen = cut(repeated_windows(self.docs))
-        key = F.md5(F.concat_ws("\0", F.length("left").cast("string"), "left", "rest"))
-        self.members = cut(seen.select("h", key.alias("c"), "doc", "pos").distinct())
+        key = F.unhex(F.md5(F.concat_ws("\0", F.length("left").cast("string"), "left", "rest")))
+        seen = cut(repeated_windows(self.docs).withColumn("c", key))
+        self.members = cut(seen.select("h", "c", "doc", "pos").distinct())
         docs_of = self.members.select("h", "c", "doc").distinct().groupBy("h", "c").agg(F.count("*").alias("n_docs"), F.min("doc").alias("min_doc"))
-        text_of = seen.select("h", key.alias("c"), "left", "rest").groupBy("h", "c").agg(F.first("left").alias("left"), F.first("rest").alias("rest"))
+        text_of = seen.select("h", "c", "left", "rest").groupBy("h", "c").agg(F.first("left").alias("left"), F.first("rest").alias("rest"))
         per_window = docs_of.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("min_doc").alias("lo"), F.max("min_doc").alias("hi"), F.max("n_docs").alias("most"))
         # Windows whose classes all belong to one record (their hashes alone met another's) go here.
         per_window = per_window.where("most > 1 or lo <> hi").select("h", "n_classes")
@@ -321,7 +321,7 @@ class SharedSpans:
         many = self.classes.where(F.col("n_classes") > MANY).select("h", "c", F.length("left").alias("n_left"), F.concat("left", "rest").alias("whole"))
         cuts = many.select("h", "c", "n_left", "whole", F.explode(F.sequence(F.lit(0), F.lit(K))).alias("l"))
         cuts = cuts.where(f"l <= n_left and n_left - l + {2 * K} <= length(whole)")
-        return cuts.select("h", "c", "l", F.md5(F.substring("whole", F.col("n_left") - F.col("l") + 1, F.lit(2 * K))).alias("s"))
+        return cuts.select("h", "c", "l", F.unhex(F.md5(F.substring("whole", F.col("n_left") - F.col("l") + 1, F.lit(2 * K)))).alias("s"))
 
     def shared_pairs(self) -> DataFrame:
         """Distinct (doc_a, doc_b), doc_a < doc_b: records with a common span of at least 2K code points."""

@@ -95,7 +95,12 @@ def _contexts(s, d):
     return R.semantic_else_lexical(sem, lex)
 
 
+def _postings(s, d):
+    return stored(s, d, "postings", ["documents"], lambda: X.build_postings(_titled(s, d), _FIELDS), ["term", "page_id"])
+
+
 QUERIES = {
+    "snk21_postings": lambda s, d: _postings(s, d).select("term", "field", "page_id", "tf", "len", F.element_at("positions", 1).alias("first")),
     "src10_module_files": lambda s, d: Y.read_modules(s, _module_files(s, d)).select("id", "name", "default_tier", F.array_join("titles", "|").alias("titles")),
     "src11_backup_folders": lambda s, d: _backup(s, d)[0],
     "src11_backup_bookmarks": lambda s, d: _backup(s, d)[1],
@@ -109,7 +114,7 @@ QUERIES = {
     "r6_malformed": lambda s, d: _search(s, d, 'granite AND', 50),
     "r8_semantic": lambda s, d: (lambda e, a: V.top_k(e, a, "letters", V.letter_embedder(["Treaty of the river"])[0].tolist(), 30))(*_embedded(s, d)).select("page_id", "title", F.round("score", 6).alias("score")),
     "r8_else_lexical": lambda s, d: _contexts(s, d).select("question_id", "page_id"),
-    "f12_one_edit": lambda s, d: stored(s, d, "postings", ["documents"], lambda: X.build_postings(_titled(s, d), _FIELDS), ["term", "page_id"]).select("term").distinct().select("term", X.within_one_edit(F.col("term"), "bridge").alias("near")),
+    "f12_one_edit": lambda s, d: _postings(s, d).select("term").distinct().select("term", X.within_one_edit(F.col("term"), "bridge").alias("near")),
     "f14_rest_urls": lambda s, d: C.articles(s, d).select("page_id", S.rest_url("https://x.example/html/", "title", F.col("revision_id")).alias("url")),
     "f19_internal_urls": lambda s, d: C.access_log(s, d).select("event_id", F.element_at(F.array(*map(F.lit, _URLS)), (F.col("event_id") % len(_URLS) + 1).cast("int")).alias("url")).select("event_id", S.is_internal_url("url").alias("internal")),
     "w1_tables": lambda s, d: _made_text(s, d, _cat("={|\n|+ ", "title", "=\n! A !! B\n|-\n| ", "page_id", "= || ''x''\n|}\n* one\n* ", "title", "=\n----\n pre & <b>")).select("page_id", W.render("wikitext").alias("html")),
@@ -141,6 +146,7 @@ _EACH = "ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBL
 _DF = "(SELECT term, field, count(*) AS df FROM post GROUP BY 1, 2)"
 
 ORACLES = {
+    "snk21_postings": sql("SELECT term, field, page_id, cast(count(*) AS INTEGER) AS tf, cast(any_value(n) AS INTEGER) AS len, cast(min(i) AS INTEGER) AS first FROM (SELECT page_id, field, len(w) AS n, unnest(w) AS term, unnest(range(0, len(w))) AS i FROM tok) GROUP BY term, field, page_id", _TITLED, _TOK),
     "src10_module_files": sql("SELECT m.id, m.name, m.default_tier, string_agg(title, '|' ORDER BY title) AS titles FROM mod m JOIN mem ON module_id = m.id GROUP BY ALL"),
     "src11_backup_folders": sql("SELECT f.name, p.name AS parent, f.created_at FROM fold f LEFT JOIN fold p ON p.id = f.parent_id"),
     "src11_backup_bookmarks": sql("SELECT article_title AS title, f.name AS folder, note, b.created_at FROM book b LEFT JOIN fold f ON f.id = b.folder_id"),

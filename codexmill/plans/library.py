@@ -116,7 +116,7 @@ QUERIES = {
     "snk10_clear": lambda s, d: M.clear_history(C.articles(s, d))[1],
     "snk11_add_bookmarks": lambda s, d: B.add_bookmarks(C.bookmarks(s, d).where("folder_id is not null"), C.bookmarks(s, d)).select("article_title", "folder_id").distinct(),
     "snk12_move": lambda s, d: B.move_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("note is not null").select("id", F.lit(3).cast("bigint").alias("folder_id"))).select("id", "folder_id"),
-    "snk12_remove": lambda s, d: B.remove_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("folder_id is null").select("id")).select("id"),
+    "snk12_remove": lambda s, d: B.remove_bookmarks(C.bookmarks(s, d), C.bookmarks(s, d).where("folder_id is null").select("id")),
     "snk14_delete_folder": lambda s, d: B.delete_folders(C.folders(s, d), C.bookmarks(s, d), s.createDataFrame([(1,)], "id bigint"))[1].select("id", "folder_id"),
     "snk15_import_folders": lambda s, d: _parents(_imported(s, d)[0]),
     "snk15_counters": lambda s, d: _imported(s, d)[2],
@@ -183,7 +183,7 @@ ORACLES = {
     "snk10_clear": sql("SELECT count(*) FILTER (last_accessed > 0 OR access_count > 0) AS n FROM art"),
     "snk11_add_bookmarks": sql("SELECT DISTINCT article_title, folder_id FROM book"),
     "snk12_move": sql("SELECT id, CASE WHEN note IS NOT NULL THEN 3 ELSE folder_id END AS folder_id FROM book"),
-    "snk12_remove": sql("SELECT id FROM book WHERE folder_id IS NOT NULL"),
+    "snk12_remove": sql("SELECT * FROM book WHERE folder_id IS NOT NULL"),
     "snk14_delete_folder": sql("SELECT id, CASE WHEN folder_id IN (SELECT id FROM down) THEN NULL ELSE folder_id END AS folder_id FROM book", "down AS (SELECT CAST(1 AS BIGINT) AS id UNION SELECT f.id FROM fold f JOIN down ON f.parent_id = down.id)"),
     "snk15_import_folders": sql("SELECT f.name, p.name AS parent FROM fold f LEFT JOIN fold p ON p.id = f.parent_id UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p})" for n, p in ((n, f"'{p}'" if p else "NULL") for n, p in _MADE)) + ") v(name, parent)"),
     "snk15_counters": sql(f"SELECT cast({len(_MADE)} AS BIGINT) AS folders_added, (SELECT count(*) FROM fold) AS folders_merged, (SELECT count(DISTINCT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END) FROM book WHERE note IS NOT NULL) AS bookmarks_added, (SELECT count(*) FROM book WHERE note IS NOT NULL) - (SELECT count(DISTINCT article_title || CASE WHEN folder_id IS NULL THEN ' II' ELSE '' END) FROM book WHERE note IS NOT NULL) AS bookmarks_skipped"),

@@ -88,26 +88,27 @@ def euler_tours(nodes: DataFrame, tree: DataFrame) -> DataFrame:
 
     Within a piece entry and exit are unique, and a node's interval holds those of its descendants.
     """
-    bucket = F.pmod(F.xxhash64("child"), F.lit(SALT)).alias("b")
-    kids = tree.select("parent", "child", bucket)
+    # Arc 2n enters node n, arc 2n + 1 leaves it. A leaf's two arcs follow each other and are one element,
+    # named by the leaving arc, so leaves, which most nodes are, take half the room in every round.
+    inner_nodes = tree.select(F.col("parent").alias("child"), F.lit(0).alias("leaf")).distinct()
+    start = (F.col("child") * 2 + F.coalesce("leaf", F.lit(1))).alias("start")
+    kids = tree.join(inner_nodes, "child", "left").select("parent", "child", start, F.pmod(F.xxhash64("child"), F.lit(SALT)).alias("b"))
     inner = Window.partitionBy("parent", "b").orderBy("child")
-    linked = kids.withColumn("sib", F.lead("child").over(inner))
-    groups = kids.groupBy("parent", "b").agg(F.min("child").alias("first"))
+    linked = kids.withColumn("sib", F.lead("start").over(inner))
+    groups = kids.groupBy("parent", "b").agg(F.min_by("start", "child").alias("first"))
     between = Window.partitionBy("parent").orderBy("b")
     groups = groups.withColumn("after", F.lead("first").over(between))
     sib = linked.join(groups.select("parent", "b", "after"), ["parent", "b"]).select("child", "parent", F.coalesce("sib", "after").alias("sib"))
     first = groups.groupBy("parent").agg(F.min_by("first", "b").alias("kid")).select(F.col("parent").alias("node"), "kid")
     shape = nodes.join(first, "node", "left").join(sib.withColumnRenamed("child", "node"), "node", "left")
-    # Arc 2n enters node n, arc 2n + 1 leaves it.
-    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1
-    arcs = shape.select(
-        F.explode(
-            F.array(
-                F.struct(enter.alias("arc"), F.coalesce(F.col("kid") * 2, leave).alias("to"), F.lit(1).cast("bigint").alias("rank"), F.lit(-1).cast("bigint").alias("rise")),
-                F.struct(leave.alias("arc"), F.coalesce(F.col("sib") * 2, F.col("parent") * 2 + 1).alias("to"), F.lit(1).cast("bigint").alias("rank"), F.lit(1).cast("bigint").alias("rise")),
-            )
-        ).alias("a")
-    ).select("a.*")
+
+    def element(arc, to, rank: int, rise: int):
+        return F.struct(arc.alias("arc"), to.alias("to"), F.lit(rank).cast("bigint").alias("rank"), F.lit(rise).cast("bigint").alias("rise"))
+
+    enter, leave, is_leaf = F.col("node") * 2, F.col("node") * 2 + 1, F.col("kid").isNull()
+    onward = F.coalesce(F.col("sib"), F.col("parent") * 2 + 1)
+    both = F.array(element(enter, F.col("kid"), 1, -1), element(leave, onward, 1, 1))
+    arcs = shape.select(F.explode(F.when(is_leaf, F.array(element(leave, onward, 2, 0))).otherwise(both)).alias("a")).select("a.*")
     # rank: arcs from this one to the end of what it spans; rise: leaving minus entering arcs therein.
     # An arc without successor is the exit of its piece's root and names the piece.
     arcs = cut(arcs.withColumn("last", F.col("arc")))
@@ -118,8 +119,13 @@ def euler_tours(nodes: DataFrame, tree: DataFrame) -> DataFrame:
         nxt = arcs.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("rise").alias("rise2"), F.col("last").alias("last2"))
         jumped = going.join(nxt, "to").select("arc", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("rise") + F.col("rise2")).alias("rise"), F.col("last2").alias("last"))
         arcs = cut(jumped.unionByName(arcs.where("to is null")))
+    # A leaf's element begins with its entering arc; its leaving arc comes one place and one rise later.
+    alone = F.count("*") == 1
     ranked = arcs.withColumn("node", F.shiftright("arc", 1)).groupBy("node").agg(
-        F.max("rank").alias("in_rank"), F.min("rank").alias("out_rank"), F.min_by("rise", "rank").alias("rise"), F.shiftright(F.max("last"), 1).alias("piece")
+        F.max("rank").alias("in_rank"),
+        F.when(alone, F.min("rank") - 1).otherwise(F.min("rank")).alias("out_rank"),
+        F.when(alone, F.min("rise") + 1).otherwise(F.min_by("rise", "rank")).alias("rise"),
+        F.shiftright(F.max("last"), 1).alias("piece"),
     )
     # The rise of a leaving arc counts itself and its open ancestors: depth + 1.
     return ranked.select("node", "piece", (F.col("rise") - 1).cast("int").alias("depth"), (-F.col("in_rank")).alias("entry"), (-F.col("out_rank")).alias("exit"))

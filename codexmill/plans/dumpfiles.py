@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import curated as C
 from ..sources import dumps as D
-from ..store import folder
+from ..store import folder, place, written
 
 
 def new_folder(s: SparkSession) -> str:
@@ -23,9 +23,7 @@ def index_lines(s: SparkSession, d: str) -> DataFrame:
 
 def index_file(s: SparkSession, d: str) -> str:
     """A folder of bz2 files of index lines."""
-    path = new_folder(s)
-    index_lines(s, d).write.option("compression", "bzip2").text(path)
-    return path
+    return written(s, place(s, d, "dump-index", ["articles"]), lambda to: index_lines(s, d).write.option("compression", "bzip2").text(to))
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
@@ -34,8 +32,9 @@ def pages(s: SparkSession, d: str) -> DataFrame:
 
 def multistream(s: SparkSession, d: str) -> tuple[DataFrame, str]:
     """(index, folder) of a multistream dump of all articles."""
-    path = new_folder(s)
-    return D.write_multistream(pages(s, d), path), path
+    where = place(s, d, "dump-pages", ["articles"])
+    written(s, where, lambda to: D.write_multistream(pages(s, d), f"{to}/streams").write.parquet(f"{to}/index"))
+    return s.read.parquet(f"{where}/index"), f"{where}/streams"
 
 
 def _quoted(c: Column | str) -> Column:
@@ -79,8 +78,7 @@ def redirect_statements(s: SparkSession, d: str, target: Column | None = None) -
     return _statements(C.redirects(s, d).select("from_page_id", F.concat(t, *more).alias("t")), "redirect", "from_page_id")
 
 
-def table_file(s: SparkSession, statements: DataFrame) -> str:
+def table_file(s: SparkSession, d: str, name: str, source: str, statements: DataFrame) -> str:
     """The statements as gz files; an address that names them all."""
-    path = new_folder(s)
-    statements.select(F.concat("value", F.lit(";")).alias("value")).write.option("compression", "gzip").text(path)
-    return f"{path}/*.gz"
+    lines = statements.select(F.concat("value", F.lit(";")).alias("value"))
+    return written(s, place(s, d, f"dump-{name}", [source]), lambda to: lines.write.option("compression", "gzip").text(to)) + "/*.gz"

@@ -38,7 +38,7 @@ QUERIES = {
     "src1_index_file": lambda s, d: D.read_index(s, E.index_file(s, d)),
     "src2_index": lambda s, d: D.parse_index_lines(E.index_lines(s, d)),
     "src3_streams": lambda s, d: D.read_streams(*E.multistream(s, d)),
-    "src5_table_file": lambda s, d: D.read_table_dump(s, E.table_file(s, E.geo_statements(s, d)), "geo_tags").select(F.size("fields").alias("n"), F.element_at("fields", 2).alias("second")).groupBy("n", "second").agg(F.count("*").alias("rows")),
+    "src5_table_file": lambda s, d: D.read_table_dump(s, E.table_file(s, d, "geo", "geotags", E.geo_statements(s, d)), "geo_tags").select(F.size("fields").alias("n"), F.element_at("fields", 2).alias("second")).groupBy("n", "second").agg(F.count("*").alias("rows")),
     "src6_tuples": lambda s, d: D.insert_tuples(E.link_statements(s, d), "categorylinks").select(F.array_join("fields", "|").alias("fields")),
     "src4_pages": lambda s, d: D.parse_page_xml(_xml(s, d)),
     "src7_geotags": lambda s, d: D.geotags_from(D.insert_tuples(E.geo_statements(s, d), "geo_tags")),
@@ -47,10 +47,10 @@ QUERIES = {
     "src12_revisions": lambda s, d: X.parse_revisions(_responses(s, d), "body", ["event_id"]),
     "src14_ranges": lambda s, d: C.access_log(s, d).select("event_id", F.concat(F.lit("bytes="), F.col("event_id") % 130, F.lit("-"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 210).cast("string")).otherwise("")).alias("h")).select("event_id", S.byte_range("h", F.lit(100)).alias("r")).select("event_id", "r.first", "r.last"),
     "snk22_index": lambda s, d: I.ingest_index(C.articles(s, d).where("tier = 'hot'"), D.read_index(s, E.index_file(s, d)), 1_720_000_000).select("page_id", "title", "tier", "stream_offset", "access_count"),
-    "snk23_geotags": lambda s, d: I.ingest_table(s, E.table_file(s, E.geo_statements(s, d, F.lit("dump"))), "geo_tags", C.geotags(s, d).where("primary_"))[0],
-    "snk23_links": lambda s, d: I.ingest_table(s, E.table_file(s, E.link_statements(s, d, F.lit("file"))), "categorylinks", C.categorylinks(s, d).where("cl_type = 'page'"))[0],
-    "snk23_redirects": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d, F.concat("target_title", F.lit(" II")))), "redirect", C.redirects(s, d))[0],
-    "snk23_processed": lambda s, d: I.ingest_table(s, E.table_file(s, E.redirect_statements(s, d)), "redirect", C.redirects(s, d))[1],
+    "snk23_geotags": lambda s, d: I.ingest_table(s, E.table_file(s, d, "geo-changed", "geotags", E.geo_statements(s, d, F.lit("dump"))), "geo_tags", C.geotags(s, d).where("primary_"))[0],
+    "snk23_links": lambda s, d: I.ingest_table(s, E.table_file(s, d, "links-changed", "categorylinks", E.link_statements(s, d, F.lit("file"))), "categorylinks", C.categorylinks(s, d).where("cl_type = 'page'"))[0],
+    "snk23_redirects": lambda s, d: I.ingest_table(s, E.table_file(s, d, "redirects-changed", "redirects", E.redirect_statements(s, d, F.concat("target_title", F.lit(" II")))), "redirect", C.redirects(s, d))[0],
+    "snk23_processed": lambda s, d: I.ingest_table(s, E.table_file(s, d, "redirects", "redirects", E.redirect_statements(s, d)), "redirect", C.redirects(s, d))[1],
     "snk25_zstd": lambda s, d: C.hot_content(s, d).select("page_id", "wikitext", X.zstd_compress("wikitext").alias("z")).select("page_id", (X.zstd_decompress("z") == F.col("wikitext")).alias("same")),
     "w1_html": lambda s, d: C.hot_content(s, d).select("page_id", W.render("wikitext").alias("html")).select("page_id", F.md5("html").alias("html_md5")),
     "w3_plain": lambda s, d: C.hot_content(s, d).select("page_id", F.md5(W.plain_text("wikitext")).alias("text_md5")),

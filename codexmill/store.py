@@ -46,19 +46,31 @@ def _state(spark: SparkSession, path: str) -> str:
     return f"{path} {size.getLength()} {size.getFileCount()} {fs.getFileStatus(p).getModificationTime()}"
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build: Callable[[], DataFrame], by: list[str]) -> DataFrame:
-    """The derived table ``name`` of tables of a data folder, built if it is not there yet."""
+def place(spark: SparkSession, sf_dir: str, name: str, sources: list[str]) -> str:
+    """Where something derived from tables of a data folder lies, as they are now."""
     states = "\n".join(_state(spark, f"{sf_dir}/{t}.parquet") for t in sources)
-    where = f"{folder(spark)}/{name}-{hashlib.md5(states.encode()).hexdigest()}"
-    known = spark.sparkContext.__dict__.setdefault("_codexmill_tables", {})
+    return f"{folder(spark)}/{name}-{hashlib.md5(states.encode()).hexdigest()}"
+
+
+def written(spark: SparkSession, where: str, write: Callable[[str], None]) -> str:
+    """A folder of files, written whole beside its place and renamed, unless it is there."""
     p, fs = _path(spark, where)
-    if where in known and fs.exists(p):
-        return known[where]
     if not fs.exists(p):
         tmp, _ = _path(spark, f"{folder(spark)}/_next-{uuid.uuid4().hex}")
-        build().repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(str(tmp.toString()))
+        write(tmp.toString())
         fs.mkdirs(p.getParent())
         if fs.exists(p) or not fs.rename(tmp, p):  # another session was faster
             fs.delete(tmp, True)
+    return where
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: list[str], build: Callable[[], DataFrame], by: list[str]) -> DataFrame:
+    """The derived table ``name`` of tables of a data folder, built if it is not there yet."""
+    where = place(spark, sf_dir, name, sources)
+    known = spark.sparkContext.__dict__.setdefault("_codexmill_tables", {})
+    p, fs = _path(spark, where)
+    if where in known and fs.exists(p):
+        return known[where]
+    written(spark, where, lambda to: build().repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(to))
     known[where] = spark.read.parquet(where)
     return known[where]

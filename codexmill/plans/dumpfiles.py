@@ -51,6 +51,7 @@ def _statements(rows: DataFrame, name: str, key: str) -> DataFrame:
     """Some twenty tuples a statement, and before each of them one of another table."""
     x = rows.groupBy(F.floor(F.col(key) / 20).alias("g")).agg(F.concat_ws(",", F.collect_list("t")).alias("t"))
     own = F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), "t")
+    x = x.repartition(rows.sparkSession.sparkContext.defaultParallelism)  # as the blocks of a large dump would be
     return x.select(F.explode(F.array(F.concat(F.lit("INSERT INTO `other` VALUES (1,'"), "g", F.lit("')")), own)).alias("value"))
 
 

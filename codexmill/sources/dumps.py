@@ -144,7 +144,9 @@ def _unquoted(x: Column) -> Column:
     """A field without its quotes: within them a backslash takes the next character as it is, elsewhere it is one."""
     inner = lambda v: F.regexp_replace(F.substring(v, 2, 2**31 - 1).substr(F.lit(1), F.length(v) - 2), r"(?s)\\(.)", "$1")
     parts = F.transform(F.regexp_extract_all(x, F.lit(_SEGMENT), F.lit(0)), lambda v: F.when(v.startswith("'"), inner(v)).otherwise(v))
-    return F.btrim(F.when(x.contains("'"), F.array_join(parts, "")).otherwise(x), F.lit(WHITE_SPACE))
+    simple = x.startswith("'") & (F.instr(F.substring(x, 2, 2**31 - 1), "'") == F.length(x) - 1) & ~x.contains("\\")
+    text = F.when(~x.contains("'"), x).when(simple, x.substr(F.lit(2), F.length(x) - 2)).otherwise(F.array_join(parts, ""))
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def insert_tuples(statements: DataFrame, table: str, column: str = "value") -> DataFrame:

@@ -8,14 +8,16 @@ import os
 import re
 import tempfile
 import tomllib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import _path, file_system
+from ..store import _path, file_system, folder
 
 MOST_DEPTH, WINDOW_MOST = 10, 32 * 1024 * 1024
 
@@ -51,36 +53,144 @@ def check_module(spec: dict) -> dict:
     return spec
 
 
-_BACKUP = "app string, kind string, format_version bigint, exported_at bigint, folders array<struct<name string, parent string, created_at bigint>>, bookmarks array<struct<title string, folder string, note string, created_at bigint>>"
+_FOLDER, _MARK = "name string, parent string, created_at bigint", "title string, folder string, note string, created_at bigint"
+_BACKUP = f"app string, kind string, format_version bigint, exported_at bigint, folders array<struct<{_FOLDER}>>, bookmarks array<struct<{_MARK}>>"
+_FIELDS, _MIDDLE, _END, _HEAD_MOST = ["app", "kind", "format_version", "exported_at", "folders"], '],"bookmarks":[', "]}", 4096
+
+
+def _head(app: str, kind: str, version: int, now: int) -> str:
+    """The first line of a backup, up to its first folder."""
+    return json.dumps(dict(zip(_FIELDS, (app, kind, version, now, []))), ensure_ascii=False, separators=(",", ":"))[:-2]
+
+
+def _named(record: Column, key: str) -> Column:
+    """The JSON of a record that begins with its key, even where that is null; this tells a folder from a bookmark."""
+    bare = F.when(record == "{}", F.lit(f'{{"{key}":null}}')).otherwise(F.concat(F.lit(f'{{"{key}":null,'), F.substring(record, 2, 2**31 - 1)))
+    return F.when(record.startswith(f'{{"{key}":'), record).otherwise(bare)
+
+
+def _by_lines(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame] | None:
+    """(head, folders, bookmarks) of a file laid out by write_backup(), a record a line, read in many tasks; None for any other file.
+
+    All lines are looked at first: each has to be what its own record is written as, and in its place.
+    """
+    p, fs = _path(spark, path)
+    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+        return None
+    f = fs.open(p)
+    first = bytes(f.readNBytes(_HEAD_MOST)).decode("utf-8", "replace").split("\n")[0]
+    f.close()
+    try:
+        head = json.loads(first + _END)
+    except ValueError:
+        return None
+    if not isinstance(head, dict) or list(head) != _FIELDS or [type(head[k]) for k in _FIELDS] != [str, str, int, int, list] or _head(*(head[k] for k in _FIELDS[:4])) != first:
+        return None
+    follows = F.col("value").startswith(",")
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")  # rises along the file
+    text = spark.read.text(path)
+    line = F.when(follows, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")).alias("line")
+    looked, read = [], []
+    for key, schema in (("name", _FOLDER), ("title", _MARK)):
+        own, record = F.col("line").startswith(f'{{"{key}":'), F.from_json("line", schema)
+        looked += [F.count_if(own & (_named(F.to_json(record), key) == F.col("line"))), F.count_if(own & ~F.col("follows")), F.min(F.when(own, F.col("at"))), F.max(F.when(own, F.col("at"))), F.min(F.when(own & ~F.col("follows"), F.col("at")))]
+        read.append(text.select(line).where(own).select(record.alias("r")).select("r.*"))
+    for x in (first, _MIDDLE, _END):
+        looked += [F.count_if(F.col("value") == x), F.min(F.when(F.col("value") == x, F.col("at")))]
+    folders, folders1, f_min, f_max, f_first, marks, marks1, m_min, m_max, m_first, heads, h_at, middles, mid_at, ends, e_at, n = text.select("value", line, follows.alias("follows"), at).agg(*looked, F.count("*")).first()
+    if (heads, middles, ends) != (1, 1, 1) or folders + marks + 3 != n or (folders1, marks1) != (min(folders, 1), min(marks, 1)) or (f_min, m_min) != (f_first, m_first):
+        return None
+    places = [h_at, *([f_min, f_max] if folders else []), mid_at, *([m_min, m_max] if marks else []), e_at]
+    return (head, *read) if places == sorted(places) else None
 
 
 def read_backup(spark: SparkSession, path: str, app: str, kind: str, known_version: int = 1) -> tuple[DataFrame, DataFrame, bool]:
-    """SRC11: (folders, bookmarks, is it of a newer version); unknown fields are ignored."""
-    b = spark.read.option("multiLine", True).schema(_BACKUP).json(path)
-    head = b.select("app", "kind", "format_version").first()
+    """SRC11: (folders, bookmarks, is it of a newer version); unknown fields are ignored.
+
+    Files written by write_backup() are read in parts of any number, others as one JSON document by one task.
+    """
+    laid = _by_lines(spark, path)
+    if laid:
+        head, folders, marks = laid
+    else:
+        b = spark.read.option("multiLine", True).schema(_BACKUP).json(path)
+        head, folders, marks = b.select("app", "kind", "format_version").first(), b.select(F.inline("folders")), b.select(F.inline("bookmarks"))
     if head is None or head["format_version"] is None:
         raise ValueError("no backup: an integer format_version is missing")
     if head["app"] not in (None, app) or head["kind"] not in (None, kind):
         raise ValueError("a backup of something else")
-    return b.select(F.inline("folders")), b.select(F.inline("bookmarks")), head["format_version"] > known_version
+    return folders, marks, head["format_version"] > known_version
 
 
 def write_backup(rows: DataFrame, expected: int, path: str, app: str, kind: str, now: int, version: int = 1) -> str:
     """SNK16: writes export_rows() as one file, first beside it and then in its place.
 
-    Refuses a partial export. A folder gets a default file name. A user's bookmarks fit a file.
+    Refuses a partial export. A folder gets a default file name. Tasks sort and write the records into
+    a shared folder, a record a line; these parts are then copied one after another, in small blocks.
     """
-    if "://" not in path and not path.startswith("file:") and os.path.isdir(path):
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) and os.path.isdir(path):
         path = os.path.join(path, f"{kind}-{now}.json")
-    got = rows.orderBy("kind", "json").collect()
-    marks = [json.loads(r["json"]) for r in got if r["kind"] == "bookmark"]
-    if len(marks) < expected:
-        raise ValueError(f"{len(marks)} of {expected} bookmarks read; nothing written")
-    out = {"app": app, "kind": kind, "format_version": version, "exported_at": now, "folders": [json.loads(r["json"]) for r in got if r["kind"] == "folder"], "bookmarks": marks}
-    _replace(path, json.dumps(out, ensure_ascii=False, indent=2), rows.sparkSession)
+    spark = rows.sparkSession
+    parts = f"{folder(spark)}/_next-{uuid.uuid4().hex}"
+    record = F.when(F.col("kind") == "folder", _named(F.col("json"), "name")).otherwise(_named(F.col("json"), "title"))
+    p, fs = _path(spark, parts)
+    try:
+        rows.orderBy("kind", "json").select("kind", F.concat(F.lit(","), record).alias("value")).write.partitionBy("kind").option("compression", "gzip").text(parts)
+        found = spark.read.schema("value string, kind string").text(parts).where("kind = 'bookmark'").count()
+        if found < expected:
+            raise ValueError(f"{found} of {expected} bookmarks read; nothing written")
+        with _replacing(spark, path) as out:
+            out.write(bytearray(f"{_head(app, kind, version, now)}\n".encode()))
+            _append(spark, f"{parts}/kind=folder", out)
+            out.write(bytearray(f"{_MIDDLE}\n".encode()))
+            _append(spark, f"{parts}/kind=bookmark", out)
+            out.write(bytearray(f"{_END}\n".encode()))
+    finally:
+        fs.delete(p, True)
     return path
 
 
+def _append(spark: SparkSession, where: str, out) -> None:
+    """Copies a folder's parts in the order of their rows, without the comma before the first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p, fs = _path(spark, where)
+    if not fs.exists(p):
+        return
+    parts = {x.getPath().getName(): x.getPath() for x in fs.listStatus(p)}
+    first = True
+    for name in sorted((k for k in parts if k.startswith("part-")), key=lambda k: (int(k.split("-")[1]), k)):
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(parts[name])
+        f = codec.createInputStream(fs.open(parts[name]))
+        if not first or f.read() >= 0:
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(f, out, 1 << 20, False)
+            first = False
+        f.close()
+
+
+@contextmanager
+def _replacing(spark: SparkSession, path: str):
+    """A stream for a new file, which then takes the place of ``path``; nothing is left if that fails. A path without scheme is one of this machine."""
+    far = bool(re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path))
+    if far:
+        (p, fs), (tmp, _) = _path(spark, path), _path(spark, f"{path}._next")
+    else:
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark.sparkContext._jsc.hadoopConfiguration()).getRaw()
+        p, tmp = (jvm.org.apache.hadoop.fs.Path(os.path.abspath(x)) for x in (path, f"{path}._next"))
+    out = fs.create(tmp, True)
+    try:
+        yield out
+        out.close()
+    except BaseException:
+        out.close()
+        fs.delete(tmp, False)
+        raise
+    if far:
+        fs.delete(p, False)  # here the renaming replaces it
+    if not fs.rename(tmp, p):
+        raise OSError(f"{path} could not be written")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file in any file system, written beside its place first."""
     p, fs = _path(spark, path)
@@ -93,9 +203,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
-def _replace(path: str, text: str, spark: SparkSession | None = None) -> None:
-    if spark is not None and re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
-        return write_text(spark, path, text)
+def _replace(path: str, text: str) -> None:
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w", encoding="utf-8") as f:
         f.write(text)

@@ -55,7 +55,7 @@ def check_module(spec: dict) -> dict:
 
 _FOLDER, _MARK = "name string, parent string, created_at bigint", "title string, folder string, note string, created_at bigint"
 _BACKUP = f"app string, kind string, format_version bigint, exported_at bigint, folders array<struct<{_FOLDER}>>, bookmarks array<struct<{_MARK}>>"
-_FIELDS, _MIDDLE, _END, _HEAD_MOST = ["app", "kind", "format_version", "exported_at", "folders"], '],"bookmarks":[', "]}", 4096
+_FIELDS, _MIDDLE, _END, _HEAD_MOST, _SAMPLED = ["app", "kind", "format_version", "exported_at", "folders"], '],"bookmarks":[', "]}", 4096, 128
 
 
 def _head(app: str, kind: str, version: int, now: int) -> str:
@@ -135,7 +135,8 @@ def write_backup(rows: DataFrame, expected: int, path: str, app: str, kind: str,
     record = F.when(F.col("kind") == "folder", _named(F.col("json"), "name")).otherwise(_named(F.col("json"), "title"))
     p, fs = _path(spark, parts)
     try:
-        rows.orderBy("kind", "json").select("kind", F.concat(F.lit(","), record).alias("value")).write.partitionBy("kind").option("compression", "gzip").text(parts)
+        placed = rows.repartitionByRange("kind", F.substring("json", 1, _SAMPLED)).sortWithinPartitions("kind", "json")  # in the order of whole records, of which only the beginnings are sampled
+        placed.select("kind", F.concat(F.lit(","), record).alias("value")).write.partitionBy("kind").option("compression", "gzip").text(parts)
         found = spark.read.schema("value string, kind string").text(parts).where("kind = 'bookmark'").count()
         if found < expected:
             raise ValueError(f"{found} of {expected} bookmarks read; nothing written")
